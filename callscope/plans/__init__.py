@@ -7,6 +7,7 @@ from importlib import import_module
 TOPICS = (
     "traffic",
     "features",
+    "series",
 )
 
 
