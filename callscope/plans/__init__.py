@@ -8,6 +8,7 @@ TOPICS = (
     "traffic",
     "features",
     "series",
+    "admission",
 )
 
 

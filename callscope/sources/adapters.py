@@ -286,3 +286,39 @@ def with_ctes(*parts: str) -> str:
     body = parts[-1]
     glue = "\n" if body.lstrip().upper().startswith("SELECT") else ",\n"
     return "WITH " + ",\n".join(parts[:-1]) + glue + body
+
+
+def gateway_requests(spark: SparkSession, sf_dir: str, compress: int = 600) -> DataFrame:
+    """Incoming requests behind the log: path, method and presented key.
+
+    Some requests carry no key, a wrong key or an unregistered path, by a rule on the id.
+    """
+    events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), "event_id", "user_id", "event_type")
+    k = F.col("user_id") % 4
+    good = F.concat(F.lit("key_test_"), F.lpad(k.cast("string"), 7, "0"), F.lit("-secret-"), k.cast("string"))
+    log = request_logs(spark, sf_dir, compress).select("id", "tenant_id", "method", "created_at")
+    return log.join(events, "id").select(
+        "id",
+        "tenant_id",
+        F.when(F.col("event_id") % 17 == 0, "/missing")
+        .otherwise(
+            F.concat(
+                F.lit("/api/"),
+                F.when(F.col("event_type") == "click", "view/click").otherwise(F.col("event_type")),
+                F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("/"), (F.col("event_id") % 5).cast("string"))),
+            )
+        )
+        .alias("path"),
+        "method",
+        F.when(F.col("event_id") % 11 == 0, "").when(F.col("event_id") % 13 == 0, F.concat(good, F.lit("x"))).otherwise(good).alias("api_key"),
+        "created_at",
+    )
+
+
+SQL_REQUESTS = """gateway_requests AS (
+  SELECT l.id, l.tenant_id,
+    CASE WHEN event_id % 17 = 0 THEN '/missing' ELSE '/api/' || CASE WHEN event_type = 'click' THEN 'view/click' ELSE event_type END
+      || CASE WHEN event_id % 3 = 0 THEN '' ELSE '/' || CAST(event_id % 5 AS VARCHAR) END END AS path,
+    l.method, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'key_test_' || lpad(CAST(user_id % 4 AS VARCHAR), 7, '0') || '-secret-' || CAST(user_id % 4 AS VARCHAR)
+      || CASE WHEN event_id % 13 = 0 THEN 'x' ELSE '' END END AS api_key, l.created_at
+  FROM request_logs l JOIN events e ON CAST(e.event_id AS VARCHAR) = l.id)"""
