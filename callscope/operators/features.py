@@ -13,17 +13,23 @@ WINDOW_KEYS = (*FEATURE_KEYS, "window_start")
 
 
 def normalise_logs(logs: DataFrame) -> DataFrame:
-    """Typed log rows: casts that turn bad text into NULL, clean method and ids."""
+    """Typed log rows: casts that turn bad text into NULL, clean method and ids.
+
+    Columns that already have their type are passed through, so that filters on them
+    still reach the scan.
+    """
     require_columns(logs, LOG_COLUMNS)
+    kind = {f.name: f.dataType.simpleString() for f in logs.schema}
+    number = lambda c: F.col(c) if kind[c] in ("int", "bigint") else C.to_double_or_null(c)
     return logs.select(
         "tenant_id",
         C.null_to_blank("client_id").alias("client_id"),
         C.null_to_blank("route_id").alias("route_id"),
         C.clean_method("method").alias("method"),
-        C.to_double_or_null("status_code").alias("status_code"),
-        C.to_double_or_null("latency_ms").alias("latency_ms"),
-        C.parse_flag("blocked").alias("blocked"),
-        C.to_timestamp_or_null("created_at").alias("created_at"),
+        number("status_code").alias("status_code"),
+        number("latency_ms").alias("latency_ms"),
+        (F.col("blocked") if kind["blocked"] == "boolean" else C.parse_flag("blocked")).alias("blocked"),
+        (F.col("created_at") if kind["created_at"] == "timestamp" else C.to_timestamp_or_null("created_at")).alias("created_at"),
     )
 
 
@@ -39,7 +45,14 @@ def row_problem():
 
 
 def valid_logs(logs: DataFrame) -> DataFrame:
-    return normalise_logs(logs).where(row_problem().isNull())
+    """Normalised rows with a time, a status of 100-599, a latency >= 0, a flag and a method."""
+    return normalise_logs(logs).where(
+        F.col("created_at").isNotNull()
+        & F.col("status_code").between(100, 599)
+        & (F.col("latency_ms") >= 0)
+        & F.col("blocked").isNotNull()
+        & (F.col("method") != "")
+    )
 
 
 def rejected_logs(logs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ TOPICS = (
     "features",
     "series",
     "admission",
+    "models",
 )
 
 
