@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callscope.functions.columns import time_text
-from callscope.operators import features, lof, matrix
+from callscope.functions.columns import iso_minute, time_text
+from callscope.operators import datasets, detect, features, forecast, iforest, lof, matrix, series
 from callscope.plans.features import FEATURE_SQL
 from callscope.schemas import MODEL_FEATURES
+from callscope.session import materialise
 from callscope.sources import adapters as A
 
 QUERIES, ORACLES = {}, {}
@@ -90,3 +91,168 @@ density AS MATERIALIZED (SELECT l.id, 1 / (avg(greatest(l.d, r.k_distance)) + 1e
 factors AS (SELECT l.id, avg(o.lrd) / any_value(m.lrd) AS lof FROM links l JOIN density o ON o.id = l.other JOIN density m ON m.id = l.id GROUP BY 1)
 SELECT tenant_id, client_id, route_id, window_start, round(lof, 6) AS lof FROM points JOIN factors USING (id)""",
 )
+
+
+def _labelled(spark, sf_dir):
+    samples = datasets.inject_scenarios(A.request_logs(spark, sf_dir))
+    return materialise(datasets.labelled_dataset(samples), "labelled")
+
+
+def scenario_injection(spark, sf_dir):
+    return datasets.labelled_dataset(datasets.inject_scenarios(A.request_logs(spark, sf_dir)))
+
+
+QUERIES["scenario_injection"] = scenario_injection
+
+
+def isolation_forest(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    model = iforest.fit_forest(rows)
+    return iforest.score_forest(model, rows).select(*KEYS, F.round("isolation", 6).alias("isolation"))
+
+
+QUERIES["isolation_forest"] = isolation_forest
+
+
+def detector_comparison(spark, sf_dir):
+    """Both detectors trained on injected normal windows and measured on the held-out ones."""
+    metrics, _ = detect.compare_detectors(_labelled(spark, sf_dir), version="traffic")
+    return metrics
+
+
+QUERIES["detector_comparison"] = detector_comparison
+
+
+def recent_anomalies(spark, sf_dir):
+    """Anomalous windows of the log under a forest trained on injected normal windows."""
+    training = matrix.training_rows(_labelled(spark, sf_dir))
+    detector = detect.train_detector(training, version="traffic-isolation_forest")
+    rows = features.minute_features(A.request_logs(spark, sf_dir))
+    return detect.anomalies(detect.score(detector, rows))
+
+
+QUERIES["recent_anomalies"] = recent_anomalies
+
+
+def detector_metrics(spark, sf_dir):
+    """Binary metrics on the label table: toxic as truth, low quality as prediction."""
+    rows = A.table(spark, sf_dir, "labels").select(
+        (F.col("doc_id") % 4).alias("part"),
+        (F.col("toxic") == 1).alias("is_anomaly"),
+        (F.col("quality") == 0).alias("is_anomaly_predicted"),
+    )
+    return detect.confusion(rows, "part").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+METRICS_SQL = """cells AS (SELECT doc_id % 4 AS part, count(*) AS sample_count, count(*) FILTER (WHERE toxic = 1 AND quality = 0) AS tp,
+  count(*) FILTER (WHERE toxic <> 1 AND quality <> 0) AS tn, count(*) FILTER (WHERE toxic <> 1 AND quality = 0) AS fp,
+  count(*) FILTER (WHERE toxic = 1 AND quality <> 0) AS fn FROM labels GROUP BY 1),
+metrics AS (SELECT *, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision,
+  round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM cells)"""
+
+QUERIES["detector_metrics"] = detector_metrics
+ORACLES["detector_metrics"] = f"WITH {METRICS_SQL} SELECT * FROM metrics"
+
+
+def model_selection(spark, sf_dir):
+    rows = detector_metrics(spark, sf_dir).withColumn("algorithm", F.concat(F.lit("part-"), F.col("part").cast("string")))
+    return detect.select_model(rows)
+
+
+QUERIES["model_selection"] = model_selection
+ORACLES["model_selection"] = f"""WITH {METRICS_SQL} SELECT 'part-' || CAST(part AS VARCHAR) AS recommended_candidate
+FROM metrics ORDER BY f1 DESC, precision DESC, 1 LIMIT 1"""
+
+
+def split_assignment(spark, sf_dir):
+    return A.table(spark, sf_dir, "events").select("event_id", datasets.split_of(F.col("event_id")).alias("split"))
+
+
+QUERIES["split_assignment"] = split_assignment
+ORACLES["split_assignment"] = """SELECT event_id, (['train', 'test', 'train', 'train'])[CAST(event_id % 4 AS INTEGER) + 1] AS split FROM events"""
+
+
+def _even_labelled(spark, sf_dir):
+    """Half of the windows as labelled rows (a rule on the count), in the dataset's shape."""
+    rows = features.minute_features(A.request_logs(spark, sf_dir))
+    busy = F.col("request_count") > 7
+    return rows.select(
+        *[F.col(f"`{c}`").cast("double").alias(c) for c in MODEL_FEATURES],
+        F.when(busy, "TRAFFIC_SPIKE").otherwise("NORMAL").alias("scenario"),
+        F.lit(True).alias("is_synthetic"),
+        busy.alias("is_anomaly"),
+        datasets.split_of(F.minute("window_start")).alias("split"),
+        iso_minute("window_start").alias("window_start"),
+    ), rows
+
+
+LABELLED_SQL = """labelled AS (SELECT CASE WHEN request_count > 7 THEN 'TRAFFIC_SPIKE' ELSE 'NORMAL' END AS scenario, true AS is_synthetic,
+  request_count > 7 AS is_anomaly, (['train', 'test', 'train', 'train'])[CAST(minute(window_start) % 4 AS INTEGER) + 1] AS split FROM features
+UNION ALL SELECT 'HISTORICAL_UNLABELED', false, NULL, 'unlabeled' FROM features)"""
+
+
+def training_union(spark, sf_dir):
+    labelled, rows = _even_labelled(spark, sf_dir)
+    out = datasets.composition(datasets.training_union(labelled, rows), "split")
+    return out.withColumn("scenarios", F.array_join("scenarios", ","))
+
+
+QUERIES["training_union"] = training_union
+ORACLES["training_union"] = A.with_ctes(
+    A.sql_logs(),
+    FEATURE_SQL,
+    LABELLED_SQL,
+    """SELECT split, count(*) AS row_count, count(*) FILTER (WHERE is_synthetic) AS synthetic_count,
+  count(*) FILTER (WHERE NOT is_synthetic) AS historical_count, array_to_string(list_sort(list(DISTINCT scenario)), ',') AS scenarios
+FROM labelled GROUP BY 1""",
+)
+
+
+def train_test_selection(spark, sf_dir):
+    labelled, rows = _even_labelled(spark, sf_dir)
+    dataset = datasets.training_union(labelled, rows)
+    count = lambda df, name: df.groupBy("scenario").agg(F.count(F.lit(1)).alias("row_count")).withColumn("selection", F.lit(name))
+    return count(matrix.training_rows(dataset), "train").unionByName(count(matrix.evaluation_rows(dataset), "test"))
+
+
+QUERIES["train_test_selection"] = train_test_selection
+ORACLES["train_test_selection"] = A.with_ctes(
+    A.sql_logs(),
+    FEATURE_SQL,
+    LABELLED_SQL,
+    """SELECT scenario, count(*) AS row_count, 'train' AS selection FROM labelled WHERE split = 'train' AND scenario = 'NORMAL' AND is_synthetic GROUP BY 1
+UNION ALL SELECT scenario, count(*), 'test' FROM labelled WHERE split = 'test' AND is_synthetic AND is_anomaly IS NOT NULL GROUP BY 1""",
+)
+
+
+def _forecast_windows(spark, sf_dir):
+    return series.supervised_windows(series.minute_series(A.request_logs(spark, sf_dir, 60)))
+
+
+def forecast_metrics(spark, sf_dir):
+    """MAE and RMSE of the forests next to persistence, per horizon."""
+    _, errors = forecast.train_forecaster(_forecast_windows(spark, sf_dir), short="mark")
+    return errors
+
+
+def forecast_latest(spark, sf_dir):
+    windows = _forecast_windows(spark, sf_dir)
+    model, _ = forecast.train_forecaster(windows, short="mark")
+    return forecast.forecast(model, windows)
+
+
+QUERIES["forecast_metrics"] = forecast_metrics
+QUERIES["forecast_latest"] = forecast_latest
+
+
+def forecast_status(spark, sf_dir):
+    return forecast.no_forecast(A.tenants(spark, sf_dir))
+
+
+QUERIES["forecast_status"] = forecast_status
+ORACLES["forecast_status"] = A.with_ctes(
+    A.sql_logs(),
+    """SELECT DISTINCT tenant_id, 'UNAVAILABLE' AS status, CAST(NULL AS VARCHAR) AS model_version,
+  'The forecasting model is trained and evaluated offline; no live forecast artifact is activated.' AS note FROM request_logs""",
+)
