@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.session import materialise
+
 # Number of trees, rows per tree, seed.
 TREES, SAMPLE, SEED = 200, 256, 42
 
@@ -102,7 +104,8 @@ def fit_forest(training: DataFrame, *, trees: int = TREES, sample: int = SAMPLE,
     sample = min(sample, total)
     rows = sample_rows(training, total, trees, sample, seed)
     height = math.ceil(math.log2(max(sample, 2)))
-    return ForestModel(rows.groupBy("tree_id").applyInPandas(_grow(height, seed), TREE_SCHEMA), sample)
+    grown = rows.groupBy("tree_id").applyInPandas(_grow(height, seed), TREE_SCHEMA)
+    return ForestModel(materialise(grown, "trees"), sample)
 
 
 def score_forest(model: ForestModel, rows: DataFrame, *, vector: str = "v", alias: str = "isolation") -> DataFrame:

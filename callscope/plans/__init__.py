@@ -10,6 +10,9 @@ TOPICS = (
     "series",
     "admission",
     "models",
+    "tables",
+    "documents",
+    "retrieval",
 )
 
 
