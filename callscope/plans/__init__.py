@@ -13,6 +13,7 @@ TOPICS = (
     "tables",
     "documents",
     "retrieval",
+    "streaming",
 )
 
 
