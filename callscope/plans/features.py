@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from callscope.functions.columns import time_text
 from callscope.operators import features
 from callscope.sources import adapters as A
+from callscope.sources.tables import parse_lines
 
 QUERIES, ORACLES = {}, {}
 
@@ -109,3 +110,40 @@ ORACLES["method_mix"] = A.with_ctes(
     """SELECT tenant_id, method, count(*) AS row_count FROM (SELECT *, CAST(id AS BIGINT) AS i FROM request_logs)
 WHERE i % 29 <> 0 AND i % 31 <> 0 AND i % 37 <> 0 AND i % 43 <> 0 AND i % 41 <> 0 GROUP BY 1, 2""",
 )
+
+
+def access_log_ingest(spark, sf_dir):
+    """The log written as JSON lines, some cut off and some of another kind, and read back."""
+    log = A.request_logs(spark, sf_dir)
+    i = F.col("id").cast("bigint")
+    line = F.to_json(
+        F.struct(
+            F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"),
+            F.when(i % 19 == 0, "upstream_error").otherwise("gateway_request").alias("msg"),
+            "request_id",
+            "tenant_id",
+            F.when(i % 5 == 0, "").otherwise(F.col("client_id")).alias("client_id"),
+            F.concat(F.lit("/api/"), "route_id").alias("route"),
+            "method",
+            F.col("status_code").alias("response_status"),
+            "latency_ms",
+            F.col("blocked").alias("rate_limited"),
+        )
+    )
+    lines = log.select(F.when(i % 23 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"))
+    good, bad = parse_lines(lines)
+    rows = good.select(
+        "request_id", "tenant_id", "client_id", "method", "status_code", "latency_ms", "blocked", time_text("created_at").alias("created_at"), "route_path"
+    )
+    broken = bad.groupBy().agg(F.concat(F.lit("corrupt lines: "), F.count(F.lit(1)).cast("string")).alias("request_id"))
+    return rows.unionByName(broken, allowMissingColumns=True)
+
+
+QUERIES["access_log_ingest"] = access_log_ingest
+ORACLES["access_log_ingest"] = A.with_ctes(
+    A.sql_logs(),
+    """numbered AS (SELECT *, CAST(id AS BIGINT) AS i FROM request_logs)
+SELECT request_id, tenant_id, CASE WHEN i % 5 <> 0 THEN client_id END AS client_id, method, status_code, latency_ms, blocked,
+  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, '/api/' || route_id AS route_path FROM numbered WHERE i % 19 <> 0 AND i % 23 <> 0
+UNION ALL SELECT 'corrupt lines: ' || count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM numbered WHERE i % 23 = 0""",
+)
