@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,13 +30,11 @@ DECISIONS = T.StructType(
 
 
 class _Bucket(StatefulProcessor):
-    def __init__(self, shared: bool) -> None:
-        self.shared = shared
+    def __init__(self, shared: bool, expire: bool) -> None:
+        self.shared, self.expire = shared, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = timedelta(microseconds=B.DAY_US) if self.shared else None
-        ttl_ms = int(ttl.total_seconds() * 1000) if ttl else None
-        self.state = handle.getValueState("bucket", _STATE, ttl_ms) if ttl_ms else handle.getValueState("bucket", _STATE)
+        self.state = handle.getValueState("bucket", _STATE, B.DAY_US // 1000 if self.expire else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["us", "id"])
@@ -65,21 +62,26 @@ class _Bucket(StatefulProcessor):
         pass
 
 
-def stream_token_buckets(requests: DataFrame, *, variant: str = "local") -> DataFrame:
+def stream_token_buckets(requests: DataFrame, *, variant: str = "local", expire_state: bool = False) -> DataFrame:
     """Decide requests as they arrive; state is two numbers and the limits per bucket.
 
     Rows of one micro-batch are taken in order of time. A row older than what its bucket
-    has already seen gets the status 'late' and changes nothing.
+    has already seen gets the status 'late' and changes nothing. An idle 'shared' bucket is full
+    again after a day of event time in any case; ``expire_state`` also frees its state after
+    a day of processing time. Use it with continuous triggers only: state with a processing
+    time keeps a run over the available data from ending.
     """
     if variant not in ("local", "shared"):
         raise ValueError("variant must be 'local' or 'shared'")
     shared = variant == "shared"
+    if expire_state and not shared:
+        raise ValueError("only shared buckets expire")
     use_rocksdb(requests.sparkSession)
     rows = _prepared(requests, ()).withColumnsRenamed({f"_{c}": c for c in ("us", "capacity", "refill", "initial")})
     decided = rows.groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=_Bucket(shared),
+        statefulProcessor=_Bucket(shared, expire_state),
         outputStructType=DECISIONS,
         outputMode="Append",
-        timeMode="ProcessingTime" if shared else "None",
+        timeMode="ProcessingTime" if expire_state else "None",
     )
     return decided.withColumn("created_at", F.timestamp_micros("created_us")).drop("created_us")
