@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.operators.bucket import HOT_ROWS, replay
 from callscope.operators.resolve import resolve_keys, resolve_policies, resolve_routes
+from callscope.session import materialise
 
 PASS = 200
 
@@ -36,24 +37,19 @@ def admission_audit(
     checked = routed.select(
         "id", "tenant_id", "client_id", F.col("route.id").alias("route_id"), "created_at", early.alias("status")
     )
-    policy_keys = (
-        checked.where(F.col("status").isNull() & F.col("client_id").isNotNull())
-        .select("tenant_id", "client_id", "route_id")
-        .distinct()
+    # Written once, because the limiter reads its requests several times.
+    limited = materialise(
+        resolve_policies(checked, policies).select(
+            *checked.columns,
+            F.col("policy.bucket_capacity").alias("bucket_capacity"),
+            F.col("policy.refill_rate").alias("refill_rate"),
+            (F.col("status").isNull() & F.col("client_id").isNotNull() & F.col("policy").isNotNull()).alias("metered"),
+        ),
+        "admission",
     )
-    limits = resolve_policies(policy_keys, policies).where(F.col("policy").isNotNull())
-    limited = checked.where(F.col("status").isNull()).join(limits, ["tenant_id", "client_id", "route_id"], "left")
-    free = limited.where(F.col("policy").isNull()).select(
-        "id", "tenant_id", "client_id", "route_id", F.lit(PASS).alias("status")
-    )
-    metered = limited.where(F.col("policy").isNotNull()).select(
-        "id",
-        "tenant_id",
-        "client_id",
-        "route_id",
-        "created_at",
-        F.col("policy.bucket_capacity").alias("bucket_capacity"),
-        F.col("policy.refill_rate").alias("refill_rate"),
+    metered = limited.where("metered")
+    unmetered = limited.where("not metered").select(
+        "id", "tenant_id", "client_id", "route_id", F.coalesce("status", F.lit(PASS)).alias("status")
     )
     decided = replay(metered, variant=variant, carry=["bucket_capacity"], hot_rows=hot_rows).select(
         "id",
@@ -68,5 +64,4 @@ def admission_audit(
         .cast("bigint")
         .alias("rate_reset_seconds"),
     )
-    stopped = checked.where(F.col("status").isNotNull()).drop("created_at")
-    return decided.unionByName(free, allowMissingColumns=True).unionByName(stopped, allowMissingColumns=True)
+    return decided.unionByName(unmetered, allowMissingColumns=True)

@@ -11,6 +11,7 @@ from callscope.functions.columns import ratio
 from callscope.operators import iforest, lof, matrix
 from callscope.operators.quantiles import exact_quantiles
 from callscope.schemas import MODEL_FEATURES
+from callscope.session import materialise
 
 ALGORITHMS = ("isolation_forest", "local_outlier_factor")
 CONTAMINATION = 0.05  # fixed value
@@ -51,7 +52,8 @@ def train_detector(
         raise ValueError(f"unsupported anomaly algorithm: {algorithm}")
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must lie between 0 and 0.5")
-    rows = matrix.model_matrix(training, [F.col(id_column).cast("string").alias("id")])
+    # Written once: fitting reads the rows several times, and they come from the log.
+    rows = materialise(matrix.model_matrix(training, [F.col(id_column).cast("string").alias("id")]), "training")
     scaler = matrix.fit_scaler(rows)
     points = _with_vector(rows, scaler).select("id", "v")
     if algorithm == "isolation_forest":
@@ -62,7 +64,7 @@ def train_detector(
         scored = lof.training_factors(model, points).withColumnRenamed("lof", "raw")
     inner = scored.select((-F.col("raw")).alias("inner"))
     threshold = -exact_quantiles(inner, ["inner"], contamination)["inner"]
-    return Detector(algorithm, version, scaler, model, threshold, training.count())
+    return Detector(algorithm, version, scaler, model, threshold, rows.count())
 
 
 def score(detector: Detector, rows: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.session import spread
+
 BASE_MICROS = 1704067200000000  # 2024-01-01T00:00:00Z
 
 
@@ -148,7 +150,7 @@ def rate_limit_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ingest input: tenant by document id, source id unique per document."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id",
         F.concat(F.lit("tenant-"), (F.col("doc_id") % 2).cast("string")).alias("tenant_id"),
         F.lit("document").alias("source_type"),
