@@ -103,6 +103,28 @@ def anomalies(scored: DataFrame) -> DataFrame:
     )
 
 
+def anomaly_status(tenants: DataFrame, found: DataFrame | None = None, version: str | None = None) -> DataFrame:
+    """Anomaly count and model status per tenant; without a model the count stays NULL."""
+    rows = tenants.select(F.col("id").alias("tenant_id"))
+    if found is None:
+        none = F.lit(None)
+        return rows.select(
+            "tenant_id",
+            none.cast("bigint").alias("anomaly_count"),
+            F.lit("UNAVAILABLE").alias("status"),
+            none.cast("string").alias("model_version"),
+            F.lit("No active anomaly model is configured.").alias("detail"),
+        )
+    counts = found.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("anomaly_count"))
+    return rows.join(counts, "tenant_id", "left").select(
+        "tenant_id",
+        F.coalesce("anomaly_count", F.lit(0)).alias("anomaly_count"),
+        F.lit("AVAILABLE").alias("status"),
+        F.lit(version).cast("string").alias("model_version"),
+        F.lit(None).cast("string").alias("detail"),
+    )
+
+
 def confusion(rows: DataFrame, *keys: str, actual: str = "is_anomaly", predicted: str = "is_anomaly_predicted") -> DataFrame:
     """Confusion cells, precision, recall and F1 (0 where undefined); unlabelled rows are an error."""
     a, p = F.col(actual), F.col(predicted)

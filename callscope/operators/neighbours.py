@@ -70,17 +70,32 @@ def _search(k: int, exclude_self: bool):
     return run
 
 
-def _visit(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool, split_rows: int) -> DataFrame:
-    """Search ``bucket`` of each query. Crowded buckets are searched by several tasks."""
+def _visit(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool, split_rows: int, bucket_rows: int) -> DataFrame:
+    """Search ``bucket`` of each query.
+
+    Buckets with many queries or many points are searched by several tasks: queries are
+    dealt out to parts, points to shares, and every part meets every share. The table of
+    sizes has one row per bucket.
+    """
+    zero = F.lit(0).cast("bigint")
     parts = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / split_rows).alias("parts"))
-    asked = queries.join(F.broadcast(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
-    held = reference.join(F.broadcast(parts), "bucket").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    shares = reference.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (2 * bucket_rows)).alias("shares"))
+    sizes = F.broadcast(parts.join(shares, "bucket"))
+    asked = (
+        queries.join(sizes, "bucket")
+        .withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
+        .withColumn("share", F.explode(F.sequence(zero, F.col("shares") - 1)))
+    )
+    held = (
+        reference.join(sizes, "bucket")
+        .withColumn("share", F.pmod(F.xxhash64("pid"), F.col("shares")))
+        .withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1)))
     )
+    keys = ["bucket", "part", "share"]
     return (
-        asked.select("qid", "v", "radius", "bucket", "part")
-        .groupBy("bucket", "part")
-        .cogroup(held.select("pid", "held_v", "w", "bucket", "part").groupBy("bucket", "part"))
+        asked.select("qid", "v", "radius", *keys)
+        .groupBy(*keys)
+        .cogroup(held.select("pid", "held_v", "w", *keys).groupBy(*keys))
         .applyInPandas(_search(k, exclude_self), _FOUND)
     )
 
@@ -123,15 +138,15 @@ def nearest(
 
     held = bucketed(held, "p", "bucket")
     asked = bucketed(asked, "p", "bucket")
-    first = _visit(asked.withColumn("radius", F.lit(math.inf)), held, k, exclude_self, split_rows)
+    first = _visit(asked.withColumn("radius", F.lit(math.inf)), held, k, exclude_self, split_rows, bucket_rows)
     if not cuts:
         return _closest(first, k)
     first = materialise(first, "neighbours")
-    reach = asked.join(first.select("qid", "radius"), "qid")
+    reach = asked.join(first.groupBy("qid").agg(F.min("radius").alias("radius")), "qid")
     reach = reach.withColumn("_lo", F.col("p") - F.col("radius") - _EDGE).withColumn("_hi", F.col("p") + F.col("radius") + _EDGE)
     reach = bucketed(bucketed(reach, "_lo", "_from"), "_hi", "_to")
     others = reach.withColumn("_own", F.col("bucket")).withColumn("bucket", F.explode(F.sequence("_from", "_to")))
-    second = _visit(others.where(F.col("bucket") != F.col("_own")), held, k, exclude_self, split_rows)
+    second = _visit(others.where(F.col("bucket") != F.col("_own")), held, k, exclude_self, split_rows, bucket_rows)
     return _closest(first.unionByName(second), k)
 
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callscope.operators.detect import ALGORITHMS, Detector
+from callscope.operators.forecast import Forecaster
 from callscope.operators.iforest import ForestModel
 from callscope.operators.lof import LofModel
 from callscope.operators.matrix import Scaler
-from callscope.schemas import FEATURE_SCHEMA_VERSION, MODEL_FEATURES
+from callscope.operators.series import INPUTS
+from callscope.schemas import FEATURE_SCHEMA_VERSION, FORECAST_SCHEMA_VERSION, MODEL_FEATURES
 
 METADATA = T.StructType(
     [
@@ -108,6 +111,48 @@ def load_detector(spark: SparkSession, path: str) -> Detector:
     return Detector(meta["model_name"], meta["model_version"], scaler, model, p["threshold"], p["training_rows"])
 
 
+FORECASTER = "random_forest_forecaster"
+
+
+def save_forecaster(model: Forecaster, path: str, metrics: dict | None = None) -> str:
+    """Write the forests and, last, the metadata row that makes the version valid."""
+    spark = SparkSession.active()
+    for horizon, forest in model.models.items():
+        forest.save(f"{path}/horizon-{horizon}")
+    parameters = json.dumps({"horizons": sorted(model.models)})
+    row = (
+        FORECASTER,
+        model.version,
+        FORECAST_SCHEMA_VERSION,
+        list(INPUTS),
+        parameters,
+        json.dumps(metrics or {}, sort_keys=True),
+        None,
+        _digest(parameters, _forest_tables(spark, path, model.models), spark),
+    )
+    spark.createDataFrame([row], METADATA).withColumn("trained_at", F.current_timestamp()).write.mode("errorifexists").json(
+        f"{path}/metadata"
+    )
+    return path
+
+
+def _forest_tables(spark: SparkSession, path: str, horizons) -> dict[str, DataFrame]:
+    return {str(h): spark.read.parquet(f"{path}/horizon-{h}/data") for h in horizons}
+
+
+def load_forecaster(spark: SparkSession, path: str) -> Forecaster:
+    meta = spark.read.schema(METADATA).json(f"{path}/metadata").first()
+    if meta is None or meta["model_name"] != FORECASTER:
+        raise ValueError("unsupported forecast artifact")
+    if meta["feature_schema_version"] != FORECAST_SCHEMA_VERSION or list(meta["feature_names"]) != list(INPUTS):
+        raise ValueError("feature schema mismatch")
+    horizons = json.loads(meta["parameters"])["horizons"]
+    if meta["checksum"] != _digest(meta["parameters"], _forest_tables(spark, path, horizons), spark):
+        raise ValueError("artifact checksum mismatch")
+    models = {h: RandomForestRegressionModel.load(f"{path}/horizon-{h}") for h in horizons}
+    return Forecaster(models, meta["model_version"])
+
+
 def candidate(spark: SparkSession, version: str, name: str, path: str) -> DataFrame:
     return spark.createDataFrame([(version, name, path, "candidate")], STATUS)
 

@@ -111,27 +111,30 @@ def recent_logs(logs: DataFrame, tenant_id: str | None = None, n: int = LISTING_
 def retain_newest(logs: DataFrame, n: int = MAX_ROWS, *, per_tenant: bool = False) -> DataFrame:
     """Keep the newest ``n`` rows, of the whole table or of each tenant.
 
-    Counts per minute find the minute the cut falls into; newer minutes are kept whole
-    and only the rows of that one minute are ranked, so no task ever sorts the table.
+    Counts per minute find the minute the cut falls into, counts per millisecond the
+    millisecond inside it; newer ones are kept whole and only the rows of that one
+    millisecond are ranked, so no task ever sorts the table.
     """
-    scope = F.col("tenant_id") if per_tenant else F.lit("all")
-    rows = logs.withColumn("_scope", scope).withColumn("_minute", F.date_trunc("minute", "created_at"))
-    newer = Window.partitionBy("_scope").orderBy(F.col("_minute").desc())
-    cut = (
-        rows.groupBy("_scope", "_minute")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(newer.rowsBetween(Window.unboundedPreceding, 0)))
-        .where((F.col("_upto") >= n) & (F.col("_upto") - F.col("_n") < n))
-        .select("_scope", F.col("_minute").alias("_cut"), (F.lit(n) - F.col("_upto") + F.col("_n")).alias("_room"))
-    )
-    marked = rows.join(cut, "_scope", "left")
-    whole = marked.where(F.col("_cut").isNull() | (F.col("_minute") > F.col("_cut")))
-    edge = marked.where(F.col("_minute") == F.col("_cut")).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_scope").orderBy(*_newest_first()))
-    )
-    return whole.select(*logs.columns).unionByName(
-        edge.where(F.col("_rank") <= F.col("_room")).select(*logs.columns)
-    )
+    rows = logs.withColumn("_scope", F.col("tenant_id") if per_tenant else F.lit("all")).withColumn("_room", F.lit(n).cast("bigint"))
+    kept = None
+    for unit in ("minute", "millisecond"):
+        rows = rows.withColumn("_at", F.date_trunc(unit, "created_at"))
+        newer = Window.partitionBy("_scope").orderBy(F.col("_at").desc())
+        upto = F.sum("_n").over(newer.rowsBetween(Window.unboundedPreceding, 0))
+        cut = (
+            rows.groupBy("_scope", "_at")
+            .agg(F.count(F.lit(1)).alias("_n"), F.first("_room").alias("_had"))
+            .withColumn("_upto", upto)
+            .where((F.col("_upto") >= F.col("_had")) & (F.col("_upto") - F.col("_n") < F.col("_had")))
+            .select("_scope", F.col("_at").alias("_cut"), (F.col("_had") - F.col("_upto") + F.col("_n")).alias("_left"))
+        )
+        marked = rows.join(cut, "_scope", "left")
+        whole = marked.where(F.col("_cut").isNull() | (F.col("_at") > F.col("_cut"))).select(*logs.columns)
+        kept = whole if kept is None else kept.unionByName(whole)
+        rows = marked.where(F.col("_at") == F.col("_cut")).drop("_room", "_cut", "_at").withColumnRenamed("_left", "_room")
+    order = Window.partitionBy("_scope").orderBy(*_newest_first())
+    edge = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_room"))
+    return kept.unionByName(edge.select(*logs.columns))
 
 
 def dimension_scan(dim: DataFrame, tenant_id: str | None = None, *, hide=("api_key_hash",)) -> DataFrame:

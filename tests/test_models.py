@@ -32,7 +32,7 @@ def test_neighbours_equal_brute_force(spark):
     points = neighbours.merge_equal(vectors(spark, rows))
     held = points.collect()
     k = 7
-    out = neighbours.nearest(points, points.select(F.col("pid").alias("qid"), "v"), k, exclude_self=True, bucket_rows=40, split_rows=15)
+    out = neighbours.nearest(points, points.select(F.col("pid").alias("qid"), "v"), k, exclude_self=True, bucket_rows=20, split_rows=15)
     got = {}
     for r in out.collect():
         got.setdefault(r["qid"], []).append((r["d"], r["pid"], r["w"]))
@@ -174,3 +174,43 @@ def test_dataset_round_trip(spark, labelled, tmp_path, source):
     back = tables.read_training(spark, str(tmp_path / source), source)
     assert back.count() == labelled.count() and back.columns == [*MODEL_FEATURES, "scenario", "is_synthetic", "is_anomaly", "split", "window_start"]
     assert back.agg(F.sum("success_count")).first() == labelled.agg(F.sum("success_count")).first()
+
+
+def test_forecaster_round_trip(spark, tmp_path):
+    from callscope.operators import forecast, series
+
+    counts = spark.range(300).select(
+        F.lit("t").alias("tenant_id"),
+        F.timestamp_seconds(F.lit(1767225600) + F.col("id") * 60).alias("window_start"),
+        (10 + F.pmod("id", F.lit(7)) + F.pmod("id", F.lit(3))).alias("request_count"),
+    )
+    windows = series.supervised_windows(counts).cache()
+    model, errors = forecast.train_forecaster(windows, trees=5, depth=5)
+    rows = errors.collect()
+    assert {r["horizon_minutes"] for r in rows} == {5, 15} and all(r["mae"] >= 0 for r in rows)
+    assert series.beats_persistence(errors).count() == 1
+    registry.save_forecaster(model, str(tmp_path / "f"))
+    back = registry.load_forecaster(spark, str(tmp_path / "f"))
+    one = forecast.forecast(model, windows).orderBy("horizon_minutes").collect()
+    assert one == forecast.forecast(back, windows).orderBy("horizon_minutes").collect()
+    assert [r["horizon_minutes"] for r in one] == [5, 15] and all(r["predicted_requests"] >= 0 for r in one)
+    spark.read.parquet(str(tmp_path / "f" / "horizon-5" / "data")).limit(2).write.mode("append").parquet(str(tmp_path / "f" / "horizon-5" / "data"))
+    with pytest.raises(ValueError, match="checksum"):
+        registry.load_forecaster(spark, str(tmp_path / "f"))
+
+
+def test_anomaly_status(spark):
+    tenants = spark.createDataFrame([("a",), ("b",)], "id string")
+    found = spark.createDataFrame([("a",), ("a",)], "tenant_id string")
+    got = {r["tenant_id"]: (r["anomaly_count"], r["status"]) for r in detect.anomaly_status(tenants, found, "v").collect()}
+    assert got == {"a": (2, "AVAILABLE"), "b": (0, "AVAILABLE")}
+    assert {(r["anomaly_count"], r["status"]) for r in detect.anomaly_status(tenants).collect()} == {(None, "UNAVAILABLE")}
+
+
+def test_log_append_sink(spark, sf_dir, tmp_path):
+    rows = A.request_logs(spark, sf_dir).withColumn("client_id", F.when(F.col("client_id") == "client-0", "").otherwise(F.col("client_id")))
+    for _ in range(2):
+        tables.append_logs(rows, str(tmp_path / "log"))
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == 2 * rows.count() and back.where("client_id = ''").count() == 0
+    assert back.where("client_id is null").count() == 2 * rows.where("client_id = ''").count()
