@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,12 +33,31 @@ def get_spark(app_name: str = "callscope", cores: int | str = "*", **conf: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
+
+
+_shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every query needs, safe to apply to a session made elsewhere."""
+    """Make a session fit for the operators: UTC, and this package on its Python workers.
+
+    Workers only find the package if it is installed there or sent to them; it is sent
+    once per application, as a small archive of its sources.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="callscope-"), "callscope.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(package)))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(application)
     return spark
 
 

@@ -131,7 +131,7 @@ def test_policy_specificity(spark):
 
 
 def test_second_request_is_refused(spark):
-    key = "gf_test_key_secret"
+    key = "key_test_0000001_secret"
     clients = spark.createDataFrame([("client-a", "tenant-a", key[:16], "active")], "id string, tenant_id string, api_key_prefix string, status string").withColumn("api_key_hash", F.sha2(F.lit(key), 256))
     routes = spark.createDataFrame([route("route-a", "/gateway"), route("open", "/open", auth=False)], ROUTE)
     policies = spark.createDataFrame([("p", "tenant-a", "client-a", None, 1.0, 0.0, True)], POLICY)
