@@ -57,6 +57,9 @@ def prepare(spark: SparkSession) -> SparkSession:
                         path = os.path.join(folder, name)
                         out.write(path, os.path.relpath(path, os.path.dirname(package)))
         spark.sparkContext.addPyFile(archive)
+        # Stream state is also set up by a worker on the driver, which only knows the path.
+        paths = spark.sparkContext.environment
+        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [archive, paths.get("PYTHONPATH")]))
         _shipped.add(application)
     return spark
 
