@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import quality
+from callscope.llm import packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer file lies; the package is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.packed(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_best_two_fit": op2_best_two_fit,
 }
 #: SQL twins, where SQL can express the method.
 ORACLES: dict[str, str] = {}
