@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import packing, quality
+from callscope.llm import packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,14 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_two_fit": op2_best_two_fit,
+    "op6_simhash": op6_simhash,
 }
 #: SQL twins, where SQL can express the method.
 ORACLES: dict[str, str] = {}
