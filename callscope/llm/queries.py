@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callscope.llm import packing, quality, simhash
+from callscope.llm import packing, quality, simhash, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +32,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a 400-byte string goes, the first one too."""
+    found = suffixes.cut(_table(spark, sf_dir, "documents"), keep_first=False)
+    spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_two_fit": op2_best_two_fit,
     "op6_simhash": op6_simhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 #: SQL twins, where SQL can express the method.
 ORACLES: dict[str, str] = {}
