@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import packing, quality, secrets, simhash, suffixes
+from callscope.llm import digest, packing, quality, secrets, simhash, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 
+def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.chained(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -47,6 +51,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_two_fit": op2_best_two_fit,
+    "op3_quartile_digest": op3_quartile_digest,
     "op4_secret_scans": op4_secret_scans,
     "op6_simhash": op6_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
