@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import digest, packing, quality, secrets, simhash, suffixes
+from callscope.llm import digest, language, packing, quality, secrets, simhash, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,15 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the documents that are not held out, predicted for all."""
+    docs = _table(spark, sf_dir, "documents")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    docs = docs.withColumn("held_out", F.coalesce(part == 1, F.lit(False)))
+    learn = docs.where("not held_out").select("text", "lang", F.xxhash64("doc_id", "text").alias("row_hash"))
+    return language.predicted(docs.select("doc_id", "held_out", "text"), language.fit(learn))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +62,7 @@ QUERIES = {
     "op2_best_two_fit": op2_best_two_fit,
     "op3_quartile_digest": op3_quartile_digest,
     "op4_secret_scans": op4_secret_scans,
+    "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
