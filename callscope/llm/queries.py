@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import digest, language, packing, quality, secrets, simhash, suffixes
+from callscope.llm import digest, language, packing, quality, secrets, simhash, suffixes, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,34 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = [urls.host_rule(*r) for r in HOST_RULES] + [urls.token_rule(t, "block") for t in urls.BLOCKED_TOKENS]
+    return urls.judged(_table(spark, sf_dir, "pages"), urls.rules(spark, listed))
+
+
+OP8_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages),
+rules(rule, h, p, action) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+urls AS (SELECT DISTINCT host, path FROM parts),
+best AS (
+  SELECT host, path, rule, action, row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule) AS place
+  FROM urls, rules
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, parts.host, parts.path, rule,
+       coalesce(action, CASE WHEN len(list_filter(regexp_split_to_array(parts.host, '[^a-z0-9]+'),
+         lambda t: t IN ({", ".join(f"'{t}'" for t in urls.BLOCKED_TOKENS)}))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path AND place = 1
+"""
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a 400-byte string goes, the first one too."""
     found = suffixes.cut(_table(spark, sf_dir, "documents"), keep_first=False)
@@ -64,7 +92,8 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op8_url_filters": op8_url_filters,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 #: SQL twins, where SQL can express the method.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filters": OP8_SQL}
