@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import digest, language, packing, quality, secrets, simhash, suffixes, urls
+from callscope.llm import digest, language, packing, quality, secrets, simhash, suffixes, urls, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,16 @@ FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path A
 """
 
 
+def op9_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = words.encoded(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a 400-byte string goes, the first one too."""
     found = suffixes.cut(_table(spark, sf_dir, "documents"), keep_first=False)
@@ -93,6 +103,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op8_url_filters": op8_url_filters,
+    "op9_word_table_bpe": op9_word_table_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 #: SQL twins, where SQL can express the method.
