@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import digest, language, packing, quality, secrets, simhash, suffixes, urls, words
+from callscope.llm import digest, html, language, packing, quality, secrets, simhash, suffixes, urls, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
@@ -102,6 +106,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_wrapper_induction": op7_wrapper_induction,
     "op8_url_filters": op8_url_filters,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
