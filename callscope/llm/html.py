@@ -318,12 +318,13 @@ def extract(pages: list[str | None]) -> list[str]:
         if heaviest is None or below[heaviest] < PART * total or not any(s.startswith(heaviest + "/") for s in weights):
             break
         part = heaviest
-    return [
-        "\n".join(
-            line for block, line, _ in lines if (slot := slots[shape][block.spot]) in content and _within(slot, part)
-        )
-        for shape, lines in parsed
-    ]
+    made = []
+    for shape, lines in parsed:
+        kept = [(slot, line) for block, line, _ in lines if (slot := slots[shape][block.spot]) in content]
+        # A page of another build than its group's may have nothing in that part; then all that varies is its text.
+        inside = [line for slot, line in kept if _within(slot, part)] or [line for _, line in kept]
+        made.append("\n".join(inside))
+    return made
 
 
 def _groups(batches):

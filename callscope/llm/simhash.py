@@ -151,16 +151,21 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, til
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, text_hash, fingerprint, component_id) of every row of a ``keyed`` table, without texts."""
+    """(doc_id, text_hash, fingerprint, root, component_id) of every row of a ``keyed`` table, without texts.
+
+    The root is a fingerprint of the component; ids that repeat could not tell components apart.
+    """
     found = with_column(docs, "fingerprint", T.LongType(), lambda column: fingerprints(column, size))
     found = stored(found.drop("text"), "simhash")
     firsts = stored(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "prints")
     roots = components(links(firsts, distance))
     named = stored(firsts.join(roots, firsts["fingerprint"] == roots["node"]).select("fingerprint", "first", "root"), "named")
     least = stored(named.groupBy("root").agg(F.min("first").alias("least")), "least")
-    linked = named.join(least, "root").select("fingerprint", "least")
-    label = F.coalesce("least", "first").alias("component_id")
-    labels = stored(firsts.join(linked, "fingerprint", "left").select("fingerprint", label), "labels")
+    linked = named.join(least, "root").select("fingerprint", "root", "least")
+    # A component alone keeps its own id; one whose ids are all null keeps null.
+    label = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")
+    root = F.coalesce("root", "fingerprint").alias("root")
+    labels = stored(firsts.join(linked, "fingerprint", "left").select("fingerprint", root, label), "labels")
     return found.join(labels, "fingerprint")
 
 
@@ -177,11 +182,11 @@ def keep_first(
 ) -> DataFrame:
     """One document of each component, the one with the least id, with the columns it came with.
 
-    A null id counts as the greatest. Of rows that share the id, the one whose text has the
-    least hash stays, once.
+    A null id counts as the greatest. Of rows of a component that share the id, the one whose
+    text has the least hash stays, once.
     """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    chosen = classes(keyed(docs, key, text), size, distance).groupBy("component_id").agg(F.min(order).alias("kept"))
+    chosen = classes(keyed(docs, key, text), size, distance).groupBy("root").agg(F.min(order).alias("kept"))
     chosen = stored(chosen.select("kept.doc_id", "kept.text_hash"), "chosen")
     hashed = new_name(docs, "text_hash")
     rows = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))

@@ -27,6 +27,7 @@ SPLIT = r"[\x20\x09-\x0D]+"
 STEPS = 8
 
 _tokenizers: dict = {}
+_pieces: dict = {}
 
 
 def _tokenizer(path: str):
@@ -40,6 +41,12 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _vocabulary(path: str) -> dict[int, str]:
+    if path not in _pieces:
+        _pieces[path] = {i: piece for piece, i in _tokenizer(path).get_vocab(True).items()}
+    return _pieces[path]
+
+
 def _encode_words(path: str):
     def run(batches):
         for batch in batches:
@@ -66,8 +73,7 @@ def word_table(docs: DataFrame, path: str, text: str = "text", limit: int = TABL
         least = row["step"]
     frequent = counts.where(step >= least) if least is not None else counts.limit(0)
     encoded = frequent.select("word").mapInArrow(_encode_words(path), "word string, ids array<int>")
-    tokenizer = _tokenizer(path)
-    vocabulary = spark.createDataFrame([(i, piece) for piece, i in tokenizer.get_vocab(True).items()], "id int, piece string")
+    vocabulary = spark.createDataFrame(list(_vocabulary(path).items()), "id int, piece string")
     placed = encoded.select("word", "ids", F.posexplode("ids").alias("at", "id")).join(vocabulary, "id")
     listed = placed.groupBy("word").agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
     return listed.select("word", "ids", F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
@@ -84,14 +90,14 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches):
-        tokenizer = _tokenizer(path)
+        tokenizer, named = _tokenizer(path), _vocabulary(path)
         for batch in slices(batches, "text"):
             words = [t.split() for t in rows_bytes(batch.column("text"))]
             table = shared.value
             rare = list({w for row in words for w in row if w not in table})
             found = tokenizer.encode_batch_fast([w.decode() for w in rare], add_special_tokens=False)
             ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rare, found, strict=True)}
-            pieces = {w: " ".join(e.tokens).encode() for w, e in zip(rare, found, strict=True)}
+            pieces = {w: " ".join([named[i] for i in e.ids]).encode() for w, e in zip(rare, found, strict=True)}
             all_ids, decoded = [], []
             for row in words:
                 got = [table.get(w) or (ids[w], pieces[w]) for w in row]
