@@ -1,13 +1,15 @@
-"""Cutting one document's text into overlapping chunks; a per-row helper for Spark tasks."""
+"""Cutting texts into overlapping chunks, as column expressions over arrays."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-# Heading syntax, paragraph break, default sizes.
-HEADING = re.compile(r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$")
-PARAGRAPH = re.compile(r"\n\s*\n")
+# Heading syntax, paragraph break, line breaks, white space, default sizes.
+HEADING = r"(?U)^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
+PARAGRAPH = r"(?U)\n\s*\n"
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 FIRST_SECTION = "Document"
 MAX_CHARS, OVERLAP_CHARS, MIN_MAX_CHARS = 1800, 240, 200
 
@@ -19,53 +21,88 @@ def check_sizes(max_chars: int, overlap: int) -> None:
         raise ValueError("overlap must be at least 0 and below max_chars")
 
 
-def _sections(text: str) -> Iterator[tuple[str, str]]:
-    """(heading, text) per section; the heading line opens the text of its section."""
-    lines = text.splitlines()
-    marks = [(i, m.group(1).strip()) for i, line in enumerate(lines) if (m := HEADING.match(line))]
-    bounds = [(0, FIRST_SECTION), *marks, (len(lines), "")]
-    for (start, name), (stop, _) in zip(bounds, bounds[1:]):
-        if stop > start:
-            body = lines[start:stop]
-            if HEADING.match(body[0]):
-                body[0] = body[0].strip()
-            yield name, "\n".join(body).strip()
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACE}|{SPACE}$", "")
 
 
-def _pieces(paragraph: str, max_chars: int) -> Iterator[str]:
+def _lstrip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACE}", "")
+
+
+def sections(text: Column) -> Column:
+    """(section, body) per section; the lines between two headings belong to the first of them."""
+    lines = F.split(text, LINE_BREAK)
+    starts = lambda x: F.array_distinct(
+        F.concat(F.array(F.lit(0)), F.array_compact(F.transform(x, lambda line, i: F.when(line.rlike(HEADING), i))))
+    )
+
+    def cut(x: Column, marks: Column) -> Column:
+        def section(at: Column, k: Column) -> Column:
+            body = F.slice(x, at + 1, F.coalesce(F.get(marks, k + 1), F.size(x)) - at)
+            head = F.get(x, at)
+            named = head.rlike(HEADING)
+            opened = F.when(named, F.concat(F.array(_strip(head)), F.slice(body, 2, F.size(body)))).otherwise(body)
+            name = F.when(named, _strip(F.regexp_extract(head, HEADING, 1))).otherwise(F.lit(FIRST_SECTION))
+            return F.struct(name.alias("section"), _strip(F.array_join(opened, "\n")).alias("body"))
+
+        return F.transform(marks, section)
+
+    # Bind the lines and marks once: an array of one, mapped.
+    bound = F.transform(F.array(lines), lambda x: F.struct(x.alias("x"), starts(x).alias("marks")))
+    return F.flatten(F.transform(bound, lambda b: cut(b["x"], b["marks"])))
+
+
+def pieces(paragraph: Column, max_chars: int) -> Column:
     """The paragraph in parts that fit: cut at the last space of the later half, else hard."""
-    at, end = 0, len(paragraph)
-    while end - at > max_chars:
-        space = paragraph.rfind(" ", at, at + max_chars + 1)
-        stop = space if space - at >= max_chars // 2 else at + max_chars
-        yield paragraph[at:stop].strip()
-        at = stop
-        while at < end and paragraph[at].isspace():
-            at += 1
-    if at < end:
-        yield paragraph[at:]
-
-
-def chunk_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[str, str]]:
-    """(section, content) of every chunk in order.
-
-    Pieces are packed while they fit; a chunk after the first of a section starts with the
-    tail of the one before it, as much as leaves room for its own piece.
+    rounds = F.sequence(F.lit(0), F.floor(F.length(paragraph) / (max_chars // 2)).cast("int"))
+    start = F.struct(paragraph.alias("rest"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        window = F.substring(rest, 1, max_chars + 1)
+        space = F.length(window) - F.instr(F.reverse(window), " ")
+        cut = F.when((F.instr(window, " ") > 0) & (space >= max_chars // 2), space).otherwise(F.lit(max_chars))
+        fits = F.length(rest) <= max_chars
+        piece = F.when(fits, rest).otherwise(_strip(F.substring(rest, F.lit(1), cut)))
+        left = F.when(fits, F.lit("")).otherwise(_lstrip(F.substring(rest, cut + 1, F.length(rest))))
+        done = F.when(rest == "", state["out"]).otherwise(F.array_append(state["out"], piece))
+        return F.struct(left.alias("rest"), done.alias("out"))
+
+    return F.aggregate(rounds, start, step, lambda state: state["out"])
+
+
+def packed(parts: Column, max_chars: int, overlap: int) -> Column:
+    """Parts joined while they fit; a new chunk begins with the end of the one before it.
+
+    The chunk being filled is the last of the array, so a part either extends that one or opens
+    the next. Of the overlap only as much is taken as leaves room for the part itself.
     """
-    chunks = []
-    for section, body in _sections(text.replace("\r\n", "\n").replace("\r", "\n")):
-        held = ""
-        for paragraph in filter(None, map(str.strip, PARAGRAPH.split(body))):
-            for piece in _pieces(paragraph, max_chars):
-                joined = f"{held}\n\n{piece}" if held else piece
-                if len(joined) > max_chars:
-                    chunks.append((section, held))
-                    tail = held[-overlap:].strip() if overlap else ""
-                    room = max(0, max_chars - 2 - len(piece))
-                    if len(tail) > room:
-                        tail = tail[len(tail) - room :].lstrip()
-                    joined = f"{tail}\n\n{piece}" if tail else piece
-                held = joined
-        if held:
-            chunks.append((section, held))
-    return chunks
+
+    def add(chunks: Column, part: Column) -> Column:
+        last = F.element_at(chunks, -1)
+        longer = F.concat(last, F.lit("\n\n"), part)
+        room = F.greatest(F.lit(0), max_chars - 2 - F.length(part))
+        end = _strip(F.right(last, F.lit(overlap)))
+        shared = F.when(F.length(end) > room, _lstrip(F.right(end, room))).otherwise(end)
+        opened = F.when(shared == "", part).otherwise(F.concat(shared, F.lit("\n\n"), part))
+        return (
+            F.when(F.size(chunks) == 0, F.array(part))
+            .when(F.length(longer) <= max_chars, F.concat(F.slice(chunks, 1, F.size(chunks) - 1), F.array(longer)))
+            .otherwise(F.array_append(chunks, opened))
+        )
+
+    return F.aggregate(parts, F.array().cast("array<string>"), add)
+
+
+def chunks(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
+    """array<(section, content)> of every chunk in order."""
+    check_sizes(max_chars, overlap)
+
+    def of_section(s: Column) -> Column:
+        paragraphs = F.filter(F.transform(F.split(s["body"], PARAGRAPH), _strip), lambda p: p != "")
+        parts = F.flatten(F.transform(paragraphs, lambda p: pieces(p, max_chars)))
+        return F.transform(
+            packed(parts, max_chars, overlap), lambda c: F.struct(s["section"].alias("section"), c.alias("content"))
+        )
+
+    return F.flatten(F.transform(sections(text), of_section))

@@ -9,16 +9,14 @@ from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from callscope.functions import chunking
 from callscope.functions.columns import as_col, vector_problem
 from callscope.operators.upsert import replace_sources
 from callscope.schemas import require_columns
 
-# What ends a line, and white space at its ends.
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
-EDGE_SPACE = r"^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$"
+LINE_BREAK = chunking.LINE_BREAK
+EDGE_SPACE = f"^{chunking.SPACE}|{chunking.SPACE}$"
 
 # Fixed value: put in front of a question before a neural model embeds it.
 QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "
@@ -61,29 +59,9 @@ def chunk_documents(
     documents: DataFrame, keys, *, content: str = "content", max_chars: int = chunking.MAX_CHARS, overlap: int = chunking.OVERLAP_CHARS
 ) -> DataFrame:
     """One row per chunk: ``keys``, chunk_index, section, content. No shuffle."""
-    chunking.check_sizes(max_chars, overlap)
-    keys = list(keys)
-    schema = T.StructType(
-        [documents.schema[k] for k in keys]
-        + [
-            T.StructField("chunk_index", T.IntegerType()),
-            T.StructField("section", T.StringType()),
-            T.StructField("content", T.StringType()),
-        ]
-    )
-    names = [f.name for f in schema]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame.pop("_text")
-            rows = [
-                (*key, i, section, chunk)
-                for key, text in zip(frame.itertuples(index=False, name=None), texts)
-                for i, (section, chunk) in enumerate(chunking.chunk_text(text or "", max_chars, overlap))
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
-    return documents.select(*keys, F.col(content).alias("_text")).mapInPandas(run, schema)
+    cut = chunking.chunks(F.coalesce(F.col(content), F.lit("")), max_chars, overlap)
+    placed = documents.select(*keys, F.posexplode(cut).alias("chunk_index", "_chunk"))
+    return placed.select(*keys, "chunk_index", "_chunk.section", "_chunk.content")
 
 
 def chunk_rows(documents: DataFrame, **sizes) -> DataFrame:
