@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -13,24 +11,22 @@ from pyspark.sql import functions as F
 
 from callscope.functions import columns as C
 
-MAX_SENT_VALUES = 8_000_000  # numbers of query vectors that may travel with a task (64 MB)
-BLOCK_QUERIES, BLOCK_CHUNKS = 1024, 50_000
+#: A task compares at most this many queries with as many chunks, and scores TILE chunks at a time.
+BLOCK_QUERIES, BLOCK_CHUNKS, TILE = 1024, 50_000, 4096
 _HITS = "query_id string, id bigint, similarity double"
 _DIGITS = 12
 
 
-def _best(query_ids, ids, scores, k: int, allowed=None) -> list[tuple]:
-    """The k best (query, id, score) per query; ``scores`` is queries x chunks."""
-    out = []
-    for row, name in enumerate(query_ids):
-        line = scores[row]
-        at = np.arange(len(ids)) if allowed is None else np.flatnonzero(allowed[row])
-        if len(at) > k:
-            cut = np.partition(line[at], len(at) - k)[len(at) - k]
-            at = at[line[at] >= cut]
-        at = at[np.lexsort((ids[at], -line[at]))][:k]
-        out += [(name, int(ids[j]), float(line[j])) for j in at]
-    return out
+def _best(query_ids, queries: np.ndarray, ids: np.ndarray, chunks, k: int, metric: str) -> list[tuple]:
+    """The k best (query, id, score) per query, from tiles of chunks so that few scores exist at once."""
+    top, at = np.empty((len(queries), 0)), np.empty((len(queries), 0), np.int64)
+    for start in range(0, len(ids), TILE):
+        tile = ids[start : start + TILE]
+        top = np.hstack([top, _scores(queries, _matrix(chunks[start : start + TILE]), metric)])
+        at = np.hstack([at, np.broadcast_to(tile, (len(queries), len(tile)))])
+        order = np.lexsort((at, -top), axis=1)[:, :k]
+        top, at = np.take_along_axis(top, order, 1), np.take_along_axis(at, order, 1)
+    return [(q, int(i), float(x)) for q, row, line in zip(query_ids, at, top) for i, x in zip(row, line)]
 
 
 def _scores(queries: np.ndarray, chunks: np.ndarray, metric: str) -> np.ndarray:
@@ -62,23 +58,20 @@ def top_k(
     dimension: int,
     metric: str = "cosine",
     vector: str = "embedding",
-    max_sent_values: int = MAX_SENT_VALUES,
+    block_queries: int = BLOCK_QUERIES,
+    block_chunks: int = BLOCK_CHUNKS,
 ) -> DataFrame:
     """Exact top k: (query_id, id, similarity, rank), each query within its own tenant.
 
-    Every task keeps only its k best per query, so pairs are never emitted. If the query
-    vectors are few they travel to the chunks, which are then read in place; otherwise
-    blocks of queries meet blocks of chunks of the same tenant by a shuffle.
+    Blocks of queries meet blocks of chunks of the same tenant; every meeting keeps its k best
+    per query, so pairs are never emitted.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError("metric must be 'cosine' or 'dot'")
     k = max(1, int(k))
     held = _prepared(chunks, "id", vector, metric, dimension)
     asked = _prepared(queries.withColumn("query_id", F.col("query_id").cast("string")), "query_id", vector, metric, dimension)
-    limit = max(1, max_sent_values // dimension)
-    few = asked.limit(limit + 1).count() <= limit
-    hits = _sent(held, asked, k, metric) if few else _blocked(held, asked, k, metric)
-    return _ranked(hits, k)
+    return _ranked(_blocked(held, asked, ["tenant_id"], k, metric, block_queries, block_chunks), k)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -86,68 +79,35 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return C.top_n_per_group(hits, ["query_id"], order, k, salt_by=["id"], salts=8)
 
 
-def _sent(held: DataFrame, asked: DataFrame, k: int, metric: str, hashes: bool = False) -> DataFrame:
-    by_tenant: dict[str, tuple] = {}
-    for row in asked.orderBy("_id").collect():  # bounded by MAX_SENT_VALUES
-        entry = by_tenant.setdefault(row["tenant_id"], ([], [], []))
-        entry[0].append(row["_id"])
-        entry[1].append(row["_v"])
-        entry[2].append(row["_h"] if hashes else None)
-    packed = {t: (names, _matrix(v), np.array(h) if hashes else None) for t, (names, v, h) in by_tenant.items()}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, list] = {}
-        for frame in frames:
-            for tenant, part in frame.groupby("tenant_id", sort=False):
-                if tenant not in packed:
-                    continue
-                names, vectors, query_hashes = packed[tenant]
-                allowed = None
-                if hashes:
-                    mine = np.vstack(part["_h"].to_numpy())
-                    allowed = (query_hashes[:, None, :] == mine[None, :, :]).any(axis=2)
-                scores = _scores(vectors, _matrix(part["_v"]), metric)
-                for name, at, score in _best(names, part["_id"].to_numpy(), scores, k, allowed):
-                    kept.setdefault(name, []).append((-score, at))
-            for name, found in kept.items():
-                if len(found) > 4 * k:
-                    kept[name] = sorted(found)[:k]
-        rows = [(name, at, -score) for name, found in kept.items() for score, at in sorted(found)[:k]]
-        yield pd.DataFrame(rows, columns=["query_id", "id", "similarity"])
-
-    wanted = held.where(F.col("tenant_id").isin(list(packed))) if len(packed) <= 1000 else held
-    return wanted.mapInPandas(run, _HITS)
-
-
-def _blocked(held: DataFrame, asked: DataFrame, k: int, metric: str) -> DataFrame:
-    # Counts per tenant size the blocks, so a tenant with most of the rows is spread out.
+def _blocked(held: DataFrame, asked: DataFrame, group: list[str], k: int, metric: str, block_queries: int, block_chunks: int) -> DataFrame:
+    """The k best of each query in each block of chunks that has the same values in ``group``."""
+    # Counts per group size the blocks, so a group with most of the rows is spread out.
     sizes = (
-        held.groupBy("tenant_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CHUNKS).alias("chunk_blocks"))
-        .join(asked.groupBy("tenant_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("query_blocks")), "tenant_id")
+        held.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_chunks).alias("chunk_blocks"))
+        .join(asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_queries).alias("query_blocks")), group)
     )
     zero = F.lit(0).cast("bigint")
     left = (
-        asked.select(F.col("_id").alias("query_id"), F.col("_v").alias("query_v"), "tenant_id")
-        .join(sizes, "tenant_id")
+        asked.select(F.col("_id").alias("query_id"), F.col("_v").alias("query_v"), *group)
+        .join(sizes, group)
         .withColumn("qb", F.pmod(F.xxhash64("query_id"), "query_blocks"))
         .withColumn("cb", F.explode(F.sequence(zero, F.col("chunk_blocks") - 1)))
-        .select("query_id", "query_v", "tenant_id", "qb", "cb")
+        .select("query_id", "query_v", *group, "qb", "cb")
     )
     right = (
-        held.join(sizes, "tenant_id")
+        held.join(sizes, group)
         .withColumn("cb", F.pmod(F.xxhash64("_id"), "chunk_blocks"))
         .withColumn("qb", F.explode(F.sequence(zero, F.col("query_blocks") - 1)))
-        .select(F.col("_id").alias("chunk_id"), F.col("_v").alias("chunk_v"), F.col("tenant_id").alias("tenant_id"), "qb", "cb")
+        .select(F.col("_id").alias("chunk_id"), F.col("_v").alias("chunk_v"), *[F.col(g).alias(g) for g in group], "qb", "cb")
     )
 
     def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(ours) and len(theirs):
-            scores = _scores(_matrix(ours["query_v"]), _matrix(theirs["chunk_v"]), metric)
-            rows = _best(ours["query_id"].to_numpy(), theirs["chunk_id"].to_numpy(), scores, k)
+            rows = _best(ours["query_id"], _matrix(ours["query_v"]), theirs["chunk_id"].to_numpy(), theirs["chunk_v"], k, metric)
         return pd.DataFrame(rows, columns=["query_id", "id", "similarity"])
 
-    keys = ["tenant_id", "qb", "cb"]
+    keys = [*group, "qb", "cb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, _HITS)
 
 
@@ -161,24 +121,27 @@ def approximate_top_k(
     tables: int = 12,
     bucket_length: float = 0.7,
     seed: int = 42,
+    block_queries: int = BLOCK_QUERIES,
+    block_chunks: int = BLOCK_CHUNKS,
 ) -> DataFrame:
     """Top k among the chunks that share a random-projection bucket with the query.
 
-    Vectors are brought to unit length and hashed in the JVM; only chunks agreeing with a
-    query in at least one hash are scored, with exact cosine. Hot buckets need no shuffle.
+    Vectors are brought to unit length and hashed in the JVM. Queries meet only the chunks of
+    their tenant's buckets, by an equi-join on (tenant, table, bucket) in blocks, so a hot
+    bucket is spread out; scores are exact cosines.
     """
     unit = lambda df: df.withColumn("_u", array_to_vector(F.transform("_v", lambda x: x / C.norm("_v"))))
     held = unit(_prepared(chunks, "id", vector, "cosine", dimension))
     asked = unit(_prepared(queries.withColumn("query_id", F.col("query_id").cast("string")), "query_id", vector, "cosine", dimension))
-    if asked.limit(MAX_SENT_VALUES // dimension + 1).count() > MAX_SENT_VALUES // dimension:
-        raise ValueError("too many queries at once for approximate search; use top_k")
     model = BucketedRandomProjectionLSH(
         inputCol="_u", outputCol="_hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed
-    ).fit(held.limit(1))
-    hashed = lambda df: model.transform(df).withColumn(
-        "_h", F.transform("_hashes", lambda h: vector_to_long(h))
-    ).select("_id", "tenant_id", "_v", "_h")
-    return _ranked(_sent(hashed(held), hashed(asked), k, "cosine", hashes=True), k)
+    ).fit(held.limit(1))  # fitting only reads the dimension
+    bucketed = lambda df: model.transform(df).select(
+        "_id", "tenant_id", "_v", F.posexplode(F.transform("_hashes", vector_to_long)).alias("_table", "_bucket")
+    )
+    group = ["tenant_id", "_table", "_bucket"]
+    hits = _blocked(bucketed(held), bucketed(asked), group, max(1, int(k)), "cosine", block_queries, block_chunks)
+    return _ranked(hits.distinct(), k)
 
 
 def vector_to_long(h: Column) -> Column:

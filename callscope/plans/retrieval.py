@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callscope.functions.columns import vector_problem
@@ -49,8 +50,8 @@ def vector_topk(spark, sf_dir):
 
 
 def vector_topk_blocked(spark, sf_dir):
-    """The same search with the query vectors too many to travel: block by block."""
-    return _shown(_hits(spark, sf_dir, max_sent_values=DIM))
+    """The same search cut into many small blocks."""
+    return _shown(_hits(spark, sf_dir, block_queries=100, block_chunks=300))
 
 
 for fn in (vector_topk, vector_topk_blocked):
@@ -88,6 +89,29 @@ def lsh_topk(spark, sf_dir):
 QUERIES["lsh_topk"] = lsh_topk
 
 
+def lsh_recall(spark, sf_dir):
+    """Approximate against exact search: wrong scores, wrong order, too many hits, recall of 0.9."""
+    near, exact = lsh_topk(spark, sf_dir), vector_topk(spark, sf_dir)
+    both = near.join(exact.select("query_id", "id", F.col("similarity").alias("exact")), ["query_id", "id"], "left")
+    order = F.lag("similarity").over(Window.partitionBy("query_id").orderBy("rank"))
+    facts = both.withColumn("before", order).agg(
+        F.count_if(F.col("similarity") != F.col("exact")).alias("wrong_scores"),
+        F.count_if(F.col("similarity") > F.col("before")).alias("wrong_order"),
+        F.count_if(F.col("rank") > 5).alias("too_many"),
+        F.count("exact").alias("found"),
+    )
+    wanted = exact.agg(F.count(F.lit(1)).alias("wanted"))
+    good = (F.col("found") >= 0.9 * F.col("wanted")).alias("recall_ok")
+    return facts.join(wanted, F.lit(True)).select("wanted", "wrong_scores", "wrong_order", "too_many", good)
+
+
+QUERIES["lsh_recall"] = lsh_recall
+ORACLES["lsh_recall"] = A.with_ctes(
+    *BASE,
+    "SELECT count(*) AS wanted, CAST(0 AS BIGINT) AS wrong_scores, CAST(0 AS BIGINT) AS wrong_order, CAST(0 AS BIGINT) AS too_many, true AS recall_ok FROM hits",
+)
+
+
 def vector_validity(spark, sf_dir):
     """Vectors damaged by a rule on the id, and what is found wrong with them."""
     v, i = F.col("embedding").cast("array<double>"), F.col("id")

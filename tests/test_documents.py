@@ -6,19 +6,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callscope.functions import text
-from callscope.functions.chunking import check_sizes, chunk_text
+from callscope.functions.chunking import check_sizes, chunks as chunk_array
 from callscope.functions.columns import cosine
 from callscope.operators import assistant, documents, retrieval
 from callscope.schemas import KNOWLEDGE_CHUNKS
 from callscope.sources import tables
 
 
-def test_chunks_follow_sections():
+def chunk_text(spark, body, *sizes):
+    row = spark.createDataFrame([(body,)], "body string").select(chunk_array(F.col("body"), *sizes).alias("c")).first()
+    return [(c["section"], c["content"]) for c in row["c"]]
+
+
+def test_chunks_follow_sections(spark):
     body = "# Rate Limits\n\n" + "A sentence about limits. " * 30 + "\n\n## Retry behavior\n\nWait and retry."
-    chunks = chunk_text(body, 500, 60)
+    chunks = chunk_text(spark, body, 500, 60)
     assert len(chunks) >= 2 and chunks[0][0] == "Rate Limits" and [s for s, _ in chunks].count("Retry behavior") == 1
     assert all(c.strip() and len(c) <= 500 for _, c in chunks)
-    long = chunk_text("# Long section\n\n" + "word " * 1000, 400, 50)
+    long = chunk_text(spark, "# Long section\n\n" + "word " * 1000, 400, 50)
     assert {s for s, _ in long} == {"Long section"} and all(len(c) <= 400 for _, c in long)
 
 
@@ -28,17 +33,17 @@ def test_chunk_sizes(sizes):
         check_sizes(*sizes)
 
 
-def test_headings_and_line_ends():
-    chunks = chunk_text("intro\r\nmore\r\n\r\n   ### Third ###  \rtext\n#no heading\n# Last #")
+def test_headings_and_line_ends(spark):
+    chunks = chunk_text(spark, "intro\r\nmore\r\n\r\n   ### Third ###  \rtext\n#no heading\n# Last #")
     assert chunks == [("Document", "intro\nmore"), ("Third", "### Third ###\ntext\n#no heading"), ("Last", "# Last #")]
-    assert chunk_text("") == []
+    assert chunk_text(spark, "") == []
 
 
-def test_overlap_is_the_tail_of_the_chunk_before():
+def test_overlap_is_the_tail_of_the_chunk_before(spark):
     parts = ["a" * 150, "b" * 100, "c" * 150]
-    chunks = [c for _, c in chunk_text("\n\n".join(parts), 260, 60)]
+    chunks = [c for _, c in chunk_text(spark, "\n\n".join(parts), 260, 60)]
     assert chunks == ["a" * 150 + "\n\n" + "b" * 100, "b" * 60 + "\n\n" + "c" * 150]
-    assert "".join(c for _, c in chunk_text("x" * 1000, 300, 0)) == "x" * 1000
+    assert "".join(c for _, c in chunk_text(spark, "x" * 1000, 300, 0)) == "x" * 1000
 
 
 def docs(spark, *rows):
@@ -81,12 +86,12 @@ def chunks(spark):
     )
 
 
-@pytest.mark.parametrize("sent", [10**6, 1])
-def test_search_stays_in_the_tenant(spark, sent):
+@pytest.mark.parametrize("block", [1024, 1])
+def test_search_stays_in_the_tenant(spark, block):
     asked = spark.createDataFrame([("q", "tenant-a", [1.0, 0.1]), ("r", "tenant-b", [0.0, 1.0]), ("z", "tenant-c", [1.0, 1.0])], "query_id string, tenant_id string, embedding array<double>")
-    out = retrieval.top_k(chunks(spark), asked, 5, dimension=2, max_sent_values=sent).orderBy("query_id", "rank").collect()
+    out = retrieval.top_k(chunks(spark), asked, 5, dimension=2, block_queries=block, block_chunks=block).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["id"], r["rank"]) for r in out] == [("q", 1, 1), ("q", 2, 2), ("r", 3, 1)]
-    dot = retrieval.top_k(chunks(spark), asked.where("query_id = 'q'"), 5, dimension=2, metric="dot", max_sent_values=sent)
+    dot = retrieval.top_k(chunks(spark), asked.where("query_id = 'q'"), 5, dimension=2, metric="dot", block_queries=block, block_chunks=block)
     assert [r["id"] for r in dot.orderBy("rank").collect()] == [1, 2, 4]
 
 
@@ -99,9 +104,13 @@ def test_hot_tenant_top_k_equals_numpy(spark):
     q = spark.createDataFrame([(str(i), "t", v.tolist()) for i, v in enumerate(asked)], "query_id string, tenant_id string, embedding array<double>")
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     want = {(str(i), int(j)) for i, row in enumerate(unit(asked) @ unit(held).T) for j in np.argsort(-row)[:4]}
-    for sent in (10**6, 8):
-        got = {(r["query_id"], r["id"]) for r in retrieval.top_k(c, q, 4, dimension=8, max_sent_values=sent).collect()}
+    for sizes in ({}, {"block_queries": 7, "block_chunks": 900}):
+        got = {(r["query_id"], r["id"]) for r in retrieval.top_k(c, q, 4, dimension=8, **sizes).collect()}
         assert got == want
+    # Two hot buckets a table, cut into blocks: almost everything meets.
+    got = retrieval.approximate_top_k(c, q, 4, dimension=8, bucket_length=100.0, block_queries=16, block_chunks=700)
+    found = {(r["query_id"], r["id"]) for r in got.collect()}
+    assert len(found) == len(want) and len(found & want) > 0.95 * len(want)
 
 
 def test_lsh_recall(spark, sf_dir):
