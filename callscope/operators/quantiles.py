@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, columns, probability: float, *, accuracy: int = 10_000) -> dict[str, float | None]:
-    """Linear-interpolated quantile of each column, NULLs left out.
+    """Linear-interpolated quantile of each column, NULLs and NaNs left out.
 
     An approximate sketch brackets the wanted rank, then only the values inside the
     bracket (about ``4 / accuracy`` of the rows) are counted and ranked. If a bracket
     misses its rank it is widened, so the answer is always exact.
     """
     columns = list(columns)
-    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    # NaN is no value: it has no place in the order.
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    numbers = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(columns)])
     found: dict[int, float | None] = {}
     pending = list(range(len(columns)))
     slack = 2 / accuracy
@@ -35,6 +37,8 @@ def exact_quantiles(df: DataFrame, columns, probability: float, *, accuracy: int
                 bracket[i] = (-math.inf, math.inf) if whole else (lo, hi)
         if bracket:
             found.update(_ranked(numbers, bracket, {i: facts[f"n{i}"] for i in bracket}, probability))
+        if slack >= 1:
+            break
         pending = [i for i in pending if i not in found]
         slack *= 10
     return {c: found[i] for i, c in enumerate(columns)}

@@ -163,15 +163,18 @@ def promote(registry: DataFrame, version: str, *, replace: bool = False) -> Data
     An active version is only replaced on request and then kept as the one backup; a
     backup still in place stops the promotion.
     """
-    state = {r["model_version"]: r["status"] for r in registry.where(
-        F.col("status").isin("active", "backup") | (F.col("model_version") == version)
-    ).limit(3).collect()}
-    if state.get(version) != "candidate":
+    is_it = (F.col("model_version") == version) & (F.col("status") == "candidate")
+    state = registry.agg(
+        F.count_if(is_it).alias("candidates"),
+        F.count_if(F.col("status") == "active").alias("active"),
+        F.count_if(F.col("status") == "backup").alias("backups"),
+    ).first()
+    if not state["candidates"]:
         raise ValueError(f"no candidate named {version}")
-    if "active" in state.values():
+    if state["active"]:
         if not replace:
             raise ValueError("an active model exists; review the candidate and pass replace=True")
-        if "backup" in state.values():
+        if state["backups"]:
             raise ValueError("a rollback backup exists already; archive it before replacing")
     status = (
         F.when(F.col("model_version") == version, "active")

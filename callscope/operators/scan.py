@@ -30,13 +30,13 @@ def _newest_first():
     return [F.col("created_at").desc(), F.col("id").desc()]
 
 
-def check_range(start: datetime, end: datetime, max_days: int = MAX_RANGE_DAYS) -> None:
+def check_range(start: datetime, end: datetime, max_days: int | None = None) -> None:
     for name, value in (("start", start), ("end", end)):
         if value.tzinfo is None or value.utcoffset() is None:
             raise ValueError(f"{name} must carry a timezone")
     if start >= end:
         raise ValueError("start must be before end")
-    if end - start > timedelta(days=max_days):
+    if max_days is not None and end - start > timedelta(days=max_days):
         raise ValueError(f"the range may not exceed {max_days} days")
 
 
@@ -63,20 +63,18 @@ def bounded_scan(
     *,
     client_id: str | None = None,
     route_id: str | None = None,
-    limit: int | None = None,
-    max_rows: int = MAX_ROWS,
-    max_days: int = MAX_RANGE_DAYS,
+    limit: int = MAX_ROWS,
+    max_days: int | None = MAX_RANGE_DAYS,
 ) -> DataFrame:
-    """One tenant, ``start <= created_at < end``, newest first, at most ``max_rows`` rows.
+    """One tenant, ``start <= created_at < end``, newest first, at most ``limit`` rows.
 
-    The row cap is the reader's contract: it bounds raw rows, newest first. Analyses of
-    whole tables use :func:`range_scan`, which has none.
+    The limit is the reader's contract and is taken as given; ``max_days`` of None lifts the
+    bound of the range. Analyses of whole tables use :func:`range_scan`, which has neither.
     """
-    limit = max_rows if limit is None else limit
     if limit < 1:
         raise ValueError("limit must be positive")
     rows = range_scan(logs, tenant_id, start, end, client_id=client_id, route_id=route_id, max_days=max_days)
-    return rows.orderBy(*_newest_first()).limit(min(limit, max_rows)).select(*LOG_COLUMNS)
+    return rows.orderBy(*_newest_first()).limit(limit).select(*LOG_COLUMNS)
 
 
 def range_scan(
@@ -87,7 +85,7 @@ def range_scan(
     *,
     client_id: str | None = None,
     route_id: str | None = None,
-    max_days: int = MAX_RANGE_DAYS,
+    max_days: int | None = None,
 ) -> DataFrame:
     """Tenant, time and optional client/route filters; all reach the file scan."""
     require_columns(logs, LOG_COLUMNS)

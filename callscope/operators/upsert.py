@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from callscope.functions.columns import blank_to_null
 
@@ -28,7 +29,9 @@ def merge_latest(stored: DataFrame, incoming: DataFrame, key, *, order, keep=("c
     ``order`` names the columns of ``incoming`` that decide between its own rows.
     """
     names = stored.columns
-    rank = lambda source: F.struct(F.lit(source).alias("source"), *[F.col(c) for c in order])
+    plain = [f.name for f in stored.schema.fields if not isinstance(f.dataType, MapType)]
+    # A hash of the row settles what the order leaves open, so the answer never depends on the order of rows.
+    rank = lambda source: F.struct(F.lit(source).alias("source"), *[F.col(c) for c in order], F.xxhash64(*plain).alias("tie"))
     rows = stored.withColumn("_rank", rank(0)).unionByName(incoming.select(*names).withColumn("_rank", rank(1)))
     merged = rows.groupBy(*key).agg(
         F.max_by(F.struct(*names), "_rank").alias("_new"), F.min_by(F.struct(*names), "_rank").alias("_old")

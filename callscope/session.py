@@ -86,16 +86,3 @@ def materialise(df, name: str):
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df, *keys: str):
-    """Spread a plain file scan over all cores when it has fewer partitions than there are cores.
-
-    Only small inputs in few files are affected; a large table already has more
-    partitions than cores and is returned as it is, without a shuffle. ``df`` must be a
-    scan, possibly with projections and filters.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -82,7 +82,7 @@ def test_bounded_scan_arguments(spark):
     start = datetime(2026, 9, 26, tzinfo=timezone.utc)
     end = start + timedelta(days=1)
     assert scan.bounded_scan(typed, " tenant-a ", start, end).count() == 2
-    assert scan.bounded_scan(typed, "tenant-a", start, end, limit=10_000, max_rows=1).count() == 1
+    assert scan.bounded_scan(typed, "tenant-a", start, end, limit=1).count() == 1
     assert scan.bounded_scan(typed, "tenant-a", start, end, client_id="  ").count() == 2
     assert scan.bounded_scan(typed, "tenant-a", start, end, client_id="other").count() == 0
     for args in (
