@@ -96,6 +96,38 @@ def range_scan(
     return optional_filter(rows, "route_id", route_id)
 
 
+def newest_moment(logs: DataFrame) -> datetime | None:
+    """The time of the newest row; the default end of the windows below."""
+    return logs.agg(F.max("created_at")).first()[0]
+
+
+def last_hours(logs: DataFrame, hours: float, as_of: datetime | None = None) -> DataFrame:
+    """Rows of the ``hours`` up to ``as_of`` (default: the newest row), that moment included."""
+    as_of = as_of or newest_moment(logs)
+    if as_of is None:
+        return logs
+    start = as_of - timedelta(hours=hours)
+    return logs.where((F.col("created_at") > F.lit(start)) & (F.col("created_at") <= F.lit(as_of)))
+
+
+def scoped(
+    logs: DataFrame,
+    tenant_id: str | None = None,
+    *,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    client_id: str | None = None,
+    route_id: str | None = None,
+) -> DataFrame:
+    """Rows of a tenant, of ``start <= created_at < end``, a client and a route, each if given."""
+    rows = tenant_scope(logs, tenant_id)
+    if start is not None:
+        rows = rows.where(F.col("created_at") >= F.lit(start))
+    if end is not None:
+        rows = rows.where(F.col("created_at") < F.lit(end))
+    return optional_filter(optional_filter(rows, "client_id", client_id), "route_id", route_id)
+
+
 def recent_logs(logs: DataFrame, tenant_id: str | None = None, n: int = LISTING_ROWS) -> DataFrame:
     """The newest ``n`` log rows of every tenant (or of one), missing ids as ''."""
     rows = tenant_scope(logs, tenant_id)

@@ -6,11 +6,13 @@ reduced to counts by id and only those few rows meet the dimension tables.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import columns as C
-from callscope.operators.scan import tenant_scope
+from callscope.operators.scan import last_hours, newest_moment, scoped, tenant_scope
 
 UNKNOWN = "Unknown"
 
@@ -154,9 +156,10 @@ def traffic_panels(
 
 
 def panel_order(panels: DataFrame) -> DataFrame:
-    """Display order: time and codes ascending, names by count descending then name."""
+    """Each panel's rows with their ``position``: time and codes ascending, names by count descending then name."""
     named = F.col("panel").isin("by_client", "blocked_by_route")
-    return panels.orderBy("tenant_id", "panel", F.when(named, -F.col("value")), "label")
+    order = Window.partitionBy("tenant_id", "panel").orderBy(F.when(named, -F.col("value")), "label")
+    return panels.withColumn("position", F.row_number().over(order))
 
 
 # --- dashboard ------------------------------------------------------------------
@@ -210,6 +213,16 @@ def complete_summary(tenants: DataFrame, summary: DataFrame) -> DataFrame:
     ).fillna("n/a", ["top_client", "most_used_route"])
 
 
+def incident_report(tenants: DataFrame, logs: DataFrame, *, hours: int = 2, as_of: datetime | None = None) -> DataFrame:
+    """Findings of every tenant over the hours up to ``as_of`` (default: the newest row), with a sentence on the window."""
+    as_of = as_of or newest_moment(logs)
+    summary = complete_summary(tenants, dashboard_summary(last_hours(logs, hours, as_of)))
+    shown = lambda at: F.date_format(F.lit(at), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    start = as_of - timedelta(hours=hours) if as_of else None
+    sentence = F.format_string("Observed %d requests from %s through %s.", "requests", shown(start), shown(as_of))
+    return incident_findings(summary, hours=hours).join(summary.select("tenant_id", sentence.alias("summary")), "tenant_id")
+
+
 def incident_findings(summary: DataFrame, *, hours: int = 2) -> DataFrame:
     """Observations, interpretations and actions, as fixed sentences over the summary."""
     blocked, failing = F.col("blocked_requests") > 0, F.col("server_error_requests") > 0
@@ -245,12 +258,20 @@ def incident_findings(summary: DataFrame, *, hours: int = 2) -> DataFrame:
 
 
 def overview(
-    tenants: DataFrame, logs: DataFrame, anomalies: DataFrame | None = None, *, rows_shown: int = 10
+    tenants: DataFrame,
+    logs: DataFrame,
+    anomalies: DataFrame | None = None,
+    *,
+    rows_shown: int = 10,
+    as_of: datetime | None = None,
 ) -> DataFrame:
     """Overview per tenant: sentence, newest rows, top names, anomaly count, model status.
 
+    Everything covers the hour up to ``as_of`` (default: the newest row).
+
     ``anomalies`` is the scored anomaly view; without one the count stays NULL.
     """
+    logs = last_hours(logs, 1, as_of)
     summary = complete_summary(tenants, dashboard_summary(logs))
     newest = C.top_n_per_group(
         logs, ["tenant_id"], [F.col("created_at").desc(), F.col("id").desc()], rows_shown, salt_by=["id"], rank="position"
@@ -306,30 +327,31 @@ def _metrics(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def route_metrics(logs: DataFrame, tenant_id: str | None = None) -> DataFrame:
-    return _metrics(tenant_scope(logs, tenant_id), "tenant_id", "route_id")
+def route_metrics(logs: DataFrame, tenant_id: str | None = None, **filters) -> DataFrame:
+    """``filters``: start, end, client_id and route_id, as in :func:`scan.scoped`."""
+    return _metrics(scoped(logs, tenant_id, **filters), "tenant_id", "route_id")
 
 
-def client_metrics(logs: DataFrame, tenant_id: str | None = None) -> DataFrame:
-    return _metrics(tenant_scope(logs, tenant_id), "tenant_id", "client_id")
+def client_metrics(logs: DataFrame, tenant_id: str | None = None, **filters) -> DataFrame:
+    return _metrics(scoped(logs, tenant_id, **filters), "tenant_id", "client_id")
 
 
-def _recent(logs: DataFrame, condition, tenant_id: str | None, limit: int) -> DataFrame:
+def _recent(logs: DataFrame, condition, tenant_id: str | None, limit: int, filters: dict) -> DataFrame:
     if limit < 1:
         raise ValueError("limit must be positive")
-    rows = tenant_scope(logs, tenant_id).where(condition)
+    rows = scoped(logs, tenant_id, **filters).where(condition)
     order = [F.col("created_at").desc(), F.col("id").desc()]
     return C.top_n_per_group(rows, ["tenant_id"], order, limit, salt_by=["id"], rank="position")
 
 
-def recent_errors(logs: DataFrame, tenant_id: str | None = None, limit: int = 100) -> DataFrame:
+def recent_errors(logs: DataFrame, tenant_id: str | None = None, limit: int = 100, **filters) -> DataFrame:
     """Newest requests whose status is not 2xx."""
-    return _recent(logs, ~F.col("status_code").between(200, 299), tenant_id, limit)
+    return _recent(logs, ~F.col("status_code").between(200, 299), tenant_id, limit, filters)
 
 
-def rate_limit_events(logs: DataFrame, tenant_id: str | None = None, limit: int = 100) -> DataFrame:
+def rate_limit_events(logs: DataFrame, tenant_id: str | None = None, limit: int = 100, **filters) -> DataFrame:
     """Newest requests answered 429 or blocked by a limit."""
-    return _recent(logs, (F.col("status_code") == 429) | F.col("blocked"), tenant_id, limit)
+    return _recent(logs, (F.col("status_code") == 429) | F.col("blocked"), tenant_id, limit, filters)
 
 
 def route_configuration(routes: DataFrame, tenant_id: str | None = None, route_id: str | None = None) -> DataFrame:

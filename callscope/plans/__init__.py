@@ -14,6 +14,7 @@ TOPICS = (
     "documents",
     "retrieval",
     "streaming",
+    "stores",
 )
 
 

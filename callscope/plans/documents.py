@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from callscope.functions import text
 from callscope.functions.columns import norm
-from callscope.operators import assistant, documents, retrieval, traffic, upsert
+from callscope.operators import assistant, documents, retrieval, scan, traffic, upsert
 from callscope.plans.traffic import SUMMARY_SQL
 from callscope.sources import adapters as A
 
@@ -238,8 +238,8 @@ ORACLES["question_routing"] = A.with_ctes(
 
 
 def assistant_answers(spark, sf_dir):
-    """Answers where tenant-1 has telemetry and tenant-0 has none."""
-    summary = traffic.dashboard_summary(A.request_logs(spark, sf_dir), "tenant-1")
+    """Answers over the last hour of every tenant's log."""
+    summary = traffic.dashboard_summary(scan.last_hours(A.request_logs(spark, sf_dir), 1))
     out = assistant.answer_questions(A.questions(spark, sf_dir), summary)
     joined = [F.array_join(c, "|").alias(c) for c in ("sources", "observed", "interpretation", "recommended_actions")]
     return out.select("question_id", "tenant_id", "route", "answer", *joined)
@@ -247,11 +247,11 @@ def assistant_answers(spark, sf_dir):
 
 QUERIES["assistant_answers"] = assistant_answers
 ORACLES["assistant_answers"] = A.with_ctes(
-    A.sql_logs(),
+    A.sql_last_hours(1),
     SUMMARY_SQL,
     A.sql_questions(),
     f"""rows AS (SELECT q.*, {_route_sql('question')} AS route, s.tenant_id IS NOT NULL AS has, s.requests, s.blocked_requests, s.error_requests,
-    s.server_error_requests, s.most_used_route FROM questions q LEFT JOIN summary s ON s.tenant_id = q.tenant_id AND s.tenant_id = 'tenant-1' WHERE trim(question) <> '')
+    s.server_error_requests, s.most_used_route FROM questions q LEFT JOIN summary s ON s.tenant_id = q.tenant_id WHERE trim(question) <> '')
 SELECT question_id, tenant_id, route,
   CASE WHEN route = 'traffic' AND NOT has THEN 'Tenant request telemetry is currently unavailable, so I cannot summarize live traffic.'
     WHEN route = 'traffic' THEN 'The last-hour request logs contain ' || requests || ' requests, ' || blocked_requests || ' blocked requests, and ' || error_requests || ' HTTP 4xx/5xx responses. The most-used route in those logs is ' || most_used_route || '.'
@@ -306,3 +306,22 @@ def metadata_values(spark, sf_dir):
 QUERIES["metadata_values"] = metadata_values
 ORACLES["metadata_values"] = """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN json_extract_string(props, '$.k') END AS k,
   CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE len(json_keys(props)) END AS INTEGER) AS entries FROM events"""
+
+
+def chunk_sections(spark, sf_dir):
+    """Every text under a heading whose number follows from its id, after an opening line; sections fit one chunk."""
+    docs = A.source_documents(spark, sf_dir)
+    text = documents.clean_text("content")
+    number = F.pmod("doc_id", F.lit(7)).cast("string")
+    headed = F.concat(F.lit("Opening line\r\n  ### Section "), number, F.lit(" ##  \n"), text)
+    cut = documents.chunk_documents(docs.withColumn("content", headed), ["doc_id"], max_chars=1_000_000, overlap=0)
+    return cut.select("doc_id", "chunk_index", "section", F.sha2("content", 256).alias("content_hash"))
+
+
+QUERIES["chunk_sections"] = chunk_sections
+ORACLES["chunk_sections"] = A.with_ctes(
+    A.SQL_DOCUMENTS,
+    CLEAN_SQL,
+    """SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, 'Document' AS section, sha256('Opening line') AS content_hash FROM cleaned
+UNION ALL SELECT doc_id, CAST(1 AS INTEGER), 'Section ' || doc_id % 7, sha256(trim('### Section ' || doc_id % 7 || ' ##' || chr(10) || content, chr(10))) FROM cleaned""",
+)

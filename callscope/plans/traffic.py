@@ -239,9 +239,11 @@ def dashboard_summary(spark, sf_dir):
 
 @query(
     A.with_ctes(
-        LOGS,
+        A.sql_last_hours(2),
         SUMMARY_SQL,
         """SELECT tenant_id,
+  'Observed ' || requests || ' requests from ' || (SELECT strftime(max(created_at) - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00 through '
+    || strftime(max(created_at), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00.' FROM all_logs) AS summary,
   'Requests observed: ' || requests || '|Blocked requests: ' || blocked_requests || '|HTTP 4xx/5xx responses: ' || error_requests
     || '|HTTP 5xx responses: ' || server_error_requests || '|Most used route: ' || most_used_route AS observed,
   concat_ws('|',
@@ -256,16 +258,17 @@ FROM summary""",
     )
 )
 def incident_findings(spark, sf_dir):
-    summary = traffic.dashboard_summary(A.request_logs(spark, sf_dir))
-    return traffic.incident_findings(summary).select(
+    """The last two hours of the log."""
+    return traffic.incident_report(A.tenants(spark, sf_dir), A.request_logs(spark, sf_dir)).select(
         "tenant_id",
+        "summary",
         *[F.array_join(c, "|").alias(c) for c in ("observed", "interpretations", "recommended_actions")],
     )
 
 
 @query(
     A.with_ctes(
-        LOGS,
+        A.sql_last_hours(1),
         SUMMARY_SQL,
         """newest AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, id DESC) AS position FROM request_logs)
 SELECT s.tenant_id, requests || ' requests observed in the last hour; ' || blocked_requests || ' blocked and ' || error_requests || ' returned 4xx/5xx.' AS summary,
@@ -277,3 +280,30 @@ FROM summary s""",
 def overview_without_model(spark, sf_dir):
     out = traffic.overview(A.tenants(spark, sf_dir), A.request_logs(spark, sf_dir))
     return out.withColumn("observed", F.array_join("observed", "|"))
+
+
+RANGE = dict(start=datetime(2024, 1, 1, 0, 30, tzinfo=timezone.utc), end=datetime(2024, 1, 1, 0, 50, tzinfo=timezone.utc))
+SQL_RANGE = A.sql_logs(name="all_logs") + """,
+request_logs AS (SELECT * FROM all_logs WHERE created_at >= TIMESTAMP '2024-01-01 00:30:00' AND created_at < TIMESTAMP '2024-01-01 00:50:00')"""
+
+
+@query(A.with_ctes(SQL_RANGE, _metrics_sql("route_id").replace("FROM request_logs", "FROM request_logs WHERE client_id = 'client-1'")))
+def route_metrics_range(spark, sf_dir):
+    """One client within twenty minutes."""
+    out = traffic.route_metrics(A.request_logs(spark, sf_dir), client_id="client-1", **RANGE)
+    return out.withColumn("average_latency_ms", F.round("average_latency_ms", 6))
+
+
+@query(A.with_ctes(SQL_RANGE, _metrics_sql("client_id").replace("FROM request_logs", "FROM request_logs WHERE route_id = 'route-view'")))
+def client_metrics_range(spark, sf_dir):
+    """One route within twenty minutes."""
+    out = traffic.client_metrics(A.request_logs(spark, sf_dir), route_id="route-view", **RANGE)
+    return out.withColumn("average_latency_ms", F.round("average_latency_ms", 6))
+
+
+@query(
+    f"""SELECT tenant_id, panel, label, value, CAST(row_number() OVER (PARTITION BY tenant_id, panel
+  ORDER BY CASE WHEN panel IN ('by_client', 'blocked_by_route') THEN -value END, label) AS INTEGER) AS position FROM ({ORACLES['traffic_panels']})"""
+)
+def panel_positions(spark, sf_dir):
+    return traffic.panel_order(QUERIES["traffic_panels"](spark, sf_dir))

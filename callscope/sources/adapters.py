@@ -282,6 +282,12 @@ def sql_questions() -> str:
   FROM conversations WHERE role = 'user')"""
 
 
+def sql_last_hours(hours: int) -> str:
+    """``request_logs`` cut to the hours up to the newest row."""
+    return sql_logs(name="all_logs") + f""",
+request_logs AS (SELECT * FROM all_logs WHERE created_at > (SELECT max(created_at) FROM all_logs) - INTERVAL {hours} HOUR)"""
+
+
 def with_ctes(*parts: str) -> str:
     """``WITH`` query text: common table expressions, the last part holding the final SELECT."""
     body = parts[-1]
