@@ -1,17 +1,19 @@
 """Token-bucket arithmetic in whole numbers, used inside Spark tasks.
 
-Tokens are counted in units of 1e-12, refill in units per microsecond (1e-6 tokens per
+Tokens are counted in units of 1e-18, refill in units per microsecond (1e-12 tokens per
 second) and time in microseconds, so a replay gives the same answer however the log is
-split, without rounding drift.
+split, without rounding drift. Between tasks the units travel as decimal(38,0), which
+leaves room for capacities far above a million million tokens.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 
-TOKEN = 10**12
+TOKEN = 10**18
 DAY_US = 86_400 * 10**6  # fixed value: idle time after which shared state expires
-FULL = 1 << 62
+FULL = 10**37
+LONGEST = 2**63 - 1  # nanoseconds that fit a bigint
 
 
 def gain(elapsed_us: int, refill: int, shared: bool) -> int:
@@ -35,7 +37,7 @@ def take(tokens: int, capacity: int, refill: int, shared: bool) -> tuple[int, bo
         wait = -((tokens - TOKEN) // (refill * 10**6)) * 10**9
     else:
         wait = -(((tokens - TOKEN) * 1000) // refill)
-    return tokens, False, tokens / TOKEN if shared else 0.0, wait
+    return tokens, False, tokens / TOKEN if shared else 0.0, min(wait, LONGEST)
 
 
 class Transfer:

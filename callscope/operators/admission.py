@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.operators.bucket import HOT_ROWS, replay
+from callscope.operators.bucket import replay
 from callscope.operators.resolve import resolve_keys, resolve_policies, resolve_routes
 from callscope.session import materialise
 
@@ -19,7 +21,6 @@ def admission_audit(
     policies: DataFrame,
     *,
     variant: str = "local",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Key, route, method and limit checks in that order, each request with its status.
 
@@ -38,12 +39,16 @@ def admission_audit(
         "id", "tenant_id", "client_id", F.col("route.id").alias("route_id"), "created_at", early.alias("status")
     )
     # Written once, because the limiter reads its requests several times.
+    # Policies are looked up for the distinct scopes, not for every request.
+    scope = ["tenant_id", "client_id", "route_id"]
+    limits = materialise(resolve_policies(checked.select(*scope).distinct(), policies).select(*scope, "policy"), "limits")
+    same = reduce(lambda a, b: a & b, [checked[c].eqNullSafe(limits[c]) for c in scope])
     limited = materialise(
-        resolve_policies(checked, policies).select(
-            *checked.columns,
+        checked.join(limits, same).select(
+            *[checked[c] for c in checked.columns],
             F.col("policy.bucket_capacity").alias("bucket_capacity"),
             F.col("policy.refill_rate").alias("refill_rate"),
-            (F.col("status").isNull() & F.col("client_id").isNotNull() & F.col("policy").isNotNull()).alias("metered"),
+            (checked["status"].isNull() & checked["client_id"].isNotNull() & F.col("policy").isNotNull()).alias("metered"),
         ),
         "admission",
     )
@@ -51,7 +56,7 @@ def admission_audit(
     unmetered = limited.where("not metered").select(
         "id", "tenant_id", "client_id", "route_id", F.coalesce("status", F.lit(PASS)).alias("status")
     )
-    decided = replay(metered, variant=variant, carry=["bucket_capacity"], hot_rows=hot_rows).select(
+    decided = replay(metered, variant=variant, carry=["bucket_capacity"]).select(
         "id",
         "tenant_id",
         "client_id",

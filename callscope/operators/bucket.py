@@ -2,11 +2,11 @@
 
 A bucket is one (tenant, client, route). Its state is a running fold, so a plain window
 cannot give it; a bucket may also hold a large part of the log, so it must not be folded
-in one task. Buckets with more than ``hot_rows`` rows are cut into time chunks:
+in one task. Every bucket is cut into time chunks:
 
 1. every chunk is reduced, in parallel, to what it does to any number of start tokens;
 2. these few numbers are chained per bucket, which gives each chunk its real start;
-3. all chunks and all small buckets are replayed in parallel from their starts.
+3. all chunks are replayed in parallel from their starts.
 
 Rows meet their chunk by one hash partitioning with a sort inside the partition and are
 read as a stream of Arrow batches, so no group is ever held in memory.
@@ -15,6 +15,8 @@ read as a stream of Arrow batches, so no group is ever held in memory.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callscope.functions import bucket as B
+from callscope.session import materialise
 
 KEYS = ("tenant_id", "client_id", "route_id")
-HOT_ROWS = 2_000_000
 _MICRO = 1_000_000
+_UNITS = "decimal(38,0)"
 
 
 def _prepared(requests: DataFrame, carry) -> DataFrame:
@@ -33,14 +36,15 @@ def _prepared(requests: DataFrame, carry) -> DataFrame:
     capacity = F.when(F.col("bucket_capacity") <= 0, 1.0).otherwise(F.col("bucket_capacity"))
     refill = F.greatest(F.col("refill_rate"), F.lit(0.0))
     start = F.col("initial_tokens") if "initial_tokens" in requests.columns else F.lit(None).cast("double")
-    units = lambda c: F.round(c * _MICRO).cast("bigint")
+    # Token counts are read to a millionth, refill to a millionth of a millionth per second.
+    tokens = lambda c: (F.round(c * _MICRO).cast(_UNITS) * F.lit(B.TOKEN // _MICRO).cast("decimal(13,0)")).cast(_UNITS)
     return requests.select(
         *KEYS,
         "id",
         F.unix_micros(F.col("created_at").cast("timestamp")).alias("_us"),
-        (units(capacity) * _MICRO).alias("_capacity"),
-        units(refill).alias("_refill"),
-        (units(start) * _MICRO).alias("_initial"),
+        tokens(capacity).alias("_capacity"),
+        F.round(refill * (B.TOKEN // _MICRO)).cast(_UNITS).alias("_refill"),
+        tokens(start).alias("_initial"),
         *carry,
     )
 
@@ -94,12 +98,12 @@ _TRANSFER = T.StructType(
         T.StructField("_chunk", T.LongType()),
         T.StructField("_from", T.LongType()),
         T.StructField("_to", T.LongType()),
-        T.StructField("_capacity", T.LongType()),
-        T.StructField("_refill", T.LongType()),
-        T.StructField("_initial", T.LongType()),
-        T.StructField("_starts", T.ArrayType(T.LongType())),
+        T.StructField("_capacity", T.DecimalType(38, 0)),
+        T.StructField("_refill", T.DecimalType(38, 0)),
+        T.StructField("_initial", T.DecimalType(38, 0)),
+        T.StructField("_starts", T.ArrayType(T.DecimalType(38, 0))),
         T.StructField("_slopes", T.ArrayType(T.IntegerType())),
-        T.StructField("_offsets", T.ArrayType(T.LongType())),
+        T.StructField("_offsets", T.ArrayType(T.DecimalType(38, 0))),
     ]
 )
 
@@ -115,8 +119,9 @@ def _transfer_batches(shared: bool):
 
         def close() -> None:
             starts, slopes, offsets = map(list, zip(*state.pieces))
-            key, first_us, cap, rate, initial = head
-            done.append((*key, first_us, seen, cap, rate, initial, starts, slopes, offsets))
+            key, first_us, *limits = head
+            limits = [None if x is None else Decimal(x) for x in limits]
+            done.append((*key, first_us, seen, *limits, [Decimal(x) for x in starts], slopes, [Decimal(x) for x in offsets]))
 
         for frame, fresh_flags in _batches(frames, (*KEYS, "_chunk")):
             rows = zip(fresh_flags, frame["_us"], frame["_capacity"], frame["_refill"], frame["_initial"], *(frame[k] for k in (*KEYS, "_chunk")))
@@ -144,9 +149,9 @@ _SEED = T.StructType(
         *[T.StructField(k, T.StringType()) for k in KEYS],
         T.StructField("_chunk", T.LongType()),
         T.StructField("_us", T.LongType()),
-        T.StructField("_capacity", T.LongType()),
-        T.StructField("_refill", T.LongType()),
-        T.StructField("_initial", T.LongType()),
+        T.StructField("_capacity", T.DecimalType(38, 0)),
+        T.StructField("_refill", T.DecimalType(38, 0)),
+        T.StructField("_initial", T.DecimalType(38, 0)),
     ]
 )
 
@@ -164,8 +169,8 @@ def _chain(shared: bool):
             else:
                 tokens += B.gain(int(r["_from"]) - seen, int(r["_refill"]), shared)
             tokens = min(tokens, int(r["_capacity"]))
-            out.append((*(r[k] for k in KEYS), r["_chunk"], r["_from"], r["_capacity"], r["_refill"], tokens))
-            tokens = B.apply_pieces(r["_starts"], r["_slopes"], r["_offsets"], tokens)
+            out.append((*(r[k] for k in KEYS), r["_chunk"], r["_from"], r["_capacity"], r["_refill"], Decimal(tokens)))
+            tokens = B.apply_pieces([int(x) for x in r["_starts"]], r["_slopes"], r["_offsets"], tokens)
             seen = int(r["_to"])
         return pd.DataFrame(out, columns=[f.name for f in _SEED])
 
@@ -177,7 +182,6 @@ def replay(
     *,
     variant: str = "local",
     carry=(),
-    hot_rows: int = HOT_ROWS,
     chunk_seconds: int = 60,
 ) -> DataFrame:
     """Decide every request: ``allowed``, ``remaining`` tokens and ``retry_after_ns``.
@@ -190,25 +194,21 @@ def replay(
     if variant not in ("local", "shared"):
         raise ValueError("variant must be 'local' or 'shared'")
     shared = variant == "shared"
-    rows = _prepared(requests, carry)
-    # At most (all rows / hot_rows) buckets are hot, so this table stays small.
-    order = F.struct("_us", "id")
-    hot = rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by(F.struct("_capacity", "_refill", "_initial"), order).alias("_made"),
-    ).where(F.col("_n") > hot_rows)
-    marked = rows.join(F.broadcast(hot), list(KEYS), "left").withColumn(
-        "_chunk",
-        F.when(F.col("_n").isNull(), F.lit(-1)).otherwise(F.floor(F.col("_us") / (chunk_seconds * _MICRO))).cast("bigint"),
+    # Written once: the limits of each bucket's first request, both passes and the output read it.
+    rows = materialise(_prepared(requests, carry), "bucket-rows")
+    made = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in KEYS]).agg(
+        F.min_by(F.struct("_capacity", "_refill", "_initial"), F.struct("_us", "id")).alias("_made")
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
+    first = ("_initial",) if shared else ("_capacity", "_refill", "_initial")
+    marked = (
+        rows.join(made, same)
+        .select(*[c for c in rows.columns if c not in first], *[F.col(f"_made.{c}").alias(c) for c in first])
+        .withColumn("_chunk", F.floor(F.col("_us") / (chunk_seconds * _MICRO)).cast("bigint"))
     )
-    if not shared:
-        marked = marked.withColumns(
-            {c: F.coalesce(F.col(f"_made.{c}"), F.col(c)) for c in ("_capacity", "_refill")}
-        )
-    marked = marked.withColumn("_initial", F.coalesce("_made._initial", "_initial")).drop("_n", "_made")
 
     seeds = (
-        _in_order(marked.where(F.col("_chunk") >= 0).select(*KEYS, "_chunk", "id", "_us", "_capacity", "_refill", "_initial"))
+        _in_order(marked.select(*KEYS, "_chunk", "id", "_us", "_capacity", "_refill", "_initial"))
         .mapInPandas(_transfer_batches(shared), _TRANSFER)
         .groupBy(*KEYS)
         .applyInPandas(_chain(shared), _SEED)

@@ -128,8 +128,8 @@ def token_bucket_replay(spark, sf_dir):
 
 
 def token_bucket_replay_hot(spark, sf_dir):
-    """The same replay with every bucket treated as hot, i.e. cut into time chunks."""
-    return _replay_out(bucket.replay(_metered(spark, sf_dir), hot_rows=10, chunk_seconds=300))
+    """The same replay in other time chunks."""
+    return _replay_out(bucket.replay(_metered(spark, sf_dir), chunk_seconds=300))
 
 
 REPLAY_SQL = _recursive(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +15,10 @@ from callscope.functions import bucket as B
 from callscope.operators.bucket import KEYS, _prepared
 from callscope.streaming.runs import use_rocksdb
 
-_STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("tokens", "seen", "capacity", "refill")])
+_UNITS = T.DecimalType(38, 0)
+_STATE = T.StructType(
+    [T.StructField(n, T.LongType() if n == "seen" else _UNITS) for n in ("tokens", "seen", "capacity", "refill")]
+)
 
 DECISIONS = T.StructType(
     [
@@ -45,17 +49,16 @@ class _Bucket(StatefulProcessor):
             if held is None:
                 start = cap if pd.isna(first) else min(max(int(first), 0), cap)
                 held = (start, us, cap, rate)
-            tokens, seen, capacity, refill = held
-            if us < seen:
-                out.append((*key, row_id, us, "late", None, None, None))
-                continue
+            tokens, seen, capacity, refill = map(int, held)
             if self.shared:
                 capacity, refill = cap, rate
             tokens = tokens + B.gain(us - seen, refill, self.shared)
             tokens, ok, left, wait = B.take(tokens, capacity, refill, self.shared)
-            held = (tokens, us, capacity, refill)
+            # A request from before the newest one seen gains nothing and is decided all the same.
+            held = (tokens, max(us, seen), capacity, refill)
             out.append((*key, row_id, us, "allowed" if ok else "refused", ok, left, wait))
-        self.state.update(held)
+        tokens, seen, capacity, refill = held
+        self.state.update((Decimal(tokens), seen, Decimal(capacity), Decimal(refill)))
         yield pd.DataFrame(out, columns=[f.name for f in DECISIONS])
 
     def close(self) -> None:
@@ -66,7 +69,7 @@ def stream_token_buckets(requests: DataFrame, *, variant: str = "local", expire_
     """Decide requests as they arrive; state is two numbers and the limits per bucket.
 
     Rows of one micro-batch are taken in order of time. A row older than what its bucket
-    has already seen gets the status 'late' and changes nothing. An idle 'shared' bucket is full
+    has already seen is decided with what the bucket holds, without any gain. An idle 'shared' bucket is full
     again after a day of event time in any case; ``expire_state`` also frees its state after
     a day of processing time. Use it with continuous triggers only: state with a processing
     time keeps a run over the available data from ending.

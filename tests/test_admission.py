@@ -37,6 +37,14 @@ def test_one_token_serves_one_of_twenty(spark):
     assert sum(r["allowed"] for r in out) == 1
 
 
+def test_large_capacity_and_small_refill(spark):
+    out = replay(requests(spark, burst([0, 1], 10_000_000, None, 5))).orderBy("id").collect()
+    assert [(r["allowed"], r["remaining"]) for r in out] == [(True, 9_999_999.0), (True, 9_999_999.0)]
+    for variant in ("local", "shared"):
+        out = replay(requests(spark, burst([0, 0], 1, None, 4e-7)), variant=variant).orderBy("id").collect()
+        assert [r["allowed"] for r in out] == [True, False] and out[1]["retry_after_ns"] == 2_500_000 * 10**9
+
+
 def fold(rows, shared):
     """The reference answer: one bucket, one row after the other."""
     tokens = seen = None
@@ -62,10 +70,10 @@ def test_hot_buckets_equal_the_plain_fold(spark, variant):
             at += rng.choice([0, 0.01, 0.3, 2, 30])
             times.append(round(at, 6))
         rows += [(f"{i:04}", "t", f"c{k}", "r", t, float(capacity), float(refill), None) for i, t in enumerate(times)]
-        wants[f"c{k}"] = fold([(int(t * 1_000_000), int(capacity * B.TOKEN), int(refill * 10**6)) for t in times], variant == "shared")
+        wants[f"c{k}"] = fold([(int(t * 1_000_000), int(capacity * B.TOKEN), int(refill * 10**12)) for t in times], variant == "shared")
     df = requests(spark, rows)
-    for hot_rows in (5, 10**6):
-        out = replay(df, variant=variant, hot_rows=hot_rows, chunk_seconds=60).orderBy("client_id", "id").collect()
+    for seconds in (5, 60, 10**6):
+        out = replay(df, variant=variant, chunk_seconds=seconds).orderBy("client_id", "id").collect()
         got = {}
         for r in out:
             got.setdefault(r["client_id"], []).append((r["allowed"], r["remaining"], r["retry_after_ns"]))
@@ -75,7 +83,7 @@ def test_hot_buckets_equal_the_plain_fold(spark, variant):
 def test_transfer_equals_replay():
     rng = random.Random(3)
     for _ in range(300):
-        capacity, refill = rng.choice([1, 2, 5]) * B.TOKEN + rng.choice([0, B.TOKEN // 3]), rng.choice([0, 150_000, 900_000])
+        capacity, refill = rng.choice([1, 2, 5]) * B.TOKEN + rng.choice([0, B.TOKEN // 3]), rng.choice([0, 150_000 * 10**6, 900_000 * 10**6])
         gaps = [0] + [rng.choice([0, 10**5, 10**6, 5 * 10**6]) for _ in range(rng.randint(0, 12))]
         run = B.Transfer()
         for gap in gaps:

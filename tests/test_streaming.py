@@ -42,12 +42,12 @@ def test_buckets_over_batches(spark, sf_dir, parts, variant):
     limits = {"bucket_capacity": F.lit(2.0), "refill_rate": F.lit(0.01)}
     out, _ = runs.drain(bucket.stream_token_buckets(stream(spark, parts).withColumns(limits), variant=variant), "t")
     got = {r["id"]: (r["allowed"], r["remaining"], r["retry_after_ns"]) for r in out.collect()}
-    want = replay(A.request_logs(spark, sf_dir).withColumns(limits), variant=variant, hot_rows=20)
+    want = replay(A.request_logs(spark, sf_dir).withColumns(limits), variant=variant, chunk_seconds=300)
     assert got == {r["id"]: (r["allowed"], r["remaining"], r["retry_after_ns"]) for r in want.collect()}
     assert {a for a, _, _ in got.values()} == {True, False}
 
 
-def test_late_requests_change_nothing(spark, tmp_path):
+def test_late_requests_are_decided_without_gain(spark, tmp_path):
     rows = [("1", 100), ("2", 200), ("3", 150)]
     path = str(tmp_path / "r")
     for i, at in rows:
@@ -56,7 +56,8 @@ def test_late_requests_change_nothing(spark, tmp_path):
         ).coalesce(1).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
     out, _ = runs.drain(bucket.stream_token_buckets(runs.read_stream(spark, path, schema, files_per_trigger=1)), "t")
-    assert {r["id"]: r["status"] for r in out.collect()} == {"1": "allowed", "2": "allowed", "3": "late"}
+    assert {r["id"]: r["status"] for r in out.collect()} == {"1": "allowed", "2": "allowed", "3": "allowed"}
+    assert {r["id"]: r["remaining"] for r in out.collect()} == {"1": 4.0, "2": 3.0, "3": 2.0}
 
 
 def test_late_rows_are_reported(spark, sf_dir, parts, tmp_path):
