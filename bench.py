@@ -32,7 +32,7 @@ HEADLINE = (
     "impute_standardise",
     "lof_scores",
     "isolation_forest",
-    "scenario_injection",
+    "labelled_windows",
     "clean_documents",
     "chunk_documents",
     "redaction",

@@ -1,49 +1,18 @@
-"""Labelled training data: scenarios injected into real traffic, splits, composition."""
+"""Labelled training data: real windows labelled by rules, splits, composition."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import columns as C
-from callscope.operators.features import minute_features
 from callscope.schemas import MODEL_FEATURES, SCENARIO_LABELS
 
 # The split of a sample by its number, repeating.
 SPLITS = ("train", "test", "train", "train")
 
-# Volume against the window before (percent), statuses drawn from, whether
-# a 429 counts as blocked, latency range in ms.
-SCENARIOS = {
-    "NORMAL": ((75, 125), {200: 1}, False, (20, 120)),
-    "TRAFFIC_SPIKE": ((470, 750), {200: 1}, False, (20, 120)),
-    "HIGH_401_RATE": ((125, 220), {401: 12, 200: 8}, False, (20, 120)),
-    "HIGH_429_RATE": ((125, 220), {429: 10, 200: 10}, True, (20, 120)),
-    "HIGH_5XX_RATE": ((125, 220), {500: 9, 200: 11}, False, (20, 120)),
-    "HIGH_LATENCY": ((95, 190), {200: 1}, False, (900, 2500)),
-    "SINGLE_CLIENT_BURST": ((400, 625), {200: 1}, False, (20, 120)),
-    "MIXED_ANOMALY": ((440, 690), {401: 4, 429: 6, 503: 4, 200: 6}, True, (500, 2000)),
-}
-
-
-def scenario_table(spark: SparkSession) -> DataFrame:
-    rows = [
-        (
-            number,
-            name,
-            bool(SCENARIO_LABELS[name]),
-            *volume,
-            [code for code, times in mix.items() for _ in range(times)],
-            blocked,
-            *latency,
-        )
-        for number, (name, (volume, mix, blocked, latency)) in enumerate(SCENARIOS.items())
-    ]
-    return spark.createDataFrame(
-        rows,
-        "scenario_index int, scenario string, is_anomaly boolean, volume_lo int, volume_hi int, mix array<int>,"
-        " blocks boolean, latency_lo int, latency_hi int",
-    )
+#: From which share of a window's requests, change against the window before, or latency a rule holds.
+SHARE, CHANGE, SLOW_MS = 0.5, 2.0, 900.0
 
 
 def split_of(sample_index) -> F.Column:
@@ -51,86 +20,34 @@ def split_of(sample_index) -> F.Column:
     return F.element_at(names, (F.pmod(sample_index, F.lit(len(SPLITS))) + 1).cast("int"))
 
 
-def _draw(*parts, lo, hi):
-    """A whole number in [lo, hi], fixed by the hash of ``parts``."""
-    return lo + F.pmod(F.xxhash64(*parts), hi - lo + 1)
+def scenario_of() -> F.Column:
+    """The scenario of a feature window, by rules on its shares, its change and its latency."""
+    rules = (
+        ("HIGH_5XX_RATE", F.col("`5xx_rate`") >= SHARE),
+        ("HIGH_429_RATE", F.col("`429_rate`") >= SHARE),
+        ("HIGH_401_RATE", F.col("`401_rate`") >= SHARE),
+        ("HIGH_LATENCY", F.col("average_latency_ms") >= SLOW_MS),
+        ("TRAFFIC_SPIKE", F.col("request_rate_change") >= CHANGE),
+    )
+    assert all(name in SCENARIO_LABELS for name, _ in rules)
+    return F.coalesce(*[F.when(condition, F.lit(name)) for name, condition in rules], F.lit("NORMAL"))
 
 
-def inject_scenarios(logs: DataFrame, *, one_in: int = 1, seed: int = 42) -> DataFrame:
-    """Labelled sample logs: real windows, each followed by a minute of one scenario.
+def labelled_windows(feats: DataFrame) -> DataFrame:
+    """Real feature windows with scenario, label and split; ids are replaced by a hash.
 
-    Every chosen (tenant, client, route, minute) becomes a sample with a client of its
-    own. Its real requests form the first minute; the next minute is filled by the
-    scenario table. All draws are hashes, so a rerun gives the same rows. ``one_in``
-    chooses windows by hash.
+    The label follows from the window itself by :func:`scenario_of`, the split from its minute.
     """
-    spark = logs.sparkSession
-    keys = ("tenant_id", "client_id", "route_id", "window_start")
-    rows = logs.withColumn("window_start", C.minute_of("created_at"))
-    if one_in > 1:
-        rows = rows.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(one_in)) == 0)
-    mark = F.xxhash64(*keys, F.lit(seed + 1))
-    windows = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("scenario_index", F.pmod(mark, F.lit(len(SCENARIOS))).cast("int"))
-        .withColumn("sample_index", F.pmod(F.floor(mark / len(SCENARIOS)), F.lit(1 << 20)))
-        .join(F.broadcast(scenario_table(spark)), "scenario_index")  # eight rows
-    )
-    sample = F.concat_ws("|", "scenario", *[F.col(k).cast("string") for k in keys])
-    amount = F.greatest(F.lit(1), F.ceil(F.col("n") * _draw(mark, F.lit("volume"), lo=F.col("volume_lo"), hi=F.col("volume_hi")) / 100))
-    dice = lambda what: F.xxhash64(*keys, "i", F.lit(what), F.lit(seed))
-    status = F.element_at("mix", (F.pmod(dice("status"), F.size("mix")) + 1).cast("int"))
-    span = F.col("latency_hi") - F.col("latency_lo") + 1
-    facts = [sample.alias("client_id"), "tenant_id", "route_id", "scenario", "is_anomaly", "sample_index"]
-    target = (
-        windows.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), amount)))
-        .withColumn("status_code", status)
-        .select(
-            *facts,
-            F.when(F.pmod(dice("method"), F.lit(2)) == 0, "GET").otherwise("POST").alias("method"),
-            "status_code",
-            (F.col("latency_lo") + F.pmod(dice("latency"), span)).cast("bigint").alias("latency_ms"),
-            (F.col("blocks") & (F.col("status_code") == 429)).alias("blocked"),
-            (F.col("window_start") + F.expr("interval 1 minute")).alias("created_at"),
-            F.lit(True).alias("is_target"),
-        )
-    )
-    # The real minute: relabelled rows, joined to their window's sample.
-    names = windows.select(*keys, *[c if isinstance(c, str) else F.col("scenario") for c in facts[3:]], sample.alias("_sample"))
-    base = rows.join(names, list(keys)).select(
-        F.col("_sample").alias("client_id"),
-        "tenant_id",
-        "route_id",
-        "scenario",
-        "is_anomaly",
-        "sample_index",
-        "method",
-        "status_code",
-        "latency_ms",
-        "blocked",
-        "created_at",
-        F.lit(False).alias("is_target"),
-    )
-    return target.unionByName(base)
-
-
-def labelled_dataset(samples: DataFrame) -> DataFrame:
-    """Feature rows of the target minutes with scenario, label and split; ids removed."""
-    feats = minute_features(samples)
-    facts = samples.where(F.col("is_target")).groupBy("tenant_id", "client_id", "route_id", C.minute_of("created_at").alias("window_start")).agg(
-        F.first("scenario").alias("scenario"),
-        F.first("is_anomaly").alias("is_anomaly"),
-        F.first("sample_index").alias("sample_index"),
-    )
-    rows = feats.join(facts, ["tenant_id", "client_id", "route_id", "window_start"])
+    keys = ("tenant_id", "client_id", "route_id")
+    minute = F.floor(F.unix_seconds("window_start") / 60)
+    rows = feats.withColumn("scenario", scenario_of())
     return rows.select(
-        F.sha2("client_id", 256).alias("id"),
+        F.sha2(F.concat_ws("|", *keys, F.unix_seconds("window_start").cast("string")), 256).alias("id"),
         *[F.col(f"`{c}`").cast("double").alias(c) for c in MODEL_FEATURES],
         "scenario",
         F.lit(True).alias("is_synthetic"),
-        "is_anomaly",
-        split_of(F.col("sample_index")).alias("split"),
+        (F.col("scenario") != "NORMAL").alias("is_anomaly"),
+        split_of(minute).alias("split"),
         C.iso_minute("window_start").alias("window_start"),
     )
 

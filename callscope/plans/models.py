@@ -94,15 +94,27 @@ SELECT tenant_id, client_id, route_id, window_start, round(lof, 6) AS lof FROM p
 
 
 def _labelled(spark, sf_dir):
-    samples = datasets.inject_scenarios(A.request_logs(spark, sf_dir))
-    return materialise(datasets.labelled_dataset(samples), "labelled")
+    return materialise(datasets.labelled_windows(features.minute_features(A.request_logs(spark, sf_dir))), "labelled")
 
 
-def scenario_injection(spark, sf_dir):
-    return datasets.labelled_dataset(datasets.inject_scenarios(A.request_logs(spark, sf_dir)))
+def labelled_windows(spark, sf_dir):
+    count = F.col("requests_per_minute").alias("request_count")
+    return _labelled(spark, sf_dir).select("id", count, "scenario", "is_anomaly", "split", "window_start")
 
 
-QUERIES["scenario_injection"] = scenario_injection
+RULES_SQL = f"""ruled AS (SELECT *, CASE WHEN "5xx_rate" >= {datasets.SHARE} THEN 'HIGH_5XX_RATE' WHEN "429_rate" >= {datasets.SHARE} THEN 'HIGH_429_RATE'
+    WHEN "401_rate" >= {datasets.SHARE} THEN 'HIGH_401_RATE' WHEN average_latency_ms >= {datasets.SLOW_MS} THEN 'HIGH_LATENCY'
+    WHEN request_rate_change >= {datasets.CHANGE} THEN 'TRAFFIC_SPIKE' ELSE 'NORMAL' END AS scenario,
+  (['train', 'test', 'train', 'train'])[CAST((epoch_us(window_start) // 60000000) % 4 AS INTEGER) + 1] AS split FROM features)"""
+
+QUERIES["labelled_windows"] = labelled_windows
+ORACLES["labelled_windows"] = A.with_ctes(
+    A.sql_logs(),
+    FEATURE_SQL,
+    RULES_SQL,
+    """SELECT sha256(tenant_id || '|' || client_id || '|' || route_id || '|' || epoch_us(window_start) // 1000000) AS id, CAST(request_count AS DOUBLE) AS request_count,
+  scenario, scenario <> 'NORMAL' AS is_anomaly, split, strftime(window_start, '%Y-%m-%dT%H:%M:%SZ') AS window_start FROM ruled""",
+)
 
 
 def isolation_forest(spark, sf_dir):
@@ -115,7 +127,7 @@ QUERIES["isolation_forest"] = isolation_forest
 
 
 def detector_comparison(spark, sf_dir):
-    """Both detectors trained on injected normal windows and measured on the held-out ones."""
+    """Both detectors trained on normal windows and measured on the held-out ones."""
     metrics, _ = detect.compare_detectors(_labelled(spark, sf_dir), version="traffic")
     return metrics
 
@@ -123,8 +135,26 @@ def detector_comparison(spark, sf_dir):
 QUERIES["detector_comparison"] = detector_comparison
 
 
+def detector_comparison_counts(spark, sf_dir):
+    """What the confusion counts of every detector must add up to."""
+    m = detector_comparison(spark, sf_dir)
+    return m.select(
+        "algorithm", "sample_count", (F.col("tp") + F.col("fn")).alias("anomalous"), (F.col("tn") + F.col("fp")).alias("normal")
+    )
+
+
+QUERIES["detector_comparison_counts"] = detector_comparison_counts
+ORACLES["detector_comparison_counts"] = A.with_ctes(
+    A.sql_logs(),
+    FEATURE_SQL,
+    RULES_SQL,
+    f"""SELECT algorithm, count(*) AS sample_count, count(*) FILTER (WHERE scenario <> 'NORMAL') AS anomalous, count(*) FILTER (WHERE scenario = 'NORMAL') AS normal
+FROM ruled, (VALUES {", ".join(f"('{a}')" for a in detect.ALGORITHMS)}) v(algorithm) WHERE split = 'test' GROUP BY 1""",
+)
+
+
 def recent_anomalies(spark, sf_dir):
-    """Anomalous windows of the log under a forest trained on injected normal windows."""
+    """Anomalous windows of the log under a forest trained on normal windows."""
     training = matrix.training_rows(_labelled(spark, sf_dir))
     detector = detect.train_detector(training, version="traffic-isolation_forest")
     rows = features.minute_features(A.request_logs(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.columns import time_text
 from callscope.operators import datasets, detect, matrix
+from callscope.operators import features as batch_features
 from callscope.plans.admission import _log_policies
 from callscope.plans.features import FEATURE_SQL, ROUNDED, _rounded_sql
 from callscope.session import materialise, scratch_dir
@@ -124,9 +125,9 @@ LEFT JOIN request_logs l ON l.client_id = c.id AND l.tenant_id = c.tenant_id GRO
 
 
 def stream_anomalies(spark, sf_dir):
-    """Windows of the stream scored as they close, by a forest trained on injected windows."""
-    samples = datasets.inject_scenarios(A.request_logs(spark, sf_dir))
-    labelled = materialise(datasets.labelled_dataset(samples), "labelled")
+    """Windows of the stream scored as they close, by a forest trained on normal windows."""
+    windows = batch_features.minute_features(A.request_logs(spark, sf_dir))
+    labelled = materialise(datasets.labelled_windows(windows), "labelled")
     detector = detect.train_detector(matrix.training_rows(labelled), version="traffic-isolation_forest")
     rows = features.stream_rate_change(features.stream_minute_features(_log_stream(spark, sf_dir)))
     path = scratch_dir(spark, "stream-anomalies")

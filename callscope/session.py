@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -67,16 +69,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder for written intermediates, under ``spark.checkpoint.dir``.
 
-    A cluster must name a folder that all executors share. Only a local session may
-    fall back on the machine's temporary folder.
+    A cluster must name a folder that all executors share. Only a local session in which it
+    is unset gets one folder for all its intermediates, which ends with the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the executors")
         base = tempfile.mkdtemp(prefix="callscope-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

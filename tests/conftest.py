@@ -11,10 +11,10 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from callscope.session import get_spark
 
-    return get_spark("tests", 8)
+    return get_spark("tests", 8, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
 
 
 @pytest.fixture(scope="session")
