@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def logs_from_events(events: DataFrame, compress: int = 600) -> DataFrame:
-    """Request logs derived from the event table; time runs ``compress`` times faster."""
+def logs_from_events(events: DataFrame, compress: int = 600, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Request logs derived from the event table; time runs ``compress`` times faster.
+
+    ``carry`` names event columns to keep beside them.
+    """
     eid, uid = F.col("event_id"), F.col("user_id")
     error = F.col("event_type") == "error"
     status = (
@@ -45,6 +48,7 @@ def logs_from_events(events: DataFrame, compress: int = 600) -> DataFrame:
         F.expr(
             f"timestamp_micros({BASE_MICROS} + (unix_micros(cast(ts as timestamp)) - {BASE_MICROS}) div {compress})"
         ).alias("created_at"),
+        *carry,
     )
 
 
@@ -64,17 +68,18 @@ def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def api_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clients of the log, named after customers, and one that never called."""
+    """Every customer as a client; the few that the log names were made with their first call."""
     users = (
         table(spark, sf_dir, "events")
         .select((F.col("user_id") % 4).alias("k"), "ts")
         .groupBy("k")
-        .agg(F.min("ts").cast("timestamp").alias("created_at"))
+        .agg(F.min("ts").cast("timestamp").alias("first"))
     )
-    numbers = users.unionByName(users.groupBy().agg(F.max("k").alias("k"), F.max("created_at").alias("created_at")).withColumn("k", F.col("k") + 1))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    made = F.coalesce("first", F.timestamp_micros(F.lit(BASE_MICROS)))
+    clients = customers.join(users, "k", "left").withColumn("created_at", made)
     key = F.concat(F.lit("key_test_"), F.lpad(F.col("k").cast("string"), 7, "0"), F.lit("-secret-"), F.col("k").cast("string"))
-    return numbers.join(customers, "k").select(
+    return clients.select(
         F.concat(F.lit("client-"), F.col("k").cast("string")).alias("id"),
         F.concat(F.lit("tenant-"), (F.col("k") % 2).cast("string")).alias("tenant_id"),
         F.col("c_name").alias("name"),
@@ -224,16 +229,15 @@ def sql_logs(compress: int = 600, name: str = "request_logs") -> str:
   FROM events)"""
 
 
-SQL_CLIENTS = """api_clients AS (
+SQL_CLIENTS = f"""api_clients AS (
   SELECT 'client-' || CAST(k AS VARCHAR) AS id, 'tenant-' || CAST(k % 2 AS VARCHAR) AS tenant_id,
          c_name AS name,
          substr('key_test_' || lpad(CAST(k AS VARCHAR), 7, '0') || '-secret-' || CAST(k AS VARCHAR), 1, 16) AS api_key_prefix,
          sha256('key_test_' || lpad(CAST(k AS VARCHAR), 7, '0') || '-secret-' || CAST(k AS VARCHAR)) AS api_key_hash,
          CASE WHEN k = 3 THEN 'revoked' ELSE 'active' END AS status, created_at,
          created_at AS updated_at
-  FROM (SELECT user_id % 4 AS k, min(ts) AS created_at FROM events GROUP BY 1
-        UNION ALL SELECT max(k) + 1, max(created_at) FROM (SELECT user_id % 4 AS k, min(ts) AS created_at FROM events GROUP BY 1)) u
-  JOIN customer ON c_custkey = k)"""
+  FROM (SELECT c_custkey AS k, c_name, coalesce(first, make_timestamp({BASE_MICROS})) AS created_at FROM customer
+        LEFT JOIN (SELECT user_id % 4 AS caller, min(ts) AS first FROM events GROUP BY 1) u ON caller = c_custkey))"""
 
 SQL_ROUTES = """gateway_routes AS (
   SELECT route_id AS id, tenant_id,
@@ -300,11 +304,11 @@ def gateway_requests(spark: SparkSession, sf_dir: str, compress: int = 600) -> D
 
     Some requests carry no key, a wrong key or an unregistered path, by a rule on the id.
     """
-    events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), "event_id", "user_id", "event_type")
+    events = table(spark, sf_dir, "events")
     k = F.col("user_id") % 4
     good = F.concat(F.lit("key_test_"), F.lpad(k.cast("string"), 7, "0"), F.lit("-secret-"), k.cast("string"))
-    log = request_logs(spark, sf_dir, compress).select("id", "tenant_id", "method", "created_at")
-    return log.join(events, "id").select(
+    log = logs_from_events(events, compress, ("event_id", "user_id", "event_type"))
+    return log.select(
         "id",
         "tenant_id",
         F.when(F.col("event_id") % 17 == 0, "/missing")
