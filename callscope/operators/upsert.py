@@ -1,7 +1,7 @@
 """Merges on plain tables: the new state is a DataFrame, written as a new version.
 
-Each merge is one union and one aggregation by key (no read-modify-write), so a hot key
-pre-aggregates before the shuffle.
+A merge is one union and one aggregation by key (no read-modify-write), so a hot key
+pre-aggregates before the shuffle; stored chunks that no incoming row touches stay out of it.
 """
 
 from __future__ import annotations
@@ -45,13 +45,23 @@ def delete_by_source(chunks: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def upsert_chunks(chunks: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert or replace chunks by their key; creation time and id stay, the rest is new."""
-    return merge_latest(chunks, incoming, CHUNK_KEY, order=("updated_at",), keep=("created_at", "id"))
+    """Insert or replace chunks by their key; creation time and id stay, the rest is new.
+
+    Only stored chunks whose key comes in again are merged; the others pass by as they are.
+    """
+    keys = incoming.select(*CHUNK_KEY).distinct()
+    touched = chunks.join(keys, list(CHUNK_KEY), "left_semi").select(*chunks.columns)
+    others = chunks.join(keys, list(CHUNK_KEY), "left_anti").select(*chunks.columns)
+    return others.unionByName(merge_latest(touched, incoming, CHUNK_KEY, order=("updated_at",), keep=("created_at", "id")))
 
 
 def replace_sources(chunks: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Replace all chunks of every source that comes in: one new version of the table."""
-    return upsert_chunks(delete_by_source(chunks, incoming), incoming)
+    """Replace all chunks of every source that comes in: one new version of the table.
+
+    What is left of the stored table shares no key with the batch, so only the batch is merged.
+    """
+    fresh = merge_latest(chunks.limit(0), incoming, CHUNK_KEY, order=("updated_at",), keep=("created_at", "id"))
+    return delete_by_source(chunks, incoming).select(*chunks.columns).unionByName(fresh)
 
 
 def upsert_policies(policies: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -66,19 +76,33 @@ def apply_changes(stored: DataFrame, changes: DataFrame, *, key=("tenant_id", "i
     """Apply a change feed: the latest change of a row decides; 'delete' removes it.
 
     ``changes`` has the stored columns plus ``op`` and ``changed_at``; a column that is
-    NULL in a change keeps its stored value, so 'revoke' need only carry the status. All
-    changes of a row are folded in order of time.
+    NULL in a change keeps its stored value, so 'revoke' need only carry the status. An array
+    ``nulled`` may name columns that a change sets to NULL. All changes of a row are folded in order of
+    time, then of ``sequence`` if the feed has one, then of a hash of the change, so the
+    result never depends on the order of rows.
     """
     values = [c for c in stored.columns if c not in key]
-    feed = changes.select(*stored.columns, "op", "changed_at")
-    base = stored.withColumn("op", F.lit("stored")).withColumn("changed_at", F.lit(None).cast("timestamp"))
+    sequence = F.col("sequence").cast("bigint") if "sequence" in changes.columns else F.lit(None).cast("bigint")
+    nulled = F.col("nulled") if "nulled" in changes.columns else F.lit(None).cast("array<string>")
+    feed = changes.select(*stored.columns, "op", "changed_at", sequence.alias("_sequence"), nulled.alias("_nulled"))
+    base = stored.withColumns(
+        {
+            "op": F.lit("stored"),
+            "changed_at": F.lit(None).cast("timestamp"),
+            "_sequence": F.lit(None).cast("bigint"),
+            "_nulled": F.lit(None).cast("array<string>"),
+        }
+    )
     rows = base.unionByName(feed)
     # After its last delete a row starts anew, so values are taken from later changes only.
-    moment = F.coalesce(F.unix_micros("changed_at"), F.lit(-1))
+    plain = [f.name for f in stored.schema.fields if not isinstance(f.dataType, MapType)]
+    first = lambda c: F.coalesce(c, F.lit(-1).cast("bigint"))
+    moment = F.struct(first(F.unix_micros("changed_at")).alias("at"), first(F.col("_sequence")).alias("n"), F.xxhash64(*plain, "op").alias("tie"))
     rows = rows.withColumn("_at", moment)
     gone = rows.where(F.col("op") == "delete").groupBy(*key).agg(F.max("_at").alias("_gone"))
     live = rows.join(gone, list(key), "left").where(F.col("_gone").isNull() | (F.col("_at") > F.col("_gone")))
-    newest = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c)
+    said = lambda c: F.col(c).isNotNull() | F.coalesce(F.array_contains("_nulled", c), F.lit(False))
+    newest = lambda c: F.max_by(F.col(c), F.when(said(c), F.col("_at"))).alias(c)
     return live.groupBy(*key).agg(*[newest(c) for c in values]).select(*stored.columns)
 
 

@@ -47,6 +47,16 @@ def test_change_feed_starts_anew_after_a_delete(spark):
     assert upsert.apply_changes(stored, feed.where("op = 'delete'")).count() == 0
 
 
+def test_change_feed_settles_ties_and_sets_null(spark):
+    stored = spark.createDataFrame([("t", "1", "old", "active")], "tenant_id string, id string, name string, status string")
+    rows = [("t", "1", "x", None, "update", 5, 2, None), ("t", "1", "y", None, "update", 5, 1, None), ("t", "1", None, None, "update", 6, 3, ["status"])]
+    feed = spark.createDataFrame(
+        rows, "tenant_id string, id string, name string, status string, op string, at int, sequence int, nulled array<string>"
+    ).withColumn("changed_at", F.timestamp_seconds("at")).drop("at")
+    for part in (feed, feed.orderBy("sequence"), feed.orderBy(F.desc("sequence"))):
+        assert [tuple(r) for r in upsert.apply_changes(stored, part).collect()] == [("t", "1", "x", None)]
+
+
 @pytest.mark.parametrize("source", ["parquet", "json", "csv", "orc"])
 def test_table_sources(spark, sf_dir, tmp_path, source):
     # Text formats keep milliseconds.
