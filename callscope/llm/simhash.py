@@ -187,8 +187,9 @@ def keep_first(
     """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     chosen = classes(keyed(docs, key, text), size, distance).groupBy("root").agg(F.min(order).alias("kept"))
-    chosen = stored(chosen.select("kept.doc_id", "kept.text_hash"), "chosen")
-    hashed = new_name(docs, "text_hash")
-    rows = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = rows[key].eqNullSafe(chosen["doc_id"]) & (rows[hashed] == chosen["text_hash"])
-    return rows.join(chosen, same, "left_semi").dropDuplicates([key, hashed]).drop(hashed)
+    # Two hashes without nulls as the join keys: copies of a row then lie in one partition already.
+    names = [new_name(docs, "id_hash"), new_name(docs, "text_hash")]
+    chosen = stored(chosen.select(F.xxhash64("kept.doc_id").alias(names[0]), F.col("kept.text_hash").alias(names[1])), "chosen")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumns({names[0]: F.xxhash64(key), names[1]: F.xxhash64(whole)})
+    return rows.join(chosen, names, "left_semi").dropDuplicates(names).select(*docs.columns)
