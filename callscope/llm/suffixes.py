@@ -36,7 +36,7 @@ from callscope.llm.common import raw, ready, slices, stored
 from callscope.llm.windows import hashes, segments
 
 LENGTH = 400
-ANCHOR = 128
+ANCHOR = 256
 #: Text that is hashed at once; arrays of this many numbers stay near the processor.
 HASH_BYTES = 1 << 19
 

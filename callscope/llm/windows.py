@@ -3,7 +3,7 @@
 Every window of ``length`` bytes is given to the place in it where the hash of ``anchor``
 bytes is least (leftmost among equals). That place depends on the window's bytes alone, so
 equal windows, wherever they are, have equal anchors. Neighbouring windows mostly share their
-anchor; a run of them is a segment, about one for every hundred bytes, and a segment's hash stands
+anchor; a run of them is a segment, and a segment's hash stands
 for all bytes that its windows cover.
 """
 
