@@ -354,14 +354,20 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     rows = parted(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
     rows = rows.select("host", F.xxhash64("page_id", "url").alias("mix"), "page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else None
 
     def run(batches):
-        for group in _groups(batches):
+        types = {}
+
+        def noted(batches):
+            for batch in batches:
+                types["id"] = batch.schema.field("page_id").type
+                yield batch
+
+        for group in _groups(noted(batches)):
             texts = extract([row[3] for row in group])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([row[1] for row in group], id_type),
+                    pa.array([row[1] for row in group], types["id"]),
                     pa.array([row[2] for row in group], pa.string()),
                     pa.array(texts, pa.string()),
                 ],
