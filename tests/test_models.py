@@ -98,6 +98,11 @@ def test_model_matrix(spark):
         matrix.model_matrix(empty.drop("error_rate"))
 
 
+def test_quantiles_of_columns_with_nan_end(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, float("nan")), (float("nan"), None)], "a double, b double")
+    assert quantiles.exact_quantiles(df, ["a", "b"], 0.5) == {"a": 1.5, "b": None}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, sf_dir):
     return datasets.labelled_windows(features.minute_features(A.request_logs(spark, sf_dir))).cache()
