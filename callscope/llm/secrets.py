@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a randomness test battery for everything else.
 
 All work is in column expressions. Three patterns give the base spans. The battery looks at
-every maximal run of ``[A-Za-z0-9+/_=-]`` of at least ``MIN_LENGTH`` characters that holds a
-letter and a digit, infers the smallest encoding that holds all its characters (hex, base 32
+every maximal run of ``[A-Za-z0-9+/_-]``, with the ``=`` that pad it, of at least ``MIN_LENGTH``
+characters that holds a letter and a digit (a ``=`` with more of such characters behind it parts
+a name from its value, so both are runs of their own), infers the smallest encoding that holds all its characters (hex, base 32
 lower or upper case, base 36, base 62, base 64), and tests the run as a sample of that
 alphabet:
 
@@ -37,7 +38,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 #: A run of hex digits that is long enough matches as a whole, since it is greedy and maximal.
 MIN_VALUE, MIN_ACCESS = 8, 16
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: ``=`` belongs to a run only as padding at its end; padding counts for the length.
+RUN = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?|(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]+=+(?![A-Za-z0-9+/_=-])"
 MIN_LENGTH = 20
 KINDS = ("assign", "access", "hex", "random")
 #: Encodings from small to large: name, pattern, number of symbols.

@@ -67,6 +67,20 @@ def test_random_strings_are_found_and_masked(spark, no_docs):
     assert secrets.masked(no_docs).count() == 0
 
 
+def test_secrets_behind_an_equals_sign_are_candidates(spark):
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n - 2)) + "a1"
+    values = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", draw(24), draw(40) + "==", draw(18) + "==", draw(88)]
+    before = ["AWS_SECRET_ACCESS_KEY=", "auth=", "http://a.example/b?id=7&sig=", "k=", "x=y="]
+    texts = [f"see {b}{v} end" for b, v in zip(before, values, strict=True)] + ["a1=b2=c3=d4=e5=f6=g7=h8=i9=j0"]
+    df = documents(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    found = {r[0]: r[1] for r in secrets._scanned(df, "text").select("doc_id", "_candidates").collect()}
+    for i, (b, v) in enumerate(zip(before, values, strict=True)):
+        assert [(c["start"], c["end"]) for c in found[i]] == [(4 + len(b), 4 + len(b) + len(v))]
+        assert found[i][0]["p"] is not None
+    assert found[len(values)] == []
+
+
 def test_secret_scan_runs_without_python(spark, docs):
     plan = secrets._scanned(docs.select("doc_id", "text"), "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
