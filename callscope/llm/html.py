@@ -49,8 +49,12 @@ _MARKUP = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: The end of a self-closed element; a slash at the end of a value without quotes belongs to the value.
+_CLOSED = re.compile(r"(?<!=)(?:^|[\s\"']|(?:^|\s)[^\s\"'=]+)/\Z")
 #: Elements whose content is not markup, and elements without content.
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+#: Elements that may stand in a page's head; any other one ends it, and so does text.
+_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small"
@@ -114,6 +118,8 @@ def parse(html: str) -> tuple[Block, list]:
     def text(piece: str) -> None:
         if not piece:
             return
+        if stack[-1].tag == "head" and not piece.isspace():
+            close_to(len(stack) - 1)
         top = stack[-1]
         if top.dropped:
             return
@@ -143,6 +149,9 @@ def parse(html: str) -> tuple[Block, list]:
         if not tag:
             continue
         inline = tag in _INLINE
+        # Nothing that is kept open can stand in a head, so an open one is on top.
+        if stack[-1].tag == "head" and (tag not in _HEAD or (tag == "html" and (m["end"] or m["end2"]))):
+            close_to(len(stack) - 1)
         if m["end"] or m["end2"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -154,9 +163,13 @@ def parse(html: str) -> tuple[Block, list]:
                 state["open"] = state["open"] and inline
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-            at = end.start() if end else len(html)
             state["open"] = False
+            foreign = tag in ("svg", "math")
+            if foreign and _CLOSED.search(m["rest"] or m["rest2"] or ""):
+                continue
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            # A drawing or formula that is never closed is empty too; the markup behind it ends it.
+            at = end.start() if end else at if foreign else len(html)
             continue
         if tag in ("html", "body") or tag in _VOID:
             state["open"] = state["open"] and tag not in ("br", "hr", "html", "body")

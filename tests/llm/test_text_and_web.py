@@ -179,6 +179,22 @@ def test_wrapper_keeps_the_article():
         assert text == want
 
 
+@pytest.mark.parametrize("start", ["<body>", "", "<body class=x>", "<img src=a>"])
+def test_a_head_without_end_holds_no_text(start):
+    for head in ("<head><title>t</title><meta charset=utf-8>", "<head><style>p{}</style><link href=a>\n"):
+        assert html.extract([f"<!DOCTYPE html><html>{head}{start}<div><p>All of the story.</p></div></html>"]) == ["All of the story."]
+    assert html.extract(["<head><title>t</title> Bare text"]) == ["Bare text"]
+
+
+def test_self_closed_drawings_are_empty():
+    for drawing in ("<svg/>", "<svg viewBox='0 0 1 1' />", '<math class="a"/>', "<svg hidden/>", "<svg a=b />", "<svg a='b'/>", "<svg width=1>"):
+        assert html.extract([f"<p>One.</p>{drawing}<p>Two.</p>"]) == ["One.\nTwo."]
+        again = "</math>" if "math" in drawing else "</svg>"
+        if "1>" not in drawing:
+            assert html.extract([f"<p>One.</p>{drawing}<p>Two.</p>{drawing.replace('/>', '>')}x{again}<p>Three.</p>"]) == ["One.\nTwo.\nThree."]
+    assert html.extract(["<p>One.</p><svg a=b/>path</svg><p>Two.</p>"]) == ["One.\nTwo."]
+
+
 def test_simple_tree_matching():
     a, b = "div(h1(),p(),ul(li()))", "div(p(),ul(li(),li.x()),p())"
     assert html._match(a, b)[0] == 4
