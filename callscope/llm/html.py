@@ -39,6 +39,8 @@ MIN_PAGES = 5
 #: Share of link characters from which a slot is a menu, and share of the text that the content part holds.
 LINKS = 0.5
 PART = 0.7
+#: Blocks of a telling name that hold this share of the varying text are the article all the same.
+HOLDS = 0.5
 DEPTH = 100
 
 _MARKUP = re.compile(
@@ -64,7 +66,7 @@ _DROPPED = frozenset(
     "head nav footer aside form dialog button select option input fieldset menu script style noscript template iframe"
     " object canvas audio video svg math figure-ad".split()
 )
-#: Words in class, id or role that mark a block as not the article.
+#: Whole classes, ids or roles, numbers aside, that mark a block as not the article.
 _DROPPED_NAMES = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary consent"
     " contentinfo cookie cookies disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation"
@@ -72,6 +74,7 @@ _DROPPED_NAMES = frozenset(
     " search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 _MAIN = frozenset(("article", "main"))
+_HEADERS = frozenset(("header", "masthead"))
 #: An element of this kind ends an open one of the same kinds, up to the element that holds them.
 _ENDS = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
@@ -85,18 +88,23 @@ _ENDS = {
 
 
 class Block:
-    """A block element: its label, whether it is dropped, and its block children."""
+    """A block element: its label, whether it is dropped, names that speak against it, and its block children."""
 
-    __slots__ = ("tag", "label", "dropped", "main", "children", "shape", "spot", "block")
+    __slots__ = ("tag", "label", "dropped", "marks", "main", "children", "shape", "spot", "block")
 
-    def __init__(self, tag: str, names: tuple[str, ...], parent: Block | None, block: bool = True):
+    def __init__(
+        self, tag: str, names: tuple[str, ...], parent: Block | None, block: bool = True, marks: tuple[str, ...] = ()
+    ):
         self.tag, self.block = tag, block
         self.label = ".".join((tag, *names)) if block else tag
         self.main = bool(parent and parent.main) or tag in _MAIN
         # The head of an article is part of it; the head of a page is not.
         header = tag == "header" and not (parent and parent.main)
-        named = tag not in ("html", "body", *_MAIN) and any(n in _DROPPED_NAMES for n in names)
-        self.dropped = bool(parent and parent.dropped) or tag in _DROPPED or header or named
+        self.dropped = bool(parent and parent.dropped) or tag in _DROPPED or header
+        if tag in _MAIN or not parent:
+            self.marks: frozenset[str] = frozenset()
+        else:
+            self.marks = parent.marks.union(m for m in marks if not (parent.main and m in _HEADERS))
         self.children: list[Block] = []
         self.shape = self.spot = ""
 
@@ -106,6 +114,11 @@ def _names(rest: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+def _marks(rest: str) -> tuple[str, ...]:
+    words = (w for m in _NAMES.finditer(rest) for w in (m[1] or m[2] or m[3] or "").lower().split())
+    return tuple(n for w in words if (n := "-".join(p for p in re.split(r"[^a-z]+", w) if p)) in _DROPPED_NAMES)
+
+
 def parse(html: str) -> tuple[Block, list]:
     """The block tree, and the runs of text in page order: [block, pieces, characters in links]."""
     root = Block("html", (), None)
@@ -189,7 +202,10 @@ def parse(html: str) -> tuple[Block, list]:
                         break
         if len(stack) >= DEPTH:
             continue
-        made = Block(tag, _names(m["rest"] or m["rest2"] or ""), stack[-1], not inline)
+        rest = m["rest"] or m["rest2"] or ""
+        names = _names(rest)
+        marks = () if _DROPPED_NAMES.isdisjoint(names) else _marks(rest)
+        made = Block(tag, names, stack[-1], not inline, marks)
         if not inline:
             owner().children.append(made)
         links += tag == "a"
@@ -284,60 +300,106 @@ def _within(slot: str, part: str) -> bool:
     return slot == part or slot.startswith(part + "/")
 
 
+#: A line of a page: spot, text (or its length), characters in links, whether in article or main, marks.
+Line = tuple[str, str, int, bool, str]
+
+
+def read(html: str | None) -> tuple[str, list[Line]]:
+    """The shape and the lines of a page."""
+    root, runs = parse(html or "")
+    shape = shaped(root)
+    lines = (
+        (block.spot, " ".join("".join(pieces).split()), links, block.main, " ".join(sorted(block.marks)))
+        for block, pieces, links in runs
+    )
+    return shape, [x for x in lines if x[1]]
+
+
+def weigh(lines, slots: dict[str, str], template: set[str], sizes: dict, shares: dict) -> None:
+    """Adds a page's varying lines to the sizes by (slot, marks) and to what each mark holds of its pages' text outside links."""
+    free, own = 0, Counter()
+    for spot, size, links, main, marks in lines:
+        slot = slots[spot]
+        if slot in template:
+            continue
+        known = sizes[slot, marks]
+        known[0] += size
+        known[1] += links
+        known[2] += size * main
+        free += max(size - links, 0)
+        for mark in marks.split():
+            own[mark] += max(size - links, 0)
+    for mark, held in own.items():
+        shares[mark][0] += held
+        shares[mark][1] += free
+
+
+def decide(sizes: dict, shares: dict) -> tuple[set[str], set[str], str]:
+    """The slots that are content, the marks that count, and the part of the wrapper that holds the article."""
+    size: Counter = Counter()
+    linked: Counter = Counter()
+    for (slot, _), (n, links, _) in sizes.items():
+        size[slot] += n
+        linked[slot] += links
+    content = {slot for slot in size if linked[slot] <= LINKS * size[slot]}
+    against = {mark for mark, (own, all_) in shares.items() if own < HOLDS * all_}
+    weights: Counter = Counter()
+    for (slot, marks), (n, _, main) in sizes.items():
+        if slot in content and against.isdisjoint(marks.split()):
+            # Text in article or main elements weighs three times.
+            weights[slot] += n + 2 * main
+    total, part = sum(weights.values()), ""
+    while True:
+        below: Counter = Counter()
+        for slot, weight in weights.items():
+            if slot.startswith(part + "/"):
+                below[part + "/" + slot[len(part) + 1 :].split("/", 1)[0]] += weight
+        heaviest = min(below, key=lambda s: (-below[s], s), default=None)
+        # Down to the element that holds the blocks, not to one of its blocks.
+        if heaviest is None or below[heaviest] < PART * total or not any(s.startswith(heaviest + "/") for s in weights):
+            break
+        part = heaviest
+    return content, against, part
+
+
+def written(lines: list[Line], slots: dict[str, str], content: set[str], against: set[str], part: str) -> str:
+    """The text of a page."""
+    varying = [(slots[x[0]], x[1], x[4]) for x in lines if slots[x[0]] in content]
+    # A page of which nothing else is left keeps what names speak against.
+    kept = [(slot, line) for slot, line, marks in varying if against.isdisjoint(marks.split())]
+    kept = kept or [(slot, line) for slot, line, _ in varying]
+    # A page of another build than its host's may have nothing in that part; then all that varies is its text.
+    return "\n".join([line for slot, line in kept if _within(slot, part)] or [line for _, line in kept])
+
+
 def extract(pages: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
-    parsed = []
-    for html in pages:
-        root, runs = parse(html or "")
-        shape = shaped(root)
-        lines = [(block, " ".join("".join(pieces).split()), links) for block, pieces, links in runs]
-        parsed.append((shape, [x for x in lines if x[1]]))
+    parsed = [read(html) for html in pages]
     # The most common shape; the first in order of itself among equals.
     counts = Counter(shape for shape, _ in parsed)
     wrapper = min(counts, key=lambda s: (-counts[s], s)) if counts else ""
     slots = {shape: aligned(shape, wrapper) for shape in counts}
     texts: dict[str, Counter] = defaultdict(Counter)
-    sizes: Counter = Counter()
-    linked: Counter = Counter()
-    mains: Counter = Counter()
     seen: set[str] = set()
     for shape, lines in parsed:
+        longest = max((x[1] for x in lines), key=len, default="")
+        if longest in seen:
+            continue
+        seen.add(longest)
         joined = defaultdict(list)
-        for block, line, links in lines:
-            slot = slots[shape][block.spot]
-            joined[slot].append(line)
-            sizes[slot] += len(line)
-            linked[slot] += links
-            mains[slot] += len(line) * block.main
-        longest = max((line for _, line, _ in lines), key=len, default="")
-        if longest not in seen:
-            seen.add(longest)
-            for slot, found in joined.items():
-                texts[slot]["\n".join(found)] += 1
+        for x in lines:
+            joined[slots[shape][x[0]]].append(x[1])
+        for slot, found in joined.items():
+            texts[slot]["\n".join(found)] += 1
     template = {
         slot for slot, found in texts.items() if found.total() >= MIN_PAGES and max(found.values()) >= SAME * found.total()
     }
-    content = {slot for slot in sizes if slot not in template and linked[slot] <= LINKS * sizes[slot]}
-    # Text in article or main elements weighs three times.
-    weights = {slot: sizes[slot] + 2 * mains[slot] for slot in content}
-    total, part = sum(weights.values()), ""
-    while True:
-        below: Counter = Counter()
-        for slot, weight in weights.items():
-            if slot.startswith(part + "/"):
-                below[part + "/" + slot[len(part) + 1 :].split("/", 1)[0]] += weight
-        heaviest = min(below, key=lambda s: (-below[s], s), default=None)
-        # Down to the element that holds the blocks, not to one of its blocks.
-        if heaviest is None or below[heaviest] < PART * total or not any(s.startswith(heaviest + "/") for s in weights):
-            break
-        part = heaviest
-    made = []
+    sizes: dict = defaultdict(lambda: [0, 0, 0])
+    shares: dict = defaultdict(lambda: [0, 0])
     for shape, lines in parsed:
-        kept = [(slot, line) for block, line, _ in lines if (slot := slots[shape][block.spot]) in content]
-        # A page of another build than its group's may have nothing in that part; then all that varies is its text.
-        inside = [line for slot, line in kept if _within(slot, part)] or [line for _, line in kept]
-        made.append("\n".join(inside))
-    return made
+        weigh([(x[0], len(x[1]), *x[2:]) for x in lines], slots[shape], template, sizes, shares)
+    chosen = decide(sizes, shares)
+    return [written(lines, slots[shape], *chosen) for shape, lines in parsed]
 
 
 def _groups(batches):

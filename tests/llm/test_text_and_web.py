@@ -195,6 +195,29 @@ def test_self_closed_drawings_are_empty():
     assert html.extract(["<p>One.</p><svg a=b/>path</svg><p>Two.</p>"]) == ["One.\nTwo."]
 
 
+@pytest.mark.parametrize(
+    "open_, close",
+    [
+        ("<div class='content has-sidebar'>", "</div>"),
+        ("<div class='no-comments'>", "</div>"),
+        ("<section><div class=elementor-widget-container>", "</div></section>"),
+        ("<div class=widget>", "</div>"),
+        ("<div id=search><article>", "</article></div>"),
+        ("<article><div class='article-header header'><h2>Head {i}</h2></div>", "</article>"),
+    ],
+)
+def test_names_are_evidence_only(open_, close):
+    rest = "<div class=sidebar>Also {i}</div><div class='ad-3 box'>Buy number {i}</div>"
+    pages = [f"<body>{open_}<p>Story {{i}} that is told on this page.</p>{close}{rest}</body>".format(i=i) for i in range(12)]
+    head = "Head {}\n" if "Head" in open_ else ""
+    assert html.extract(pages) == [f"{head}Story {{}} that is told on this page.".format(*[i] * 2) for i in range(12)]
+
+
+def test_a_page_of_named_blocks_only_keeps_its_text():
+    pages = [f"<body><div class=story>Story {i} that is told on this page.</div><div class=notice>N{i}</div></body>" for i in range(12)]
+    assert html.extract([*pages, "<body><div class=notice>Only a notice.</div></body>"])[-1] == "Only a notice."
+
+
 def test_simple_tree_matching():
     a, b = "div(h1(),p(),ul(li()))", "div(p(),ul(li(),li.x()),p())"
     assert html._match(a, b)[0] == 4
