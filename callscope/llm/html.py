@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -372,6 +373,12 @@ def written(lines: list[Line], slots: dict[str, str], content: set[str], against
     return "\n".join([line for slot, line in kept if _within(slot, part)] or [line for _, line in kept])
 
 
+def copied(lines: list[Line]) -> int:
+    """A hash of a page's lines, equal for copies; lines of blocks with telling names (adverts, comments) do not count."""
+    told = "\n".join([x[1] for x in lines if not x[4]] or [x[1] for x in lines])
+    return int.from_bytes(blake2b(told.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def extract(pages: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
     parsed = [read(html) for html in pages]
@@ -380,12 +387,12 @@ def extract(pages: list[str | None]) -> list[str]:
     wrapper = min(counts, key=lambda s: (-counts[s], s)) if counts else ""
     slots = {shape: aligned(shape, wrapper) for shape in counts}
     texts: dict[str, Counter] = defaultdict(Counter)
-    seen: set[str] = set()
+    seen: set[int] = set()
     for shape, lines in parsed:
-        longest = max((x[1] for x in lines), key=len, default="")
-        if longest in seen:
+        copy = copied(lines)
+        if copy in seen:
             continue
-        seen.add(longest)
+        seen.add(copy)
         joined = defaultdict(list)
         for x in lines:
             joined[slots[shape][x[0]]].append(x[1])

@@ -218,6 +218,15 @@ def test_a_page_of_named_blocks_only_keeps_its_text():
     assert html.extract([*pages, "<body><div class=notice>Only a notice.</div></body>"])[-1] == "Only a notice."
 
 
+def test_long_notices_of_short_articles_are_template():
+    legal = "All rights reserved by the example company and its licensors. " * 9
+    pages = [f"<body><div><p>Short story {i}.</p></div><div>{legal}</div></body>" for i in range(12)]
+    assert html.extract(pages) == [f"Short story {i}." for i in range(12)]
+    # Copies of a page that differ in a notice only count once.
+    copies = [f"<body><div><p>One story.</p></div><div class=ad>Buy {i}</div></body>" for i in range(20)]
+    assert html.extract([*pages, *copies])[-1] == "One story."
+
+
 def test_simple_tree_matching():
     a, b = "div(h1(),p(),ul(li()))", "div(p(),ul(li(),li.x()),p())"
     assert html._match(a, b)[0] == 4
