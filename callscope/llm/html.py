@@ -1,25 +1,27 @@
 """Main text of web pages by wrapper induction.
 
-Pages are dealt out by ranges of (host, hash), so a task sees pages of one host side by side
-and a large host is spread over many tasks; up to ``GROUP`` pages of a host at a time are
-one group. Each page's markup becomes a tree of blocks in which neighbouring siblings of
-equal shape count as one repeated node. The most common shape of a group is its
+Template and content are found for a whole host, whatever tasks its pages lie in: pages are
+read in any order, and what is counted of them (shapes, texts of slots, sizes of slots) is
+added up by host; each host's plan is then joined to its pages. Each page's markup becomes a tree of blocks in which neighbouring siblings of
+equal shape count as one repeated node. The most common shape of a host is its
 wrapper; simple tree matching aligns every other shape with it, and so each block of a page
 is put into a slot of the wrapper, or beside it. Slots whose text is the same on most
 pages are template; pages with the same longest block count once for this, so copies of an
 article do not make it template. Slots that vary are content, unless they mostly hold
 links, or their element, role or class says that they are a menu, a notice, an advert, a
 form or the like. The text of a page is what varies in the part of the wrapper that
-holds most of the varying text; this part is found over all pages of the group.
+holds most of the varying text; this part is found over all pages of the host.
 
 Defined cases: null and empty pages, and pages without text, give an empty string; a host
 with a single page has no template and keeps its varying part by the other rules; a null
 URL is a host of its own; rows with equal ids or URLs are treated one by one; an empty
-table gives an empty one; other columns are left out. A task holds one group of pages.
+table gives an empty one; other columns are left out. A task holds one batch of pages, and at
+most twice ``GROUP`` pages of a host with its plan.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import ready, slices
+from callscope.llm.common import ready, slices, stored
 from callscope.llm.urls import parted
 
 GROUP = 256
@@ -373,10 +375,13 @@ def written(lines: list[Line], slots: dict[str, str], content: set[str], against
     return "\n".join([line for slot, line in kept if _within(slot, part)] or [line for _, line in kept])
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def copied(lines: list[Line]) -> int:
     """A hash of a page's lines, equal for copies; lines of blocks with telling names (adverts, comments) do not count."""
-    told = "\n".join([x[1] for x in lines if not x[4]] or [x[1] for x in lines])
-    return int.from_bytes(blake2b(told.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return _hash("\n".join([x[1] for x in lines if not x[4]] or [x[1] for x in lines]))
 
 
 def extract(pages: list[str | None]) -> list[str]:
@@ -409,17 +414,11 @@ def extract(pages: list[str | None]) -> list[str]:
     return [written(lines, slots[shape], *chosen) for shape, lines in parsed]
 
 
-def _groups(batches):
-    """Runs of rows of one host, of at most twice GROUP pages."""
+def _groups(batches, columns=("host", "page_id", "url", "html")):
+    """Runs of rows of one host, of at most twice GROUP pages; the last column holds the page."""
     held: list = []
-    for batch in slices(batches, "html"):
-        for row in zip(
-            batch.column("host").to_pylist(),
-            batch.column("page_id").to_pylist(),
-            batch.column("url").to_pylist(),
-            batch.column("html").to_pylist(),
-            strict=True,
-        ):
+    for batch in slices(batches, columns[-1]):
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
             if held and (held[0][0] != row[0] or len(held) >= 2 * GROUP):
                 # The rest of a large host stays large enough for a group of its own.
                 cut = GROUP if held[0][0] == row[0] else len(held)
@@ -430,13 +429,105 @@ def _groups(batches):
         yield held
 
 
+@lru_cache(maxsize=1024)
+def _placed(shape: str, wrapper: str) -> dict[str, str]:
+    return aligned(shape, wrapper)
+
+
+@lru_cache(maxsize=64)
+def _template(listed: str) -> frozenset[str]:
+    return frozenset(json.loads(listed))
+
+
+def _made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_SLIM = pa.schema([("host", pa.string()), ("shape", pa.string()), ("copy", pa.int64()), ("lines", pa.string())])
+_TEXTS = pa.schema([("host", pa.string()), ("slot", pa.string()), ("text", pa.int64()), ("n", pa.int64())])
+_SUMS = pa.schema([("host", pa.string()), ("slot", pa.string()), ("marks", pa.string())] + [(c, pa.int64()) for c in "abc"])
+_PLANS = pa.schema([("host", pa.string()), ("plan", pa.string())])
+
+
+def _slim(batches):
+    """Pages without their text: lines as (spot, length, characters in links, main, marks, hash)."""
+    for batch in slices(batches, "html"):
+        rows = []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            shape, lines = read(page)
+            slim = [(x[0], len(x[1]), *x[2:], _hash(x[1])) for x in lines]
+            rows.append((host, shape, copied(lines), json.dumps(slim)))
+        yield _made(rows, _SLIM)
+
+
+def _texts(batches):
+    """How many pages have which text in a slot."""
+    for batch in batches:
+        found: Counter = Counter()
+        for host, shape, wrapper, lines in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "wrapper", "lines"))):
+            slots, joined = _placed(shape, wrapper), defaultdict(list)
+            for x in json.loads(lines):
+                joined[slots[x[0]]].append(str(x[5]))
+            found.update((host, slot, _hash("\n".join(hashes))) for slot, hashes in joined.items())
+        yield _made([(*k, n) for k, n in found.items()], _TEXTS)
+
+
+def _sums(batches):
+    """Sizes of varying slots by marks, and, without a slot, what each mark holds."""
+    for batch in batches:
+        found: dict = defaultdict(lambda: (defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0])))
+        names = ("host", "shape", "wrapper", "template", "lines")
+        for host, shape, wrapper, template, lines in zip(*(batch.column(c).to_pylist() for c in names)):
+            weigh([x[:5] for x in json.loads(lines)], _placed(shape, wrapper), _template(template), *found[host])
+        rows = [(host, *k, *n) for host, (sizes, _) in found.items() for k, n in sizes.items()]
+        rows += [(host, None, mark, *n, 0) for host, (_, shares) in found.items() for mark, n in shares.items()]
+        yield _made(rows, _SUMS)
+
+
+def _plans(batches):
+    """Each host's plan: wrapper, slots that are not content, marks that count, part."""
+    for batch in batches:
+        rows = []
+        for host, wrapper, template, sums in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "template", "sums"))):
+            sizes = {(x["slot"], x["marks"]): (x["a"], x["b"], x["c"]) for x in sums if x["slot"] is not None}
+            shares = {x["marks"]: (x["a"], x["b"]) for x in sums if x["slot"] is None}
+            content, against, part = decide(sizes, shares)
+            out = _template(template).union(slot for slot, _ in sizes if slot not in content)
+            rows.append((host, json.dumps([wrapper, sorted(out), sorted(against), part])))
+        yield _made(rows, _PLANS)
+
+
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: id, url, main text."""
     ready(pages.sparkSession)
     rows = parted(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
-    rows = rows.select("host", F.xxhash64("page_id", "url").alias("mix"), "page_id", "url", "html")
+    rows = rows.select("host", "page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
 
+    slim = rows.select("host", "html").mapInArrow(_slim, "host string, shape string, copy long, lines string")
+    slim = stored(slim, "wrappers")
+    shapes = slim.groupBy("host", "shape").agg((-F.count("*")).alias("n"))
+    # The most common shape; the first in order of itself among equals.
+    wrappers = shapes.groupBy("host").agg(F.min(F.struct("n", "shape"))["shape"].alias("wrapper"))
+    first = slim.groupBy("host", "copy").agg(F.min(F.struct("shape", "lines")).alias("one")).select("host", "one.*")
+    texts = first.join(wrappers, "host").mapInArrow(_texts, "host string, slot string, text long, n long")
+    counts = texts.groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("host", "slot").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    same = counts.where((F.col("total") >= MIN_PAGES) & (F.col("most") >= SAME * F.col("total")))
+    templates = same.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("slot"))).alias("template"))
+    hosts = wrappers.join(templates, "host", "left").select("host", "wrapper", F.coalesce("template", F.lit("[]")).alias("template"))
+    hosts = stored(hosts, "wrappers")
+    sums = slim.join(hosts, "host").mapInArrow(_sums, "host string, slot string, marks string, a long, b long, c long")
+    sums = sums.groupBy("host", "slot", "marks").agg(*[F.sum(c).alias(c) for c in "abc"])
+    sums = sums.groupBy("host").agg(F.collect_list(F.struct("slot", "marks", "a", "b", "c")).alias("sums"))
+    plans = stored(hosts.join(sums, "host").mapInArrow(_plans, "host string, plan string"), "wrappers")
+
+    def lines(batches):
+        for batch in slices(batches, "html"):
+            page = pa.array([json.dumps(read(x), ensure_ascii=False) for x in batch.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], page], ["host", "page_id", "url", "page"])
+
     def run(batches):
         types = {}
 
@@ -445,16 +536,18 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
                 types["id"] = batch.schema.field("page_id").type
                 yield batch
 
-        for group in _groups(noted(batches)):
-            texts = extract([row[3] for row in group])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row[1] for row in group], types["id"]),
-                    pa.array([row[2] for row in group], pa.string()),
-                    pa.array(texts, pa.string()),
-                ],
-                ["page_id", "url", "text"],
-            )
-
-    dealt = rows.repartitionByRange("host", "mix").sortWithinPartitions("host", "mix")
-    return dealt.mapInArrow(run, f"page_id {kind}, url string, text string")
+        for group in _groups(noted(batches), ("host", "plan", "page_id", "url", "page")):
+            texts = []
+            # A host without a plan has nothing that varies.
+            wrapper, out, against, part = json.loads(group[0][1] or '["", [], [], ""]')
+            out, against = set(out), set(against)
+            for row in group:
+                shape, found = json.loads(row[4])
+                slots = _placed(shape, wrapper) if row[1] else {}
+                content = set(slots.values()) - out
+                texts.append(written(found, slots, content, against, part) if row[1] else "")
+            ids, links = pa.array([row[2] for row in group], types["id"]), pa.array([row[3] for row in group], pa.string())
+            yield pa.RecordBatch.from_arrays([ids, links, pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    read_pages = rows.mapInArrow(lines, f"host string, page_id {kind}, url string, page string")
+    return read_pages.join(plans, "host", "left").mapInArrow(run, f"page_id {kind}, url string, text string")

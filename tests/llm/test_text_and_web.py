@@ -246,6 +246,25 @@ def test_main_texts_of_odd_pages(spark):
     assert html.main_texts(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_a_page_of_a_host_has_the_same_text_in_any_partition(spark, parts):
+    shown = [page(i) for i in range(12)] + [page(i, "section") for i in range(12, 20)]
+    shown += [f"<body><div class=story><p>Tale {i} of another build.</p></div><div>All rights reserved by the example company.</div></body>" for i in range(7)]
+    rows = [(i, f"http://one.b/{i}", h, "h", "r") for i, h in enumerate(shown)]
+    rows += [(100 + i, f"http://two.b/{i}", f"<body><p>Hi {i}</p></body>", "h", "r") for i in range(2)]
+    names = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        got = dict(html.main_texts(spark.createDataFrame(rows, PAGES).repartition(parts)).select("page_id", "text").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = dict(enumerate(html.extract(shown))) | {100: "Hi 0", 101: "Hi 1"}
+    assert got == want and not any("All rights" in t for t in got.values())
+
+
 @pytest.mark.parametrize("size", [1, 600])
 def test_groups_of_a_host_are_bounded(size):
     import pyarrow as pa
