@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import digest, html, language, packing, quality, secrets, simhash, suffixes, urls, words
+from callscope.llm import digest, html, language, packing, phrases, quality, secrets, simhash, suffixes, urls, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,39 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+lengths AS (SELECT unnest(range(1, 6)) AS k),
+starts AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM words, lengths WHERE len(ws) >= k),
+counts AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM starts GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::HUGEINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f FROM counts WHERE k > 1 AND f >= 100),
+free AS (
+  SELECT * FROM candidates c
+  WHERE NOT EXISTS (FROM candidates d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.f >= 100 * c.f
+                    AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, l.f AS l, r.f AS r, n, 1000 * c.f * n // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM free) c
+  JOIN counts l ON l.lang = c.lang AND l.k = cut AND l.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.k = c.k - cut AND r.phrase = array_to_string(ws[cut + 1:], ' ')
+  JOIN sizes ON sizes.lang = c.lang),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE place = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_two_fit": op2_best_two_fit,
@@ -110,6 +143,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_toivonen_phrases": op13_toivonen_phrases,
 }
 #: SQL twins, where SQL can express the method.
-ORACLES: dict[str, str] = {"op8_url_filters": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_url_filters": OP8_SQL, "op13_toivonen_phrases": OP13_SQL}
