@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import digest, html, language, packing, phrases, quality, secrets, simhash, suffixes, urls, words
+from callscope.llm import digest, html, language, licenses, packing, phrases, quality, secrets, simhash, suffixes, trie, urls, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,55 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, lists = trie.trie(_table(spark, sf_dir, "conversations"))
+    found = nodes.join(trie.list_digests(lists), trie.NODE, "left")
+    return found.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+digits AS (SELECT c, seq, list_transform(string_split(c::VARCHAR, ''), d -> ascii(d)::BIGINT) AS bytes FROM own),
+heads AS (
+  SELECT c, seq, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), (crc, b) ->
+    list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), (v, _) -> xor(v >> 1, (v & 1) * 3988292384))),
+    4294967295) % 6 AS h
+  FROM digits),
+built AS (
+  SELECT heads.c, list_concat(coalesce(base.seq[1:h], []), heads.seq[h + 1:]) AS seq
+  FROM heads LEFT JOIN own base ON base.c = heads.c - heads.c % 100),
+starts AS (SELECT c, len(seq) AS n, d, seq[1:d] AS p FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM starts GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.p, count(*) FILTER (kids.p IS NULL) AS n_leaves,
+         sum((b.n_convs - 1) * CASE WHEN b.d = 0 THEN 0 ELSE length(b.p[b.d].text) END)::BIGINT AS saved_tokens
+  FROM nodes a JOIN nodes b ON b.d >= a.d AND b.p[1:a.d] = a.p LEFT JOIN kids ON kids.p = b.p GROUP BY a.p)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1] LEFT JOIN kids ON kids.p = n.p JOIN below ON below.p = n.p
+"""
+
+
+def op12_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(_table(spark, sf_dir, "documents"))
+    starts = F.transform("phrases", lambda s: s["first_word"])
+    return found.select(
+        "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op13_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -143,7 +192,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_license_templates": op12_license_templates,
     "op13_toivonen_phrases": op13_toivonen_phrases,
 }
 #: SQL twins, where SQL can express the method.
-ORACLES: dict[str, str] = {"op8_url_filters": OP8_SQL, "op13_toivonen_phrases": OP13_SQL}
+ORACLES: dict[str, str] = {"op8_url_filters": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op13_toivonen_phrases": OP13_SQL}
