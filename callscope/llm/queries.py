@@ -113,10 +113,10 @@ WITH own AS (
   SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
                             ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-digits AS (SELECT c, seq, list_transform(string_split(c::VARCHAR, ''), d -> ascii(d)::BIGINT) AS bytes FROM own),
+digits AS (SELECT c, seq, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT) AS bytes FROM own),
 heads AS (
-  SELECT c, seq, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), (crc, b) ->
-    list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), (v, _) -> xor(v >> 1, (v & 1) * 3988292384))),
+  SELECT c, seq, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))),
     4294967295) % 6 AS h
   FROM digits),
 built AS (

@@ -77,7 +77,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     rows = stored(turns.select("conv_id", "pos", F.xxhash64("p", "pos").alias("p"), F.xxhash64("pos", "q").alias("q"), "chars"), "rebuilt")
     values = {"x": ("xor", F.col("p")), "y": ("xor", F.col("q"))}
     rows = running(rows, ["conv_id"], F.shiftright("pos", SLICE.bit_length() - 1), [F.col("pos")], values)
-    parent = [F.col("x").bitwiseXOR("p").alias("px"), F.col("y").bitwiseXOR("q").alias("py")]
+    parent = [F.col("x").bitwiseXOR(F.col("p")).alias("px"), F.col("y").bitwiseXOR(F.col("q")).alias("py")]
     return rows.select("conv_id", (F.col("pos") + 1).alias("depth"), "x", "y", *parent, "chars")
 
 
