@@ -6,8 +6,9 @@ A phrase is a run of 2 to ``longest`` words inside a piece of text; it is freque
 1. In a sample of the rows (chosen by hash) all phrases over a lowered threshold are found.
 2. One pass over all rows counts exactly what the sample proposes and its negative border: the
    words, and the longer phrases whose two parts of one word less are both proposed.
-3. Frequent border phrases were missed by the sample. They are proposed too, and a further pass
-   counts the phrases this brings into the border, until none of them is frequent (closed).
+3. Frequent border phrases were missed by the sample. They are proposed too, and an expansion pass counts
+   every phrase that holds a new one and whose words, or pairs of neighbouring words, are all proposed. It
+   is repeated while it finds new pairs; longer phrases it finds are already expanded, so two expansions close.
 
 Whether a phrase is proposed is asked in a bit table of fixed size, which goes to every task.
 It can say yes too often, never no: a phrase is then counted for nothing, and a full table only
@@ -38,11 +39,12 @@ MIN_COUNT = 100
 TOP = 2000
 #: One row of so many is in the sample; a phrase is proposed at this share of its expected count there.
 SAMPLE = 8
-SLACK = 0.5
+SLACK = 0.7
 #: Bits of the table of proposed phrases (8 MB); it holds some ten million phrases well.
 TABLE_BITS = 1 << 26
 SLICE = 8 << 20
-COUNTS = "lang string, k int, phrase string, f long"
+#: A phrase on its way through a shuffle: language, tab, words (no word holds a tab); no words stand for all words.
+COUNTS = "key string, f long"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -149,21 +151,34 @@ def counted(texts: pa.Array, lang: str, longest: int, levels: range, asked) -> I
         yield k, pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0], count
 
 
+def _gathered(batches, limit: int):
+    """Batches put together up to ``limit`` bytes of text, so that more is added up before it leaves the task."""
+    held, size = [], 0
+    for batch in slices(batches, "text", limit):
+        n = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and size + n > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _pass(longest: int, levels: range, rule):
-    """Counts of a partition's rows (lang, text), as rows of ``COUNTS``; k = 0 counts all words."""
+    """Counts of a partition's rows (lang, text), as rows of ``COUNTS``."""
 
     def run(batches):
         asked = rule()
-        for batch in slices(batches, "text", SLICE):
+        for batch in _gathered(batches, SLICE):
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 texts = batch.filter(pc.equal(batch.column("lang"), lang)).column("text")
                 for k, phrases, count in counted(texts, lang, longest, levels, asked):
-                    rows = [(k, phrases, count)]
+                    keys = pc.binary_join_element_wise(pa.scalar(lang), phrases, "\t")
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(count, pa.int64())], ["key", "f"])
                     if k == 1:
-                        rows.append((0, pa.array([""]), np.array([count.sum()])))
-                    for size, names, numbers in rows:
-                        made = [pa.array([lang] * len(names)), pa.array([size] * len(names), pa.int32()), names, pa.array(numbers, pa.int64())]
-                        yield pa.RecordBatch.from_arrays(made, ["lang", "k", "phrase", "f"])
+                        yield pa.RecordBatch.from_arrays([pa.array([lang + "\t"]), pa.array([count.sum()], pa.int64())], ["key", "f"])
 
     return run
 
@@ -172,40 +187,63 @@ def _every():
     return lambda k, parts: np.ones(len(parts) - 1, bool)
 
 
-def _chained(pairs):
-    """Windows all of whose pairs of neighbouring words are proposed."""
+def _chained(pairs: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Which windows of ``k`` words have all their pairs among the proposed ones."""
+    found = np.ones(n, bool)
+    for j in range(k - 1):
+        found &= pairs[j : j + n]
+    return found
+
+
+def _sampled(pairs):
+    """For the sample: windows of three words and more, all of whose pairs are proposed."""
 
     def rule():
-        table = Proposed(pairs.value)
+        table, known = Proposed(pairs.value), {}
 
         def asked(k, parts):
             # Called for k = 3, 4, 5 in turn; at k = 3 the parts are the pairs.
             if k == 3:
-                asked.pairs = table(parts)
-            n = len(parts) - 1
-            found = np.ones(n, bool)
-            for j in range(k - 1):
-                found &= asked.pairs[j : j + n]
-            return found
+                known["pairs"] = table(parts)
+            return _chained(known["pairs"], k, len(parts) - 1)
 
         return asked
 
     return rule
 
 
-def _bordered(now, before=None):
-    """Windows whose two parts are proposed, less those for which both were so before."""
+def _bordered(proposed):
+    """For the full pass: windows whose two parts are proposed."""
 
     def rule():
-        table, old = Proposed(now.value), before and Proposed(before.value)
+        table = Proposed(proposed.value)
 
         def asked(k, parts):
             found = table(parts)
-            found = found[:-1] & found[1:]
-            if old:
-                known = old(parts)
-                found &= ~(known[:-1] & known[1:])
-            return found
+            return found[:-1] & found[1:]
+
+        return asked
+
+    return rule
+
+
+def _expanded(proposed, new):
+    """For an expansion: windows that hold a new phrase, and whose words (k = 2) or pairs are all proposed."""
+
+    def rule():
+        table, fresh, known = Proposed(proposed.value), Proposed(new.value), {}
+
+        def asked(k, parts):
+            holds = fresh(parts)
+            if k > 2:
+                holds |= known["holds"][:-1] | known["holds"][1:]
+            known["holds"] = holds
+            if k == 2:
+                words = table(parts)
+                return (holds[:-1] | holds[1:]) & words[:-1] & words[1:]
+            if k == 3:
+                known["pairs"] = table(parts)
+            return (holds[:-1] | holds[1:]) & _chained(known["pairs"], k, len(parts) - 1)
 
         return asked
 
@@ -240,7 +278,13 @@ def _missing(now):
 
 
 def _summed(rows: DataFrame, least: int) -> DataFrame:
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
+    """(lang, k, phrase, f) of what is counted ``least`` times; k = 0 for all words of a language."""
+    some = rows.groupBy("key").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("key").endswith("\t"))
+    phrase = F.substring_index("key", "\t", -1)
+    named = some.withColumn("phrase", phrase)
+    lang = F.expr("substring(key, 1, length(key) - length(phrase) - 1)").alias("lang")
+    k = F.expr("if(phrase = '', 0, length(phrase) - length(replace(phrase, ' ', '')) + 1)").alias("k")
+    return named.select(lang, k, "phrase", "f")
 
 
 def frequent(
@@ -269,19 +313,22 @@ def frequent(
     short = stored(_summed(chosen.mapInArrow(_pass(2, range(1, 3), _every), COUNTS), least).where("k > 0"), "proposed")
     share = spark.sparkContext.broadcast
     pairs = share(_bits(short.where("k = 2"), table_bits))
-    long_ = chosen.mapInArrow(_pass(longest, range(3, longest + 1), _chained(pairs)), COUNTS)
-    bits = _bits(short.union(_summed(long_, least)).where(F.col("k") < longest), table_bits)
-    now, before = share(bits), None
-    found = None
+    long_ = _summed(chosen.mapInArrow(_pass(longest, range(3, longest + 1), _sampled(pairs)), COUNTS), least)
+    bits = _bits(short.union(long_).where((F.col("k") > 0) & (F.col("k") < longest)), table_bits)
+    proposed = share(bits)
+    rule, levels, found = _bordered(proposed), range(1, longest + 1), None
     while True:
-        levels = range(1 if before is None else 2, longest + 1)
-        passed = stored(_summed(rows.mapInArrow(_pass(longest, levels, _bordered(now, before)), COUNTS), min_count), "counted")
-        found = passed if found is None else found.union(passed)
-        border = stored(passed.where((F.col("k") > 0) & (F.col("k") < longest)).mapInArrow(_missing(now), COUNTS), "border")
+        passed = stored(_summed(rows.mapInArrow(_pass(longest, levels, rule), COUNTS), min_count), "counted")
+        open_ = passed.where(F.col("k").between(1, longest - 1 if found is None else 2))
+        # A phrase may be counted by two passes; both counts are of all its places.
+        found = passed if found is None else found.union(passed).dropDuplicates(["lang", "k", "phrase"])
+        border = stored(open_.mapInArrow(_missing(proposed), open_.schema), "border")
         if border.isEmpty():
             return found
-        bits = bits | _bits(border, table_bits)
-        now, before = share(bits), now
+        new = _bits(border, table_bits)
+        bits = bits | new
+        proposed = share(bits)
+        rule, levels = _expanded(proposed, share(new)), range(2, longest + 1)
 
 
 def collocations(docs: DataFrame, top: int | None = TOP, **settings) -> DataFrame:
