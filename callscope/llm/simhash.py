@@ -6,8 +6,8 @@ one of the keys made of that many blocks (6 and 3: 20 keys of about 32 bits, so
 meetings stay rare at billions of fingerprints). Only distinct fingerprints are compared.
 Those under one key are dealt into tiles of at most ``2 * TILE`` by a hash of the
 fingerprint, whatever the size of the group; every two members meet in a tile, and a
-tile returns a spanning forest of its links, not its pairs. No link is lost: the
-components are those of all links.
+tile returns one link per member, to the least it is connected with, not its pairs. No link
+is lost: the components are those of all links.
 
 Defined cases: null and empty texts, and texts of white space, have fingerprint zero and
 link like others; equal texts always share a component; a component without any non-null
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callscope.llm.common import keyed, new_name, rows_bytes, stored, with_column
-from callscope.llm.components import components
+from callscope.llm.components import CHUNK, components, least_nodes
 
 SHINGLE = 3
 DISTANCE = 3
@@ -74,24 +74,25 @@ def _masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _forest(prints: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect all members which links of at most ``distance`` bits connect."""
-    links, open_, queue = [], prints, []
+def _stars(prints: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each set of members that links of at most ``distance`` bits connect: its least, linked to all others."""
+    links, open_ = [], prints
     while len(open_):
-        if not queue:
-            queue, open_ = [open_[0]], open_[1:]
-        head = queue.pop()
-        near = np.bitwise_count(open_ ^ head) <= distance
-        if near.any():
-            found = open_[near]
-            links.append((np.full(len(found), head, np.uint64), found))
-            queue.extend(found)
-            open_ = open_[~near]
+        group, queue, open_ = [open_[:1]], [open_[0]], open_[1:]
+        while queue and len(open_):
+            near = np.bitwise_count(open_ ^ queue.pop()) <= distance
+            if near.any():
+                group.append(open_[near])
+                queue.extend(group[-1])
+                open_ = open_[~near]
+        if len(group) > 1:
+            members = np.sort(np.concatenate(group).view(np.int64))
+            links.append((members[1:], np.full(len(members) - 1, members[0])))
     return links
 
 
 def _tile_links(distance: int):
-    """Links within the tiles of a partition that is sorted by tile."""
+    """Links within the tiles of a partition that is sorted by tile, contracted over tiles."""
 
     def groups(columns: list[np.ndarray], prints: np.ndarray):
         if not len(prints):
@@ -103,12 +104,12 @@ def _tile_links(distance: int):
         starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(prints)])
         pairs = starts[sizes == 2]
-        near = np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= distance
-        yield prints[pairs[near]], prints[pairs[near] + 1]
+        near = pairs[np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= distance]
+        yield prints[near].view(np.int64), prints[near + 1].view(np.int64)
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            yield from _forest(prints[at : at + size], distance)
+            yield from _stars(prints[at : at + size], distance)
 
-    def run(batches):
+    def whole_tiles(batches):
         held = None
         for batch in batches:
             table = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -119,15 +120,24 @@ def _tile_links(distance: int):
                 last &= column == column[-1]
             cut = int(np.argmax(last)) if len(last) else 0
             held = [c[cut:] for c in table]
-            yield from batches_of(groups([c[:cut] for c in table[:4]], table[4][:cut].view(np.uint64)))
+            yield from groups([c[:cut] for c in table[:4]], table[4][:cut].view(np.uint64))
         if held is not None:
-            yield from batches_of(groups(held[:4], held[4].view(np.uint64)))
+            yield from groups(held[:4], held[4].view(np.uint64))
 
-    def batches_of(links):
-        links = list(links)
-        if links:
-            ends = [np.concatenate([x[i] for x in links]).view(np.int64) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], ["a", "b"])
+    def run(batches):
+        found, many = [], 0
+        for link in whole_tiles(batches):
+            found.append(link)
+            many += len(link[0])
+            if many >= CHUNK:
+                yield contracted_links(found)
+                found, many = [], 0
+        if many:
+            yield contracted_links(found)
+
+    def contracted_links(found):
+        a, b, _ = least_nodes(*(np.concatenate([x[i] for x in found]) for i in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -147,7 +157,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, til
         .select("block", "value", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "fingerprint")
     )
     dealt = met.repartition("block", "value", "x", "y").sortWithinPartitions("block", "value", "x", "y")
-    return dealt.mapInArrow(_tile_links(distance), "a long, b long").distinct()
+    return dealt.mapInArrow(_tile_links(distance), "a long, b long")
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
