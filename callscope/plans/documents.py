@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,7 +11,9 @@ from callscope.functions import text
 from callscope.functions.columns import norm
 from callscope.operators import assistant, documents, retrieval, scan, traffic, upsert
 from callscope.plans.traffic import SUMMARY_SQL
+from callscope.session import materialise, scratch_dir
 from callscope.sources import adapters as A
+from callscope.sources.versions import BUCKETS, ConflictError, VersionedTable
 
 QUERIES, ORACLES = {}, {}
 
@@ -100,8 +104,8 @@ ORACLES["rejected_documents"] = """SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'u
   WHEN 3 THEN 'document content is empty' ELSE 'tenant_id is required' END AS problem FROM documents WHERE doc_id % 7 IN (1, 2, 3, 4)"""
 
 
-def chunk_replace(spark, sf_dir):
-    """Sources of odd number come in again with half of their documents and new text."""
+def _source_batches(spark, sf_dir):
+    """Documents as chunks, and a batch in which sources of odd number come in again with half of their documents and new text."""
     docs = A.source_documents(spark, sf_dir)
     at = lambda s: F.timestamp_micros(F.lit(A.BASE_MICROS + s * 10**6))
     shape = lambda df, s: documents.with_hash(df).select(
@@ -115,11 +119,17 @@ def chunk_replace(spark, sf_dir):
         at(s).alias("created_at"),
         at(s).alias("updated_at"),
     )
-    stored = shape(docs, 0)
     odd = F.pmod(F.ascii(F.substring("source_name", -1, 1)), F.lit(2)) == 1
     again = docs.where(odd & (F.col("doc_id") % 4 < 2)).withColumn("content", F.concat("content", F.lit(" again")))
-    out = upsert.replace_sources(stored, shape(again, 60))
-    return out.select("tenant_id", "source_id", "chunk_index", "content_hash", F.date_format("updated_at", "mm:ss").alias("updated_at"))
+    return shape(docs, 0), materialise(shape(again, 60), "batch")
+
+
+def chunk_replace(spark, sf_dir):
+    """The batch replaces its sources in a committed version of the chunk table."""
+    stored, batch = _source_batches(spark, sf_dir)
+    table = VersionedTable.create(stored, scratch_dir(spark, "chunks"), upsert.SOURCE_KEY)
+    table.merge(batch, upsert.replace_sources)
+    return table.read().select("tenant_id", "source_id", "chunk_index", "content_hash", F.date_format("updated_at", "mm:ss").alias("updated_at"))
 
 
 QUERIES["chunk_replace"] = chunk_replace
@@ -133,8 +143,47 @@ WHERE ascii(right(source_name, 1)) % 2 = 1 AND doc_id % 4 < 2""",
 )
 
 
+def chunk_versions(spark, sf_dir):
+    """What every version holds, and what its commit wrote and left alone; a merge from an old version is refused."""
+    stored, batch = _source_batches(spark, sf_dir)
+    table = VersionedTable.create(stored, scratch_dir(spark, "chunks"), upsert.SOURCE_KEY)
+    first = table.files()
+    commits = [table.merge(batch, upsert.replace_sources), table.merge(batch, upsert.delete_by_source)]
+    try:
+        table.merge(batch, upsert.replace_sources, base=0)
+        refused = False
+    except ConflictError:
+        refused = True
+    written = [(c.version, c.touched, c.kept, sum(table.files(c.version).get(b) == f for b, f in first.items())) for c in commits]
+    facts = spark.createDataFrame([(0, len(first), 0, len(first)), *written], "version int, touched int, kept int, first_files int")
+    held = reduce(
+        lambda a, b: a.unionByName(b),
+        [table.read(v).agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.date_format("updated_at", "mm:ss") == "01:00").alias("new_rows")).withColumn("version", F.lit(v)) for v in table.versions()],
+    )
+    return facts.join(held, "version").withColumn("refused", F.lit(refused))
+
+
+_BUCKET_SQL = f"CAST('0x' || md5(concat_ws(chr(31), tenant_id, source_type, source_name))[1:8] AS BIGINT) % {BUCKETS}"
+
+QUERIES["chunk_versions"] = chunk_versions
+ORACLES["chunk_versions"] = A.with_ctes(
+    A.SQL_DOCUMENTS,
+    f"""docs AS (SELECT tenant_id, source_type, source_name, doc_id, {_BUCKET_SQL} AS bucket,
+  ascii(right(source_name, 1)) % 2 = 1 AND doc_id % 4 < 2 AS again FROM source_documents),
+sources AS (SELECT tenant_id, source_type, source_name, any_value(bucket) AS bucket, count(*) AS n, count(*) FILTER (WHERE again) AS news FROM docs GROUP BY ALL),
+buckets AS (SELECT bucket, bool_or(news > 0) AS touched FROM sources GROUP BY 1),
+totals AS (SELECT CAST(count(*) AS INTEGER) AS all_, CAST(count(*) FILTER (WHERE touched) AS INTEGER) AS hit,
+  CAST(count(*) FILTER (WHERE NOT touched) AS INTEGER) AS rest FROM buckets),
+held AS (SELECT sum(n) AS rows0, sum(CASE WHEN news > 0 THEN news ELSE n END) AS rows1, sum(news) AS news, sum(n) FILTER (WHERE news = 0) AS rows2 FROM sources)
+SELECT version, touched, kept, first_files, CAST(row_count AS BIGINT) AS row_count, CAST(new_rows AS BIGINT) AS new_rows, true AS refused FROM (
+  SELECT 0 AS version, all_ AS touched, 0 AS kept, all_ AS first_files, rows0 AS row_count, 0 AS new_rows FROM totals, held
+  UNION ALL SELECT 1, hit, rest, rest, rows1, news FROM totals, held
+  UNION ALL SELECT 2, hit, rest, rest, rows2, 0 FROM totals, held)""",
+)
+
+
 def chunk_upsert(spark, sf_dir):
-    """A batch that repeats every stored chunk twice (later name wins) and adds a new one each."""
+    """A batch that repeats every stored chunk twice (later name wins) and adds a new one each, committed as a version."""
     docs = documents.with_hash(A.source_documents(spark, sf_dir))
     at = lambda s: F.timestamp_micros(F.lit(A.BASE_MICROS + s * 10**6))
     shape = lambda index, name, s: docs.select(
@@ -149,8 +198,9 @@ def chunk_upsert(spark, sf_dir):
         at(s).alias("updated_at"),
     )
     batch = shape(0, "second", 2).unionByName(shape(0, "third", 3)).unionByName(shape(1, "fresh", 4))
-    out = upsert.upsert_chunks(shape(0, "first", 1), batch)
-    return out.select("source_id", "chunk_index", "source_name", F.date_format("created_at", "ss").alias("made"), F.date_format("updated_at", "ss").alias("changed"))
+    table = VersionedTable.create(shape(0, "first", 1), scratch_dir(spark, "chunks"), upsert.CHUNK_KEY, 16)
+    table.merge(materialise(batch, "batch"), upsert.upsert_chunks)
+    return table.read().select("source_id", "chunk_index", "source_name", F.date_format("created_at", "ss").alias("made"), F.date_format("updated_at", "ss").alias("changed"))
 
 
 QUERIES["chunk_upsert"] = chunk_upsert
