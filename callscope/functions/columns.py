@@ -134,6 +134,11 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def null_safe_equal(left, right, names) -> Column:
     return all_of(left[n].eqNullSafe(right[n]) for n in names)
 

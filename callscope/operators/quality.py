@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.functions import addresses
 from callscope.schemas import DEFAULT_METHODS, VALID_METHODS
 
 
@@ -88,14 +89,18 @@ def upstream_host(url: Column) -> Column:
 
 
 # Hosts and address ranges that must not be reached.
-BLOCKED_HOSTS = {"localhost": "loopback", "metadata.google.internal": "metadata", "169.254.169.254": "metadata"}
-BLOCKED_RANGES = (
-    ("loopback", (127, 0, 0, 0), 8),
-    ("private", (10, 0, 0, 0), 8),
-    ("private", (172, 16, 0, 0), 12),
-    ("private", (192, 168, 0, 0), 16),
-    ("link-local", (169, 254, 0, 0), 16),
-)
+BLOCKED_HOSTS = {"localhost": "loopback", "metadata.google.internal": "metadata"}
+BLOCKED_RANGES = {
+    "127.0.0.0/8": "loopback",
+    "10.0.0.0/8": "private",
+    "172.16.0.0/12": "private",
+    "192.168.0.0/16": "private",
+    "169.254.0.0/16": "link-local",
+    "169.254.169.254/32": "metadata",
+    "::1/128": "loopback",
+    "fc00::/7": "private",
+    "fe80::/10": "link-local",
+}
 
 
 def unsafe_upstream(url: Column) -> Column:
@@ -104,27 +109,10 @@ def unsafe_upstream(url: Column) -> Column:
     Works on host names and address literals only; nothing is resolved.
     """
     host = upstream_host(url)
-    octets = F.transform(F.split(host, r"\."), lambda p: p.try_cast("bigint"))
-    literal = host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & F.forall(octets, lambda o: o <= 255)
-    address = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
-    reason = F.lit(None).cast("string")
-    chain = None
+    named = F.lit(None).cast("string")
     for name, why in BLOCKED_HOSTS.items():
-        chain = F.when(host == name, why) if chain is None else chain.when(host == name, why)
-    for why, base, bits in BLOCKED_RANGES:
-        start = sum(o << (24 - 8 * i) for i, o in enumerate(base))
-        chain = chain.when(literal & address.between(start, start + (1 << (32 - bits)) - 1), why)
-    six = host.contains(":")
-    mapped = F.regexp_extract(host, r"^::ffff:([0-9.]+)$", 1)
-    chain = (
-        chain.when(six & host.rlike(r"^(0{0,4}:){2,7}0{0,3}1$"), "loopback")
-        .when(six & host.rlike(r"^f[cd][0-9a-f]{2}:"), "private")
-        .when(six & host.rlike(r"^fe[89ab][0-9a-f]:"), "link-local")
-        .when(six & mapped.rlike(r"^127\."), "loopback")
-        .when(six & mapped.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"), "private")
-        .when(six & mapped.rlike(r"^169\.254\."), "link-local")
-    )
-    return chain.otherwise(reason)
+        named = F.when(host == name, why).otherwise(named)
+    return F.coalesce(named, addresses.longest_prefix(addresses.address_bits(host), BLOCKED_RANGES))
 
 
 def referential_audit(

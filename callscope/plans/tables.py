@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from callscope.functions import addresses
 from callscope.functions.columns import time_text
 from callscope.operators import quality, upsert
 from callscope.sources import adapters as A
@@ -141,6 +142,49 @@ SELECT page_id, host, CASE WHEN host IN ('metadata.google.internal', '169.254.16
   WHEN regexp_matches(host, '^169[.]254[.][0-9.]+$') THEN 'link-local' END AS unsafe FROM urls"""
 
 
+#: Address literals made of a number %s (hexadecimal) or %d, and their class.
+LITERALS = (
+    ("::ffff:7f00:%s", "loopback"),
+    ("0:0:0:0:0:ffff:10.0.3.%d", "private"),
+    ("::ffff:a9fe:a9fe", "metadata"),
+    ("FD00::%s", "private"),
+    ("fe80::1:%s", "link-local"),
+    ("febf:0:0::%s:1", "link-local"),
+    ("fec0::%s", None),
+    ("0000:0000:0000:0000:0000:0000:0000:0001", "loopback"),
+    ("::", None),
+    ("2001:db8::%s", None),
+    ("::ffff:8.8.8.%d", None),
+    ("::192.168.0.%d", None),
+    ("fc00:1:2:3:4:5:6:%s", "private"),
+    ("::ffff:169.254.7.%d", "link-local"),
+    ("1:2:3:4:5:6:7::", None),
+    ("fd00:1:2:3:4:5:6:7:8", None),
+    ("fd00::1::%s", None),
+    ("172.31.0.%d", "private"),
+)
+
+
+def upstream_addresses(spark, sf_dir):
+    """The class of upstreams given by address, by prefixes in an expression and by a table of networks."""
+    n = F.col("page_id") % 251
+    shapes = F.element_at(F.array(*[F.lit(text) for text, _ in LITERALS]), (F.col("page_id") % len(LITERALS) + 1).cast("int"))
+    host = F.replace(F.replace(shapes, F.lit("%s"), F.lower(F.hex(n))), F.lit("%d"), n.cast("string"))
+    rows = A.table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
+    url = F.concat(F.lit("https://"), F.when(F.contains(F.col("host"), F.lit(":")), F.concat(F.lit("["), "host", F.lit("]"))).otherwise(F.col("host")), F.lit("/v1"))
+    rows = rows.withColumns({"unsafe": quality.unsafe_upstream(url), "bits": addresses.address_bits("host")})
+    networks = spark.createDataFrame([(addresses.prefix_bits(c), label) for c, label in quality.BLOCKED_RANGES.items()], "prefix string, label string")
+    found = addresses.match_networks(rows, "bits", networks, "by_table")
+    return found.select("page_id", "host", "unsafe", "by_table", F.col("bits").isNotNull().alias("literal"))
+
+
+QUERIES["upstream_addresses"] = upstream_addresses
+_SHAPES = ", ".join(f"('{text}', {f"'{why}'" if why else 'CAST(NULL AS VARCHAR)'}, {'false' if text.startswith(('fd00:1:', 'fd00::1::')) else 'true'})" for text, why in LITERALS)
+ORACLES["upstream_addresses"] = f"""WITH shapes AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_SHAPES}) v(shape, why, literal))
+SELECT page_id, replace(replace(shape, '%s', lower(printf('%X', page_id % 251))), '%d', CAST(page_id % 251 AS VARCHAR)) AS host,
+  why AS unsafe, why AS by_table, literal FROM pages JOIN shapes ON page_id % {len(LITERALS)} = k"""
+
+
 def route_audit(spark, sf_dir):
     """Route definitions, damaged in turn by a rule on the id."""
     n = F.pmod(F.col("page_id"), F.lit(9))

@@ -159,6 +159,8 @@ def test_second_request_is_refused(spark):
         ("http://localhost:80/x", "loopback"), ("http://[::1]/", "loopback"), ("http://[fd00::1]:8080/", "private"),
         ("http://[fe80::1]/", "link-local"), ("http://[::ffff:10.0.0.1]/", "private"), ("https://172.32.0.1/", None),
         ("https://user@192.168.0.1/", "private"), ("https://example.com/", None), ("http://[2001:db8::1]/", None), ("http://300.1.1.1/", None),
+        ("http://[::ffff:7f00:1]/", "loopback"), ("http://[0:0:0:0:0:ffff:10.0.0.1]/", "private"), ("http://[::ffff:a9fe:a9fe]/", "metadata"),
+        ("http://[::]/", None), ("http://[FE80::1%25eth0]/", "link-local"), ("http://[::127.0.0.1]/", None), ("http://[::ffff:10.0.0.999]/", None),
     ],
 )
 def test_unsafe_upstreams(spark, url, want):
