@@ -80,7 +80,7 @@ def components(links: DataFrame) -> DataFrame:
     first = True
     while True:
         if not first:
-            ends = links.select(F.col("a").alias("b"), F.col("b").alias("end"))
+            ends = stored(links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("end")), "ends")
             moved = F.when(F.col("end").isNull(), 0).otherwise(1).cast("long").alias("changed")
             links = links.join(ends, "b", "left").select("a", F.coalesce("end", "b").alias("b"), moved)
         dealt = links.mapInArrow(contracted(CHUNK), LINKS).repartition("a").mapInArrow(contracted(None), LINKS)
