@@ -1,32 +1,34 @@
 """Removing long repeated passages by longest previous factors.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts elsewhere
-(``keep_first``: starts earlier, by document id and place). In suffix order all suffixes with the
-same first ``length`` bytes stand together, and a suffix has a previous factor of that
-length exactly if one of its neighbours with a smaller position (previous or next smaller
-position) stands in the same run, that is, if it is not the run's first position; it has a
-match of any direction if the run holds another suffix. Only these runs are needed, so
-suffixes are not sorted: runs are found by the hash of the first ``length`` bytes. Hashing
-every suffix of a corpus would shuffle far more than the corpus, so it is done in two steps:
-
-1. Content-chosen segments of windows (see ``windows``), of which those whose anchor occurs
-   once cannot hold a repeat. Segments that are equal as a whole are runs of repeats.
-2. For segments that share an anchor but are not equal (where a passage begins or ends), the
-   first of each distinct kind gives the hashes of its single windows.
-
-Hashes have 64 bits. Counts are map-side combined, so a passage in a third of all documents
-is counted in parts; hot keys of the joins can be split. Nothing is collected, and a task
-holds one slice of documents, or one document if it is longer.
+(``keep_first``: starts earlier, by document id and place). A suffix has a previous factor of that
+length if, in suffix order, its previous or next smaller position shares as many bytes, that is, if it is not
+the first position of its run of suffixes with equal first ``length`` bytes; it has a
+match of any direction if its run holds another suffix. A suffix array of a whole corpus would
+shuffle every suffix; suffixes that can be equal are brought together first:
+
+1. Content-chosen segments (see ``windows``): equal strings of ``length`` bytes lie around equal
+   anchors. Segments whose anchor occurs once hold no repeat. Equal segments are one unit with its places.
+2. The distinct units around one anchor are put in suffix order from the anchor on, and in order of what
+   stands before it, read backwards, on their bytes. The longest common prefixes of neighbours tell, for
+   every start of a string in a unit, its run; its first position stays or nothing does.
+
+Units around one anchor are bounded by ``GROUP`` in a task. An anchor with more (a phrase in very many
+settings) is split by its strings instead: their hashes are counted with map-side combine.
+Equal segments are told by 64-bit hashes, strings in groups by their bytes. No step collects
+places of strings per document but as runs; a task holds one slice of documents, or one document if longer.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than
 ``length`` stay whole; rows with equal id and text are one document (they are removed from
-as repeats of each other unless ``keep_first``); an empty table gives an empty one.
+as repeats of each other unless ``keep_first``); an empty table gives an empty one; other columns
+neither matter nor clash. Ties in place cannot occur: id, a hash of the text and the offset are one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,10 @@ from callscope.llm.common import raw, ready, slices, stored
 from callscope.llm.windows import hashes, segments
 
 LENGTH = 400
-ANCHOR = 256
+#: Bytes that must be equal around which segments are built, as a share of the length.
+ANCHOR_SHARE = 0.64
+#: Distinct units around one anchor that are put in order together.
+GROUP = 4096
 #: Text that is hashed at once; arrays of this many numbers stay near the processor.
 HASH_BYTES = 1 << 19
 
@@ -44,19 +49,18 @@ HASH_BYTES = 1 << 19
 def _segments(length: int, anchor: int):
     def run(batches):
         for batch in slices(batches, "text", HASH_BYTES):
-            row, at, n, anchors, units = segments(*raw(batch.column("text")), length, anchor)
+            row, at, n, ahead, anchors, units = segments(*raw(batch.column("text")), length, anchor)
             taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(taken),
-                    batch.column("row").take(taken),
-                    pa.array(at, pa.int64()),
-                    pa.array(n, pa.int32()),
-                    pa.array(anchors.view(np.int64)),
-                    pa.array(units.view(np.int64)),
-                ],
-                ["doc_id", "row", "at", "n", "anchor", "unit"],
-            )
+            columns = {
+                "doc_id": batch.column("doc_id").take(taken),
+                "row": batch.column("row").take(taken),
+                "at": pa.array(at, pa.int64()),
+                "n": pa.array(n, pa.int32()),
+                "ahead": pa.array(ahead, pa.int32()),
+                "anchor": pa.array(anchors.view(np.int64)),
+                "unit": pa.array(units.view(np.int64)),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -77,34 +81,134 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [press.decompress(x) if x else b"" for x in column.to_pylist()]
 
 
-def _windows(length: int):
-    """The hashes of the windows that are asked for: (window, doc_id, row, at, many)."""
+def _unit_bytes(length: int):
+    """The bytes of the units that are asked for: (anchor, doc_id, row, at, n, ahead, group, many, bytes)."""
 
     def run(batches):
         for batch in slices(batches, "packed", HASH_BYTES // 4):
-            ids, rows = batch.column("doc_id"), batch.column("row").to_pylist()
-            made = [[], [], [], []]
+            taken, parts, made = [], [], []
             for i, (text, asked) in enumerate(zip(_unpacked(batch.column("packed")), batch.column("asked").to_pylist(), strict=True)):
-                data = np.frombuffer(text, np.uint8)
                 for part in asked or ():
-                    at, n = part["at"], part["n"]
-                    (found,) = hashes(data[at : at + n + length - 1], (length,))
-                    made[0].append(found)
-                    made[1].append(np.full(n, i))
-                    made[2].append(at + np.arange(n))
-                    made[3].append(np.full(n, part["many"]))
-            if made[0]:
-                window, which, place, many = map(np.concatenate, made)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(window.view(np.int64)),
-                        ids.take(pa.array(which)),
-                        pa.array(np.array(rows)[which], pa.int64()),
-                        pa.array(place, pa.int64()),
-                        pa.array(many.astype(bool)),
-                    ],
-                    ["window", "doc_id", "row", "at", "many"],
-                )
+                    taken.append(i)
+                    parts.append(part)
+                    made.append(text[part["at"] : part["at"] + part["n"] + length - 1])
+            rows = pa.array(taken, pa.int64())
+            kinds = {"anchor": pa.int64(), "at": pa.int64(), "n": pa.int32(), "ahead": pa.int32(), "group": pa.int64(), "many": pa.bool_()}
+            columns = {name: pa.array([p[name] for p in parts], kind) for name, kind in kinds.items()}
+            columns |= {"doc_id": batch.column("doc_id").take(rows), "row": batch.column("row").take(rows), "bytes": pa.array(made, pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
+
+
+def _prefix_order(texts: np.ndarray, lengths: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte rows inside their groups, and the common prefix of each with the one before (-1: other group)."""
+    width = texts.shape[1]
+    keys = np.ascontiguousarray(texts).view(f"S{width}")[:, 0] if width else np.zeros(len(texts), "S1")
+    order = np.lexsort((lengths, keys, groups))
+    ordered, size = texts[order], lengths[order]
+    common = np.full(len(order), -1, np.int64)
+    differs = ordered[1:] != ordered[:-1]
+    same = np.where(differs.any(axis=1), differs.argmax(axis=1), width) if width else np.zeros(max(0, len(order) - 1), np.int64)
+    common[1:] = np.minimum(same, np.minimum(size[1:], size[:-1]))
+    common[1:][groups[order[1:]] != groups[order[:-1]]] = -1
+    return order, common
+
+
+def repeated_starts(
+    texts: list[bytes], n: np.ndarray, ahead: np.ndarray, groups: np.ndarray, rank: np.ndarray, length: int, anchor: int, keep_first: bool
+) -> np.ndarray:
+    """For units of some groups, which of their strings are repeats: a matrix of units by strings (``n`` of each count).
+
+    ``ahead`` bytes stand before a unit's anchor; ``rank`` is the order of the units' places.
+    """
+    reach = length - anchor
+    count = len(texts)
+    before = np.zeros((count, reach), np.uint8)
+    after = np.zeros((count, length), np.uint8)
+    for i, (text, at) in enumerate(zip(texts, ahead.tolist(), strict=True)):
+        data = np.frombuffer(text, np.uint8)
+        before[i, :at] = data[:at][::-1]
+        after[i, : len(data) - at] = data[at:]
+    least = ahead - n + 1  # bytes before the anchor in a unit's last string
+    order, common = _prefix_order(after, length - least, groups)
+    common = np.where(common < anchor, -1, common - anchor)  # other anchor bytes: nothing in common
+    back, common_back = _prefix_order(before, ahead, groups)
+    found = np.zeros((count, int(n.max(initial=0))), bool)
+    left, right = np.empty(count, np.int64), np.empty(count, np.int64)
+    for d in range(reach + 1):
+        units = np.flatnonzero((least <= d) & (d <= ahead))
+        if len(units) < 2:
+            continue
+        left[back] = np.cumsum(common_back < d)
+        right[order] = np.cumsum(common < reach - d)
+        key = left[units] * (count + 1) + right[units]
+        by = np.lexsort((rank[units], key))
+        key = key[by]
+        again = np.r_[False, key[1:] == key[:-1]]
+        if not keep_first:
+            again |= np.r_[again[1:], False]
+        hit = units[by[again]]
+        found[hit, ahead[hit] - d] = True
+    return found
+
+
+def _ordered(length: int, anchor: int, keep_first: bool):
+    """Runs of repeated strings (row, at, n) of the groups of a partition that is sorted by anchor."""
+
+    def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+        # Rows equal in id and text are one document; each of its units is needed once.
+        once = np.sort(np.unique(np.stack([column("row"), column("at")]), axis=1, return_index=True)[1])
+        batch = batch.take(pa.array(once))
+        places = pa.table([batch.column(c) for c in ("doc_id", "row", "at")], ["doc_id", "row", "at"])
+        order = pc.sort_indices(places, [(c, "ascending") for c in places.column_names], null_placement="at_start").to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        n, ahead = column("n").astype(np.int64), column("ahead").astype(np.int64)
+        found = repeated_starts(batch.column("bytes").to_pylist(), n, ahead, column("anchor"), rank, length, anchor, keep_first)
+        edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        unit, start = np.nonzero(edges == 1)
+        _, end = np.nonzero(edges == -1)
+        made = [batch.column("row").take(pa.array(unit)), pa.array(column("at")[unit] + start), pa.array(end - start, pa.int32())]
+        return pa.RecordBatch.from_arrays(made, ["row", "at", "n"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        many = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            many += batch.num_rows
+            if many >= 2 * GROUP:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                anchors = whole.column("anchor").to_numpy()
+                cut = int(np.searchsorted(anchors == anchors[-1], True))
+                if cut:
+                    yield runs(whole.slice(0, cut))
+                held, many = [whole.slice(cut)], whole.num_rows - cut
+        if many:
+            yield runs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _windows(length: int):
+    """The hashes of all strings of some units: (window, doc_id, row, at, many)."""
+
+    def run(batches):
+        for batch in slices(batches, "bytes", HASH_BYTES // 4):
+            found = [hashes(np.frombuffer(t, np.uint8), (length,))[0] for t in batch.column("bytes").to_pylist()]
+            if not found:
+                continue
+            sizes = np.array([len(f) for f in found])
+            unit = np.repeat(np.arange(len(found)), sizes)
+            start = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            taken = pa.array(unit)
+            made = [pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(taken), batch.column("row").take(taken)]
+            made += [pc.add(batch.column("at").take(taken), pa.array(start)), batch.column("many").take(taken)]
+            yield pa.RecordBatch.from_arrays(made, ["window", "doc_id", "row", "at", "many"])
 
     return run
 
@@ -148,7 +252,8 @@ def cut(
     key: str = "doc_id",
     text: str = "text",
     length: int = LENGTH,
-    anchor: int = ANCHOR,
+    anchor: int | None = None,
+    group: int = GROUP,
     keep_first: bool = True,
     carry: bool = False,
     as_text: bool = False,
@@ -160,33 +265,36 @@ def cut(
     splits are dropped.
     """
     ready(docs.sparkSession)
+    anchor = int(length * ANCHOR_SHARE) if anchor is None else anchor
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), whole).alias("row"), whole.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_segments(length, anchor), f"doc_id {kind}, row long, at long, n int, anchor long, unit long")
+    shape = f"doc_id {kind}, row long, at long, n int, ahead int, anchor long, unit long"
+    found = stored(rows.mapInArrow(_segments(length, anchor), shape), "found")
     shared = stored(found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
     shown = stored(found.join(shared, "anchor"), "segments")
     place = F.struct("doc_id", "row", "at")
     units = stored(
         shown.groupBy("unit").agg(
-            F.count("*").alias("copies"), F.min(place).alias("first"), F.min("n").alias("n"), F.min("anchor").alias("anchor")
+            F.count("*").alias("copies"), F.min(place).alias("first"), F.min("n").alias("n"), F.min("ahead").alias("ahead"), F.min("anchor").alias("anchor")
         ),
         "units",
     )
-    varied = stored(units.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "varied")
-    asked = (
-        units.join(varied, "anchor")
-        .select("first.row", F.struct("first.at", "n", (F.col("copies") > 1).alias("many")).alias("part"))
-        .groupBy("row")
-        .agg(F.collect_list("part").alias("asked"))
-    )
+    varied = stored(units.groupBy("anchor").agg(F.count("*").alias("group")).where("group > 1"), "varied")
+    part = F.struct("first.at", "n", "ahead", "anchor", "group", (F.col("copies") > 1).alias("many"))
+    asked = units.join(varied, "anchor").select("first.row", part.alias("part")).groupBy("row").agg(F.collect_list("part").alias("asked"))
     if carry:
         rest = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("rest")
         rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), whole).alias("row"), rest, whole.alias("text"))
     columns = StructType([f for f in rows.schema.fields if f.name != "text"])
     # The filter is also what the inner join below asks for, so that both joins read one exchange.
     texts = rows.mapInArrow(_packed, StructType([*columns.fields]).add("packed", "binary")).where("row is not null")
-    windows = texts.join(asked, "row").mapInArrow(_windows(length), f"window long, doc_id {kind}, row long, at long, many boolean")
+    shape = f"anchor long, at long, n int, ahead int, group long, many boolean, doc_id {kind}, row long, bytes binary"
+    cut_out = stored(texts.join(asked, "row").mapInArrow(_unit_bytes(length), shape), "units")
+    small = cut_out.where(F.col("group") <= group).repartition("anchor").sortWithinPartitions("anchor")
+    ordered = small.mapInArrow(_ordered(length, anchor, keep_first), "row long, at long, n int")
+    crowded = cut_out.where(F.col("group") > group).dropDuplicates(["row", "at"])
+    windows = crowded.mapInArrow(_windows(length), f"window long, doc_id {kind}, row long, at long, many boolean")
     if keep_first:
         ahead = windows.groupBy("window").agg(F.count("*").alias("k"), F.min(place).alias("ahead")).where("k > 1")
         parts = windows.join(ahead, "window").where(place > F.col("ahead")).select("row", "at", F.lit(1).alias("n"))
@@ -197,7 +305,7 @@ def cut(
         later = F.lit(True)
     copied = units.where("copies > 1").select("unit", "first")
     copies = shown.join(copied, "unit").where(later).select("row", "at", "n")
-    runs = parts.union(copies).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    runs = ordered.union(parts).union(copies).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     schema = StructType([*columns.fields]).add("n_bytes", "long").add("n_removed", "long")
     schema = schema.add("spans", ArrayType(ArrayType(LongType()))).add("kept", "string" if as_text else "binary")
     return texts.join(runs, "row", "left").select(*texts.columns, "runs").mapInArrow(_cut(length, as_text), schema).drop("row")

@@ -58,21 +58,23 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """(row, first window, number of windows, anchor hash, segment hash) of all segments of a slice."""
+    """(row, first window, number of windows, bytes before the anchor, anchor hash, segment hash) of a slice's segments."""
     empty = np.zeros(0, np.int64)
+    nothing = empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     if len(data) < length:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return nothing
     at_anchor, whole = hashes(data, (anchor, length))
     place = least_places(at_anchor, length - anchor + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(place)]
     fits = np.arange(len(place)) + length <= offsets[row + 1]
     starts = np.flatnonzero(fits)
     if not len(starts):
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return nothing
     new = np.r_[True, (place[starts[1:]] != place[starts[:-1]]) | (np.diff(starts) != 1) | (np.diff(row[starts]) != 0)]
     first = starts[new]
     count = np.diff(np.r_[np.flatnonzero(new), len(starts)])
     last = first + count - 1
-    shape = (place[first] - first).astype(np.uint64) * _ODD[1] + count.astype(np.uint64)
+    ahead = place[first] - first
+    shape = ahead.astype(np.uint64) * _ODD[1] + count.astype(np.uint64)
     unit = mixed(mixed(whole[first], whole[last]), shape)
-    return row[first], first - offsets[row[first]], count, at_anchor[place[first]], unit
+    return row[first], first - offsets[row[first]], count, ahead, at_anchor[place[first]], unit

@@ -91,15 +91,57 @@ def removed(rows, length, keep_first):
 ROWS = [r for n, r in enumerate(awkward_texts()) if len(r[1] or "") < 40_000 and n != 16]
 
 
-@pytest.mark.parametrize(("length", "anchor"), [(400, 128), (60, 16)])
+@pytest.mark.parametrize(("length", "anchor", "group"), [(400, 128, 4096), (60, 16, 4096), (60, 16, 1)])
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_cut_equals_brute_force(spark, length, anchor, keep_first):
+def test_cut_equals_brute_force(spark, length, anchor, group, keep_first):
+    """Also with every group too large for one task, so that it is split by its strings."""
     df = documents(spark, ROWS).repartition(4)
-    got = suffixes.cut(df, length=length, anchor=anchor, keep_first=keep_first)
+    got = suffixes.cut(df, length=length, anchor=anchor, group=group, keep_first=keep_first)
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got.collect())
     assert got == Counter(removed(ROWS, length, keep_first))
 
 
+def brute_starts(texts, n, groups, rank, length, keep_first):
+    """Which strings of units occur in another unit of the group (before it, by rank)."""
+    out = set()
+    for i, text in enumerate(texts):
+        for s in range(n[i]):
+            others = [j for j in range(len(texts)) if j != i and groups[j] == groups[i] and any(texts[j][k : k + length] == text[s : s + length] for k in range(n[j]))]
+            if any(rank[j] < rank[i] for j in others) if keep_first else others:
+                out.add((i, s))
+    return out
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_order_of_groups_equals_brute_force(seed, keep_first):
+    """Units of four anchors under three group numbers: equal hashes of unlike bytes are kept apart."""
+    rng = np.random.default_rng(seed)
+    length, anchor = 20, 8
+    anchors = [bytes(rng.integers(1, 4, anchor).astype(np.uint8)) for _ in range(4)]
+    texts, n, ahead, groups = [], [], [], []
+    for _ in range(60):
+        which = int(rng.integers(4))
+        before = int(rng.integers(0, length - anchor + 1))
+        count = int(rng.integers(1, before + 2))
+        behind = length - anchor - (before - count + 1)
+        make = lambda m: bytes(rng.choice([0] * 9 + [1], m).astype(np.uint8))  # noqa: B023,E731
+        texts.append(make(before) + anchors[which] + make(behind))
+        n.append(count)
+        ahead.append(before)
+        groups.append(min(which, 2))
+    rank = rng.permutation(60)
+    found = suffixes.repeated_starts(texts, np.array(n), np.array(ahead), np.array(groups), rank, length, anchor, keep_first)
+    # Only strings at equal distance from the anchor are compared; others cannot share an anchor place.
+    want = set()
+    for i, s in brute_starts(texts, n, groups, rank, length, keep_first):
+        same = [j for j in range(60) if j != i and groups[j] == groups[i] and 0 <= ahead[j] - ahead[i] + s < n[j]
+                and texts[j][ahead[j] - ahead[i] + s :][:length] == texts[i][s : s + length]]
+        if any(rank[j] < rank[i] for j in same) if keep_first else same:
+            want.add((i, s))
+    assert {tuple(x) for x in np.argwhere(found).tolist()} == want and want
+
+
 def test_dedup_keeps_columns_and_first_copy(spark, docs, no_docs):
     done = suffixes.deduplicated(docs)
     assert done.columns == docs.columns and done.count() == docs.count()
