@@ -14,6 +14,10 @@ from callscope.llm.queries import tokenizer
 from callscope.session import prepare
 
 
+#: Bytes of a passage that the suffix stage cuts out when it comes again: some fifty short words.
+PASSAGE = 200
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the repetition limits reject go."""
     return quality.keep_good(docs)
@@ -25,8 +29,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of passages of 400 bytes and more are cut out; the first copy stays."""
-    return suffixes.deduplicated(docs)
+    """Later copies of passages of ``PASSAGE`` bytes and more are cut out; the first copy stays."""
+    return suffixes.deduplicated(docs, length=PASSAGE)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
