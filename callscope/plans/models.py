@@ -123,7 +123,54 @@ def isolation_forest(spark, sf_dir):
     return iforest.score_forest(model, rows).select(*KEYS, F.round("isolation", 6).alias("isolation"))
 
 
+_HEIGHT = iforest.height_of(iforest.SAMPLE)
+
+
+def _depth_sql(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({n} - 1) / {n} END"
+
+
+def forest_sql(train: str, target: str) -> str:
+    """CTEs that grow the forest on ``train`` (id, v), level by level, and score ``target`` (id, v): forest_scores (id, isolation)."""
+    prime, factor, trees = iforest.PRIME, iforest.FACTOR, iforest.TREES
+    sides = lambda f: "[" + ", ".join(f"{f}(v[{i}])" for i in range(1, len(MODEL_FEATURES) + 1)) + "]"
+    drawn = lambda which: f"((t * 1009 + node) * {iforest.STEP} + {which * iforest.SALT + iforest.SEED}) % {prime} * {factor} % {prime}"
+    parts = [
+        f"""forest_base AS (SELECT id, v, CAST('0x' || md5(id)[1:8] AS BIGINT) % {prime} AS base FROM {train})""",
+        f"""forest_rows0 AS MATERIALIZED (SELECT t, id, v, 1::BIGINT AS node FROM (SELECT t, id, v, row_number() OVER (PARTITION BY t
+  ORDER BY (base * ((t + 1) * {factor} % {prime}) + {iforest.SEED} * (t + 1)) % {prime}, id) AS r FROM forest_base, range({trees}) x(t)) WHERE r <= {iforest.SAMPLE})""",
+    ]
+    for k in range(_HEIGHT + 1):
+        parts.append(f"forest_nodes{k} AS MATERIALIZED (SELECT t, node, count(*) AS n, {sides('min')} AS lo, {sides('max')} AS hi FROM forest_rows{k} GROUP BY t, node)")
+        if k < _HEIGHT:
+            parts.append(f"""forest_splits{k} AS MATERIALIZED (SELECT t, node, pick, lo[pick] + (hi[pick] - lo[pick]) * ((1 + {drawn(2)} % {iforest.SHARES}) / {iforest.SHARES + 2}::DOUBLE) AS cut
+  FROM (SELECT *, usable[1 + {drawn(1)} % len(usable)] AS pick FROM (SELECT *, list_filter(range(1, {len(MODEL_FEATURES) + 1}), lambda i: hi[i] > lo[i]) AS usable
+    FROM forest_nodes{k} WHERE n >= 2) WHERE len(usable) > 0))""")
+            parts.append(f"""forest_rows{k + 1} AS MATERIALIZED (SELECT t, id, v, 2 * node + CASE WHEN v[pick] < cut THEN 0 ELSE 1 END AS node
+  FROM forest_rows{k} JOIN forest_splits{k} USING (t, node))""")
+    union = lambda name, last: " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(last + 1))
+    parts.append(f"forest_splits AS MATERIALIZED ({union('forest_splits', _HEIGHT - 1)})")
+    parts.append(f"forest_nodes AS MATERIALIZED (SELECT t, node, n FROM ({union('forest_nodes', _HEIGHT)}))")
+    parts.append(f"forest_walk0 AS MATERIALIZED (SELECT id, v, t, 1::BIGINT AS node FROM {target}, range({trees}) x(t))")
+    for k in range(_HEIGHT):
+        parts.append(f"""forest_walk{k + 1} AS MATERIALIZED (SELECT id, v, w.t, CASE WHEN pick IS NULL THEN w.node WHEN v[pick] < cut THEN 2 * w.node ELSE 2 * w.node + 1 END AS node
+  FROM forest_walk{k} w LEFT JOIN forest_splits s ON s.t = w.t AND s.node = w.node)""")
+    parts.append(f"forest_size AS (SELECT least({iforest.SAMPLE}, count(*)) AS m FROM {train})")
+    parts.append(f"""forest_scores AS MATERIALIZED (SELECT id, round(pow(2.0::DOUBLE, -(sum(length(bin(w.node)) - 1 + {_depth_sql('coalesce(n, 0)')}) / {trees}) / any_value({_depth_sql('m')})), {iforest.DIGITS}) AS isolation
+  FROM forest_walk{_HEIGHT} w LEFT JOIN forest_nodes f ON f.t = w.t AND f.node = w.node, forest_size GROUP BY id)""")
+    return ",\n".join(parts)
+
+
 QUERIES["isolation_forest"] = isolation_forest
+ORACLES["isolation_forest"] = A.with_ctes(
+    A.sql_logs(),
+    FEATURE_SQL,
+    _holes_sql(False),
+    _scaled_sql(9),
+    f"points AS MATERIALIZED (SELECT *, tenant_id || '|' || client_id || '|' || route_id || '|' || window_start AS id, [{_V}] AS v FROM scaled)",
+    forest_sql("points", "points"),
+    "SELECT tenant_id, client_id, route_id, window_start, round(isolation, 6) AS isolation FROM points JOIN forest_scores USING (id)",
+)
 
 
 def detector_comparison(spark, sf_dir):
@@ -153,15 +200,77 @@ FROM ruled, (VALUES {", ".join(f"('{a}')" for a in detect.ALGORITHMS)}) v(algori
 )
 
 
+def traffic_detector(spark, sf_dir):
+    """A forest trained on the normal windows of the log."""
+    return detect.train_detector(matrix.training_rows(_labelled(spark, sf_dir)), version="traffic-isolation_forest")
+
+
+def shown_anomalies(found):
+    return found.withColumns({"score": F.round("score", 6), "window_start": time_text("window_start")})
+
+
 def recent_anomalies(spark, sf_dir):
     """Anomalous windows of the log under a forest trained on normal windows."""
-    training = matrix.training_rows(_labelled(spark, sf_dir))
-    detector = detect.train_detector(training, version="traffic-isolation_forest")
     rows = features.minute_features(A.request_logs(spark, sf_dir))
-    return detect.anomalies(detect.score(detector, rows))
+    return shown_anomalies(detect.anomalies(detect.score(traffic_detector(spark, sf_dir), rows)))
+
 
+def _trained_sql() -> str:
+    """CTEs up to forest_scores of all windows and the threshold, by a forest fitted on normal training windows."""
+    stats = ", ".join(f'quantile_cont(CAST("{c}" AS DOUBLE), 0.5) AS "d_{c}", avg(CAST("{c}" AS DOUBLE)) AS "m_{c}", stddev_pop(CAST("{c}" AS DOUBLE)) AS "s_{c}"' for c in MODEL_FEATURES)
+    z = ", ".join(f'round((CAST("{c}" AS DOUBLE) - "m_{c}") / CASE WHEN "s_{c}" = 0 THEN 1.0 ELSE "s_{c}" END, 9) + 0.0' for c in MODEL_FEATURES)
+    return f"""{RULES_SQL},
+normal AS (SELECT * FROM ruled WHERE split = 'train' AND scenario = 'NORMAL'),
+stats AS (SELECT {stats} FROM normal),
+points AS MATERIALIZED (SELECT tenant_id, client_id, route_id, window_start, split, scenario,
+  sha256(tenant_id || '|' || client_id || '|' || route_id || '|' || epoch_us(window_start) // 1000000) AS id, [{z}] AS v FROM ruled, stats),
+trained AS (SELECT id, v FROM points WHERE split = 'train' AND scenario = 'NORMAL'),
+{forest_sql("trained", "points")},
+threshold AS (SELECT -quantile_cont(-isolation, {detect.CONTAMINATION}) AS edge FROM trained JOIN forest_scores USING (id)),
+judged AS (SELECT points.*, isolation - edge AS score FROM points JOIN forest_scores USING (id), threshold)"""
+
+
+_ANOMALIES_SQL = f"""SELECT tenant_id, client_id, route_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, 'ML DETECTION' AS severity,
+  round(score, 6) AS score, '{detect.SEMANTICS}' AS score_semantics, 'traffic-isolation_forest' AS model_version FROM judged WHERE score > 0"""
 
 QUERIES["recent_anomalies"] = recent_anomalies
+ORACLES["recent_anomalies"] = A.with_ctes(A.sql_logs(), FEATURE_SQL, _trained_sql(), _ANOMALIES_SQL)
+
+
+def anomaly_status(spark, sf_dir):
+    """Anomaly counts per tenant under the forest."""
+    rows = features.minute_features(A.request_logs(spark, sf_dir))
+    detector = traffic_detector(spark, sf_dir)
+    return detect.anomaly_status(A.tenants(spark, sf_dir), detect.anomalies(detect.score(detector, rows)), detector.version)
+
+
+QUERIES["anomaly_status"] = anomaly_status
+ORACLES["anomaly_status"] = A.with_ctes(
+    A.sql_logs(),
+    FEATURE_SQL,
+    _trained_sql(),
+    """SELECT tenant_id, count(*) FILTER (WHERE score > 0) AS anomaly_count, 'AVAILABLE' AS status, 'traffic-isolation_forest' AS model_version,
+  CAST(NULL AS VARCHAR) AS detail FROM judged GROUP BY 1""",
+)
+
+
+def forest_confusion(spark, sf_dir):
+    """Confusion cells of the forest on the held-out windows. The labels are thresholds on the features
+    that the forest sees, so these figures say how well it finds such thresholds, no more."""
+    found = detect.score(traffic_detector(spark, sf_dir), matrix.evaluation_rows(_labelled(spark, sf_dir)))
+    return detect.confusion(found).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+QUERIES["forest_confusion"] = forest_confusion
+ORACLES["forest_confusion"] = A.with_ctes(
+    A.sql_logs(),
+    FEATURE_SQL,
+    _trained_sql(),
+    """cells AS (SELECT count(*) AS sample_count, count(*) FILTER (WHERE scenario <> 'NORMAL' AND score > 0) AS tp, count(*) FILTER (WHERE scenario = 'NORMAL' AND score <= 0) AS tn,
+  count(*) FILTER (WHERE scenario = 'NORMAL' AND score > 0) AS fp, count(*) FILTER (WHERE scenario <> 'NORMAL' AND score <= 0) AS fn FROM judged WHERE split = 'test')
+SELECT *, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM cells""",
+)
 
 
 def detector_metrics(spark, sf_dir):
