@@ -9,7 +9,8 @@ in one task. Every bucket is cut into time chunks:
 3. all chunks are replayed in parallel from their starts.
 
 Rows meet their chunk by one hash partitioning with a sort inside the partition and are
-read as a stream of Arrow batches, so no group is ever held in memory.
+read as a stream of Arrow batches, so no group is ever held in memory. What a chunk must know of its
+bucket (limits, start) comes as a row at its head; the log is never joined with its buckets.
 """
 
 from __future__ import annotations
@@ -64,22 +65,19 @@ def _batches(frames: Iterator[pd.DataFrame], keys) -> Iterator[tuple[pd.DataFram
 def _replay_batches(shared: bool, columns: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = seen = capacity = refill = 0
-        for frame, starts in _batches(frames, (*KEYS, "_chunk")):
+        for frame, _ in _batches(frames, (*KEYS, "_chunk")):
             keep, allowed, remaining, retry = [], [], [], []
-            rows = zip(starts, frame["_us"], frame["_capacity"], frame["_refill"], frame["_initial"], frame["_seed"])
-            for fresh, us, cap, rate, first, seed in rows:
+            rows = zip(frame["_us"], frame["_capacity"], frame["_refill"], frame["_initial"], frame["_seed"])
+            for us, cap, rate, first, seed in rows:
                 us, cap, rate = int(us), int(cap), int(rate)
                 if seed:
                     tokens, seen, capacity, refill = int(first), us, cap, rate
                     keep.append(False)
                     continue
-                if fresh:
-                    tokens = cap if pd.isna(first) else min(max(int(first), 0), cap)
-                    seen, capacity, refill = us, cap, rate
-                elif shared:
+                if shared:
                     capacity, refill = cap, rate
                 tokens += B.gain(us - seen, refill, shared)
-                seen = us
+                seen = max(us, seen)
                 tokens, ok, left, wait = B.take(tokens, capacity, refill, shared)
                 keep.append(True)
                 allowed.append(ok)
@@ -101,6 +99,7 @@ _TRANSFER = T.StructType(
         T.StructField("_capacity", T.DecimalType(38, 0)),
         T.StructField("_refill", T.DecimalType(38, 0)),
         T.StructField("_initial", T.DecimalType(38, 0)),
+        T.StructField("_floor", T.LongType()),
         T.StructField("_starts", T.ArrayType(T.DecimalType(38, 0))),
         T.StructField("_slopes", T.ArrayType(T.IntegerType())),
         T.StructField("_offsets", T.ArrayType(T.DecimalType(38, 0))),
@@ -112,28 +111,36 @@ def _transfer_batches(shared: bool):
     names = [f.name for f in _TRANSFER]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head: tuple | None = None
+        head: list | None = None
         state = B.Transfer()
-        seen = 0
+        seen = floor = 0
         done: list[tuple] = []
 
         def close() -> None:
             starts, slopes, offsets = map(list, zip(*state.pieces))
-            key, first_us, *limits = head
-            limits = [None if x is None else Decimal(x) for x in limits]
-            done.append((*key, first_us, seen, *limits, [Decimal(x) for x in starts], slopes, [Decimal(x) for x in offsets]))
+            done.append((*head, [Decimal(x) for x in starts], slopes, [Decimal(x) for x in offsets]))
+            done[-1] = (*done[-1][:5], seen, *done[-1][6:])
 
-        for frame, fresh_flags in _batches(frames, (*KEYS, "_chunk")):
-            rows = zip(fresh_flags, frame["_us"], frame["_capacity"], frame["_refill"], frame["_initial"], *(frame[k] for k in (*KEYS, "_chunk")))
-            for fresh, us, cap, rate, initial, *key in rows:
+        for frame, _ in _batches(frames, (*KEYS, "_chunk")):
+            rows = zip(*(frame[c] for c in ("_seed", "_us", "_capacity", "_refill", "_initial", "_floor", *KEYS, "_chunk")))
+            for seed, us, cap, rate, initial, least, *key in rows:
                 us, cap, rate = int(us), int(cap), int(rate)
-                if fresh:
+                if seed:
                     if head is not None:
                         close()
-                    head = (key, us, cap, rate, None if pd.isna(initial) else int(initial))
-                    state, seen = B.Transfer(), us
+                    limits = cap, rate
+                    floor = None if pd.isna(least) else int(least)
+                    seen = us if floor is None else max(us, floor)
+                    none = lambda x: None if pd.isna(x) else x
+                    head = [*key, seen, seen, Decimal(cap), Decimal(rate), none(initial), floor]
+                    state = B.Transfer()
+                    continue
+                if not shared:
+                    cap, rate = limits
+                if floor is not None:
+                    us = max(us, floor)
                 state.request(B.gain(us - seen, rate, shared), cap)
-                seen = us
+                seen = max(us, seen)
             if done:
                 yield pd.DataFrame(done, columns=names)
                 done = []
@@ -155,24 +162,41 @@ _SEED = T.StructType(
     ]
 )
 
+#: What a bucket holds after its last request; the table that carries buckets from one log to the next.
+STATE = T.StructType(
+    [
+        *[T.StructField(k, T.StringType()) for k in KEYS],
+        T.StructField("tokens", T.DecimalType(38, 0)),
+        T.StructField("seen_us", T.LongType()),
+        T.StructField("capacity", T.DecimalType(38, 0)),
+        T.StructField("refill", T.DecimalType(38, 0)),
+    ]
+)
+
 
 def _chain(shared: bool):
     def run(chunks: pd.DataFrame) -> pd.DataFrame:
-        """Start tokens of each chunk of one bucket; one short row per time chunk."""
+        """Start tokens of each chunk of one bucket, one short row per time chunk; a row without chunk is what is left at the end."""
         chunks = chunks.sort_values("_chunk")
         out, tokens, seen = [], 0, None
         for row in chunks.itertuples(index=False, name=None):
             r = dict(zip(chunks.columns, row))
             if seen is None:
                 full = int(r["_capacity"])
-                tokens = full if pd.isna(r["_initial"]) else min(max(int(r["_initial"]), 0), full)
-            else:
+                if not pd.isna(r["_floor"]):
+                    # The bucket comes from an earlier log: ``_initial`` is what it held at ``_floor``.
+                    tokens, seen = int(r["_initial"]), int(r["_floor"])
+                else:
+                    tokens = full if pd.isna(r["_initial"]) else min(max(int(r["_initial"]), 0), full)
+            if seen is not None:
                 tokens += B.gain(int(r["_from"]) - seen, int(r["_refill"]), shared)
             tokens = min(tokens, int(r["_capacity"]))
             out.append((*(r[k] for k in KEYS), r["_chunk"], r["_from"], r["_capacity"], r["_refill"], Decimal(tokens)))
             tokens = B.apply_pieces([int(x) for x in r["_starts"]], r["_slopes"], r["_offsets"], tokens)
-            seen = int(r["_to"])
-        return pd.DataFrame(out, columns=[f.name for f in _SEED])
+            seen = max(int(r["_to"]), seen or 0)
+        out.append((*(r[k] for k in KEYS), None, seen, r["_capacity"], r["_refill"], Decimal(tokens)))
+        made = pd.DataFrame(out, columns=[f.name for f in _SEED])
+        return made.astype({"_chunk": "Int64"})
 
     return run
 
@@ -191,32 +215,49 @@ def replay(
     the limits a bucket was made with and reports 0 when refused; 'shared' uses each
     request's own limits, keeps fractions, waits whole seconds and forgets idle buckets.
     """
+    return replay_from(None, requests, variant=variant, carry=carry, chunk_seconds=chunk_seconds)[0]
+
+
+def replay_from(
+    state: DataFrame | None, requests: DataFrame, *, variant: str = "local", carry=(), chunk_seconds: int = 60
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`replay` from what buckets hold (``STATE``), and what those in the log hold afterwards.
+
+    A request from before the newest one its bucket has seen gains nothing and is decided all the same.
+    """
     if variant not in ("local", "shared"):
         raise ValueError("variant must be 'local' or 'shared'")
     shared = variant == "shared"
-    # Written once: the limits of each bucket's first request, both passes and the output read it.
-    rows = materialise(_prepared(requests, carry), "bucket-rows")
-    made = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in KEYS]).agg(
-        F.min_by(F.struct("_capacity", "_refill", "_initial"), F.struct("_us", "id")).alias("_made")
-    )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
-    first = ("_initial",) if shared else ("_capacity", "_refill", "_initial")
-    marked = (
-        rows.join(made, same)
-        .select(*[c for c in rows.columns if c not in first], *[F.col(f"_made.{c}").alias(c) for c in first])
-        .withColumn("_chunk", F.floor(F.col("_us") / (chunk_seconds * _MICRO)).cast("bigint"))
-    )
-
-    seeds = (
-        _in_order(marked.select(*KEYS, "_chunk", "id", "_us", "_capacity", "_refill", "_initial"))
-        .mapInPandas(_transfer_batches(shared), _TRANSFER)
-        .groupBy(*KEYS)
-        .applyInPandas(_chain(shared), _SEED)
+    # Written once: the heads of the chunks, both passes and the output read it.
+    rows = _prepared(requests, carry).withColumn("_chunk", F.floor(F.col("_us") / (chunk_seconds * _MICRO)).cast("bigint"))
+    rows = materialise(rows, "bucket-rows")
+    in_bucket = Window.partitionBy(*KEYS).orderBy("_chunk")
+    heads = rows.groupBy(*KEYS, "_chunk").agg(
+        F.min_by(F.struct("_us", "_capacity", "_refill", "_initial"), F.struct("_us", "id")).alias("_head")
     )
+    made = F.first("_head").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))
+    heads = heads.select(*KEYS, "_chunk", F.col("_head._us").alias("_us"), F.col("_head").alias("_own"), made.alias("_made"))
+    # 'local' buckets keep the limits they were made with; 'shared' ones take those of the request.
+    limits = "_own" if shared else "_made"
+    heads = heads.select(
+        *KEYS, "_chunk", "_us", F.col(f"{limits}._capacity").alias("_capacity"), F.col(f"{limits}._refill").alias("_refill"),
+        F.col("_made._initial").alias("_initial"), F.lit(None).cast("bigint").alias("_floor"),
+    )
+    if state is not None:
+        held = state.select(*[F.col(k).alias(f"_{k}") for k in KEYS], "tokens", "seen_us", "capacity", "refill")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
+        kept = lambda column, own: F.col(own) if shared else F.coalesce(column, own)
+        heads = heads.join(held, same, "left").select(
+            *KEYS, "_chunk", "_us", kept("capacity", "_capacity").alias("_capacity"), kept("refill", "_refill").alias("_refill"),
+            F.coalesce("tokens", "_initial").alias("_initial"), F.col("seen_us").alias("_floor"),
+        )
+    asked = rows.select(*KEYS, "_chunk", "id", "_us", "_capacity", "_refill").withColumn("_seed", F.lit(False))
+    asked = asked.unionByName(heads.withColumn("_seed", F.lit(True)), allowMissingColumns=True)
+    chained = _in_order(asked, seeded=True).mapInPandas(_transfer_batches(shared), _TRANSFER).groupBy(*KEYS).applyInPandas(_chain(shared), _SEED)
+    chained = materialise(chained, "bucket-chunks")
+    seeds = chained.where("_chunk is not null").withColumn("_seed", F.lit(True))
     kept = [*KEYS, "id", "_us", *carry]
-    stream = marked.withColumn("_seed", F.lit(False)).unionByName(
-        seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True
-    )
+    stream = rows.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
     schema = T.StructType(
         [stream.schema[c] for c in kept]
         + [
@@ -226,7 +267,10 @@ def replay(
         ]
     )
     out = _in_order(stream, seeded=True).mapInPandas(_replay_batches(shared, kept), schema)
-    return out.withColumn("created_at", F.timestamp_micros("_us")).drop("_us")
+    left = chained.where("_chunk is null").select(
+        *KEYS, F.col("_initial").alias("tokens"), F.col("_us").alias("seen_us"), F.col("_capacity").alias("capacity"), F.col("_refill").alias("refill")
+    )
+    return out.withColumn("created_at", F.timestamp_micros("_us")).drop("_us"), left
 
 
 def _in_order(rows: DataFrame, *, seeded: bool = False) -> DataFrame:

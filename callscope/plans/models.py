@@ -234,7 +234,8 @@ _ANOMALIES_SQL = f"""SELECT tenant_id, client_id, route_id, strftime(window_star
   round(score, 6) AS score, '{detect.SEMANTICS}' AS score_semantics, 'traffic-isolation_forest' AS model_version FROM judged WHERE score > 0"""
 
 QUERIES["recent_anomalies"] = recent_anomalies
-ORACLES["recent_anomalies"] = A.with_ctes(A.sql_logs(), FEATURE_SQL, _trained_sql(), _ANOMALIES_SQL)
+RECENT_ANOMALIES_SQL = A.with_ctes(A.sql_logs(), FEATURE_SQL, _trained_sql(), _ANOMALIES_SQL)
+ORACLES["recent_anomalies"] = RECENT_ANOMALIES_SQL
 
 
 def anomaly_status(spark, sf_dir):

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callscope.functions.columns import time_text
-from callscope.operators import datasets, detect, matrix
-from callscope.operators import features as batch_features
 from callscope.plans.admission import _log_policies
 from callscope.plans.features import FEATURE_SQL, ROUNDED, _rounded_sql
-from callscope.session import materialise, scratch_dir
+from callscope.plans.models import RECENT_ANOMALIES_SQL, shown_anomalies, traffic_detector
+from callscope.session import scratch_dir
 from callscope.sources import adapters as A
 from callscope.streaming import bucket, features, ingest, runs
 
@@ -25,8 +24,10 @@ def _log_stream(spark, sf_dir, compress: int = 600):
     return A.logs_from_events(runs.read_stream(spark, f"{sf_dir}/events.parque[t]", schema), compress)
 
 
-# A window is emitted once its end lies at or before the newest time minus the delay.
-CLOSED_SQL = "window_start + INTERVAL 1 MINUTE <= (SELECT max(created_at) FROM request_logs) - INTERVAL 2 MINUTE"
+def _ending_stream(spark, sf_dir):
+    """The log stream, and a function that ends it."""
+    logs, marks = _log_stream(spark, sf_dir), scratch_dir(spark, "stream-end")
+    return runs.closable(logs, marks), lambda: runs.write_end(spark, marks, logs.schema)
 
 
 def _shown(df):
@@ -35,10 +36,9 @@ def _shown(df):
 
 
 def stream_minute_features(spark, sf_dir):
-    out, _ = runs.drain(
-        features.stream_minute_features(_log_stream(spark, sf_dir)).withColumn("window_start", F.col("window.start")).drop("window"),
-        "stream-features",
-    )
+    logs, end = _ending_stream(spark, sf_dir)
+    rows = features.stream_minute_features(logs).withColumn("window_start", F.col("window.start")).drop("window")
+    out, _ = runs.drain(rows, "stream-features", close=end)
     return _shown(out)
 
 
@@ -48,12 +48,13 @@ ORACLES["stream_minute_features"] = A.with_ctes(
     A.sql_logs(),
     FEATURE_SQL,
     f"""SELECT * EXCLUDE (request_rate_change) REPLACE ({_rounded_sql(_BASIC)}, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start)
-FROM features WHERE {CLOSED_SQL}""",
+FROM features""",
 )
 
 
 def stream_rate_change(spark, sf_dir):
-    out, _ = runs.drain(features.stream_rate_change(features.stream_minute_features(_log_stream(spark, sf_dir))), "stream-change")
+    logs, end = _ending_stream(spark, sf_dir)
+    out, _ = runs.drain(features.stream_rate_change(features.stream_minute_features(logs)), "stream-change", close=end)
     return _shown(out).select("tenant_id", "client_id", "route_id", "window_start", "request_count", "request_rate_change")
 
 
@@ -61,19 +62,23 @@ QUERIES["stream_rate_change"] = stream_rate_change
 ORACLES["stream_rate_change"] = A.with_ctes(
     A.sql_logs(),
     FEATURE_SQL,
-    f"""SELECT tenant_id, client_id, route_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, request_count,
-  round(request_rate_change, 6) AS request_rate_change FROM features WHERE {CLOSED_SQL}""",
+    """SELECT tenant_id, client_id, route_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, request_count,
+  round(request_rate_change, 6) AS request_rate_change FROM features""",
 )
 
 
-def stream_token_bucket(spark, sf_dir):
-    limits = _log_policies(spark, sf_dir).select(
+def _limits(spark, sf_dir):
+    return _log_policies(spark, sf_dir).select(
         "tenant_id",
         "client_id",
         "route_id",
         F.col("policy.bucket_capacity").alias("bucket_capacity"),
         F.col("policy.refill_rate").alias("refill_rate"),
     )
+
+
+def stream_token_bucket(spark, sf_dir):
+    limits = _limits(spark, sf_dir)
     requests = _log_stream(spark, sf_dir).join(limits, ["tenant_id", "client_id", "route_id"])
     out, _ = runs.drain(bucket.stream_token_buckets(requests), "stream-buckets")
     return out.select("id", "tenant_id", "client_id", "route_id", "allowed", F.round("remaining", 9).alias("remaining"), "retry_after_ns")
@@ -126,13 +131,55 @@ LEFT JOIN request_logs l ON l.client_id = c.id AND l.tenant_id = c.tenant_id GRO
 
 def stream_anomalies(spark, sf_dir):
     """Windows of the stream scored as they close, by a forest trained on normal windows."""
-    windows = batch_features.minute_features(A.request_logs(spark, sf_dir))
-    labelled = materialise(datasets.labelled_windows(windows), "labelled")
-    detector = detect.train_detector(matrix.training_rows(labelled), version="traffic-isolation_forest")
-    rows = features.stream_rate_change(features.stream_minute_features(_log_stream(spark, sf_dir)))
-    path = scratch_dir(spark, "stream-anomalies")
-    ingest.score_stream(rows, detector, path, scratch_dir(spark, "stream-anomalies-checkpoint")).awaitTermination()
-    return spark.read.parquet(path).drop("batch")
+    detector = traffic_detector(spark, sf_dir)
+    logs, end = _ending_stream(spark, sf_dir)
+    rows = features.stream_rate_change(features.stream_minute_features(logs))
+    path, checkpoint = scratch_dir(spark, "stream-anomalies"), scratch_dir(spark, "stream-anomalies-checkpoint")
+    for close in (end, None):
+        ingest.score_stream(rows, detector, path, checkpoint).awaitTermination()
+        if close:
+            close()
+    return shown_anomalies(spark.read.parquet(path).drop("batch"))
 
 
 QUERIES["stream_anomalies"] = stream_anomalies
+ORACLES["stream_anomalies"] = RECENT_ANOMALIES_SQL
+
+
+def stream_bucket_slices(spark, sf_dir):
+    """The log in three micro-batches, each replayed in time chunks from the bucket states that the one before left."""
+    parts, path = scratch_dir(spark, "deliveries"), scratch_dir(spark, "bucket-states")
+    logs = A.request_logs(spark, sf_dir).join(_limits(spark, sf_dir), ["tenant_id", "client_id", "route_id"])
+    part = F.least(F.floor((F.unix_micros("created_at") - A.BASE_MICROS) / (24 * 60 * 10**6)), F.lit(2))
+    for number in range(3):
+        logs.where(part == number).coalesce(1).write.mode("append").parquet(parts)
+    runs.use_rocksdb(spark)
+    stream = runs.read_stream(spark, parts, logs.schema, files_per_trigger=1)
+    bucket.replay_stream(stream, path, scratch_dir(spark, "bucket-checkpoint")).awaitTermination()
+    out = spark.read.parquet(f"{path}/decisions")
+    return out.select("id", "tenant_id", "client_id", "route_id", "allowed", F.round("remaining", 9).alias("remaining"), "retry_after_ns")
+
+
+QUERIES["stream_bucket_slices"] = stream_bucket_slices
+ORACLES["stream_bucket_slices"] = _replay_sql()
+
+
+def stream_late_rows(spark, sf_dir):
+    """The log delivered in three parts out of order: what is in time, and what comes behind the watermark."""
+    parts, path = scratch_dir(spark, "deliveries"), scratch_dir(spark, "late-rows")
+    logs = A.request_logs(spark, sf_dir)
+    for part in range(3):
+        logs.where(F.col("id").cast("bigint") % 3 == part).coalesce(1).write.mode("append").parquet(parts)
+    stream = runs.read_stream(spark, parts, logs.schema, files_per_trigger=1)
+    ingest.split_late(stream, path, scratch_dir(spark, "late-rows-checkpoint")).awaitTermination()
+    rows = [spark.read.parquet(f"{path}/{kind}").select(F.lit(kind).alias("kind"), "tenant_id", "id") for kind in ("on_time", "late")]
+    return rows[0].unionByName(rows[1])
+
+
+QUERIES["stream_late_rows"] = stream_late_rows
+ORACLES["stream_late_rows"] = A.with_ctes(
+    A.sql_logs(),
+    """parts AS (SELECT *, CAST(id AS BIGINT) % 3 AS part FROM request_logs),
+newest AS (SELECT part, max(created_at) AS newest FROM parts GROUP BY 1)
+SELECT CASE WHEN created_at < (SELECT max(newest) FROM newest n WHERE n.part < p.part) - INTERVAL 10 MINUTE THEN 'late' ELSE 'on_time' END AS kind, tenant_id, id FROM parts p""",
+)

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from callscope.functions import bucket as B
-from callscope.operators.bucket import KEYS, _prepared
+from callscope.operators.bucket import KEYS, STATE, _prepared, replay_from
+from callscope.sources.versions import ConflictError, VersionedTable
+from callscope.streaming.ingest import for_each
 from callscope.streaming.runs import use_rocksdb
 
 _UNITS = T.DecimalType(38, 0)
@@ -88,3 +90,36 @@ def stream_token_buckets(requests: DataFrame, *, variant: str = "local", expire_
         timeMode="ProcessingTime" if expire_state else "None",
     )
     return decided.withColumn("created_at", F.timestamp_micros("created_us")).drop("created_us")
+
+
+def replay_stream(
+    requests: DataFrame, path: str, checkpoint: str, *, variant: str = "local", chunk_seconds: int = 60, buckets: int = 64
+) -> StreamingQuery:
+    """Decide requests as they arrive, hot buckets by many tasks; decisions go to ``path``/decisions.
+
+    Every micro-batch is replayed in time chunks from the versioned table of bucket states in ``path``/states, of which
+    it rewrites the parts it touches. No task holds more than a chunk of a bucket. Batch n turns version n
+    into n + 1, so a batch that is run again starts from the same state and writes the same decisions.
+    """
+    spark = requests.sparkSession
+
+    def work(batch: DataFrame, number: int) -> None:
+        table = VersionedTable(spark, f"{path}/states")
+        if number == 0 and not table.versions():
+            table = VersionedTable.create(spark.createDataFrame([], STATE), table.path, KEYS, buckets)
+        decided, left = replay_from(table.read(number), batch, variant=variant, chunk_seconds=chunk_seconds)
+        decided.write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
+        try:
+            table.merge(left, _newest, base=number)
+        except ConflictError:  # this batch was committed before it was run again
+            pass
+
+    return for_each(requests, work, checkpoint)
+
+
+def _newest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """States with those of the buckets that come in replaced."""
+    same = F.struct(*[F.coalesce(F.col(k), F.lit("")).alias(k) for k in KEYS])
+    rows = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    newest = rows.groupBy(same.alias("_key")).agg(F.max_by(F.struct(*STATE.names), "_new").alias("_row"))
+    return newest.select("_row.*")

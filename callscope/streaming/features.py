@@ -12,14 +12,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callscope.operators.features import valid_logs, window_aggregates
 from callscope.schemas import FEATURE_KEYS
-from callscope.streaming.runs import use_rocksdb
+from callscope.streaming.runs import END, use_rocksdb
 
 DELAY = "2 minutes"
 
 
 def stream_minute_features(logs: DataFrame, *, delay: str = DELAY) -> DataFrame:
-    """Closed one-minute windows with counts, percentiles and rates; later rows are dropped."""
-    rows = valid_logs(logs).withWatermark("created_at", delay)
+    """Closed one-minute windows with counts, percentiles and rates; later rows are dropped.
+
+    Over a stream made closable (``runs.closable``) an end mark closes the windows still open.
+    """
+    rows = valid_logs(logs).withWatermark("created_at", delay).where(F.col("created_at") < F.lit(END))
     keys = [*FEATURE_KEYS, F.window("created_at", "1 minute").alias("window")]
     return window_aggregates(rows, keys)
 

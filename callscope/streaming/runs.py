@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -33,12 +35,40 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, *, partition_by=(),
     return writer.start(path)
 
 
-def drain(stream: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
-    """Process all data present, and return the written table and the finished query."""
+#: The time of an end mark; no request is as late.
+END = datetime(9999, 1, 1, tzinfo=timezone.utc)
+
+
+def closable(logs: DataFrame, marks: str) -> DataFrame:
+    """A log stream that ends when a mark is put into the folder ``marks``: all its windows then close.
+
+    The mark is a row that moves the watermark to ``END``; windowed operators leave it out. It comes from a source of its own, so it
+    can be written when the log is known to be complete, and a restarted query takes it up after the rows before it.
+    """
+    spark = logs.sparkSession
+    spark.createDataFrame([], logs.schema).write.mode("ignore").parquet(marks)
+    return logs.unionByName(read_stream(spark, marks, logs.schema))
+
+
+def write_end(spark: SparkSession, marks: str, schema: T.StructType) -> None:
+    """Put the end mark into ``marks``: a valid log row of nobody, at ``END``."""
+    values = {"string": "end", "int": 200, "bigint": 200, "double": 0.0, "boolean": False, "timestamp": END}
+    row = tuple(values.get(f.dataType.simpleString()) for f in schema)
+    spark.createDataFrame([row], schema).write.mode("append").parquet(marks)
+
+
+def drain(stream: DataFrame, name: str, *, close=None) -> tuple[DataFrame, StreamingQuery]:
+    """Process all data present, and return the written table and the finished query.
+
+    ``close`` is called when all data are processed (to put an end mark); what that brings is processed, too.
+    """
     spark = stream.sparkSession
     path, checkpoint = scratch_dir(spark, name), scratch_dir(spark, f"{name}-checkpoint")
     query = to_table(stream, path, checkpoint)
     query.awaitTermination()
+    if close:
+        close()
+        to_table(stream, path, checkpoint).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path), query
 
 
