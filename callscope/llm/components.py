@@ -1,7 +1,7 @@
 """Connected components of links, by contraction and pointer jumping.
 
-Links point from a node to a smaller one. A round replaces each link's end by what
-that end points to, contracts the links of each task (every node of a connected part gets one link,
+Links point from a node to a smaller one. They should come contracted task by task (``least_nodes``), if
+there are many. A round replaces each link's end by what that end points to, contracts the links of each task (every node of a connected part gets one link,
 to the part's least node), deals them out by their node, and contracts again. A round
 is one written table of at most one link per node and task. When a round changes
 nothing, every node points to the least node it reaches; chains halve each round.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from callscope.llm.common import stored
 
 #: Links that a task contracts at once before they are dealt out.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LINKS = "a long, b long, changed long"
 
 
@@ -83,7 +83,8 @@ def components(links: DataFrame) -> DataFrame:
             ends = stored(links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("end")), "ends")
             moved = F.when(F.col("end").isNull(), 0).otherwise(1).cast("long").alias("changed")
             links = links.join(ends, "b", "left").select("a", F.coalesce("end", "b").alias("b"), moved)
-        dealt = links.mapInArrow(contracted(CHUNK), LINKS).repartition("a").mapInArrow(contracted(None), LINKS)
+            links = links.mapInArrow(contracted(CHUNK), LINKS)
+        dealt = links.repartition("a").mapInArrow(contracted(None), LINKS)
         seen = Observation()
         links = stored(dealt.observe(seen, F.max("changed").alias("changed")), "links").select("a", "b")
         if not first and not seen.get["changed"]:

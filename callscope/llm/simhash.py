@@ -31,6 +31,8 @@ SHINGLE = 3
 DISTANCE = 3
 BLOCKS = 6
 SEED = 42
+#: Sets of connected members that a task holds before it contracts their links.
+STARS = 1 << 14
 #: Fingerprints of a group that a task compares with as many others.
 TILE = 2048
 
@@ -129,7 +131,7 @@ def _tile_links(distance: int):
         for link in whole_tiles(batches):
             found.append(link)
             many += len(link[0])
-            if many >= CHUNK:
+            if many >= CHUNK or len(found) >= STARS:
                 yield contracted_links(found)
                 found, many = [], 0
         if many:
