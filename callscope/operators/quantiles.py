@@ -1,75 +1,84 @@
-"""Exact quantiles of many columns without holding all values in one place."""
+"""Exact quantiles of many columns by radix selection.
+
+Numbers become 64-bit keys in the order of the numbers. A pass counts the next 16 bits of the keys that share the
+digits found so far, for all columns at once: at most 2 ** 16 counters for a column and rank, summed map-side.
+Four passes find any rank exactly, whatever the values or their number; no value is ranked or moved.
+"""
 
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.functions.columns import as_col
 
-def exact_quantiles(df: DataFrame, columns, probability: float, *, accuracy: int = 10_000) -> dict[str, float | None]:
-    """Linear-interpolated quantile of each column, NULLs and NaNs left out.
+DIGIT = 16
+PASSES = 64 // DIGIT
+_SIGN = -(2**63)
+
+
+def order_key(c) -> Column:
+    """The bits of a double, turned so that they order as unsigned numbers do; NULL and NaN have none."""
+    x = F.nanvl(as_col(c).cast("double"), F.lit(None).cast("double"))
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x + F.lit(0.0)).cast("bigint")
+    return F.when(x.isNotNull(), F.when(x < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(_SIGN))))
 
-    An approximate sketch brackets the wanted rank, then only the values inside the
-    bracket (about ``4 / accuracy`` of the rows) are counted and ranked. If a bracket
-    misses its rank it is widened, so the answer is always exact.
-    """
-    columns = list(columns)
-    # NaN is no value: it has no place in the order.
-    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    numbers = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    found: dict[int, float | None] = {}
-    pending = list(range(len(columns)))
-    slack = 2 / accuracy
-    while pending:
-        ends = [max(0.0, probability - slack), min(1.0, probability + slack)]
-        probe = [F.count(f"c{i}").alias(f"n{i}") for i in pending]
-        probe += [F.approx_percentile(f"c{i}", ends, accuracy).alias(f"b{i}") for i in pending]
-        facts = numbers.agg(*probe).first()
-        bracket = {}
-        for i in pending:
-            if facts[f"n{i}"] == 0:
-                found[i] = None
-            else:
-                lo, hi = facts[f"b{i}"]
-                whole = slack >= 1
-                bracket[i] = (-math.inf, math.inf) if whole else (lo, hi)
-        if bracket:
-            found.update(_ranked(numbers, bracket, {i: facts[f"n{i}"] for i in bracket}, probability))
-        if slack >= 1:
-            break
-        pending = [i for i in pending if i not in found]
-        slack *= 10
-    return {c: found[i] for i, c in enumerate(columns)}
 
+def number_of(key: int) -> float:
+    """The double whose key has these 64 bits."""
+    bits = key ^ (1 << 63) if key >> 63 else ~key & (1 << 64) - 1
+    return struct.unpack(">d", bits.to_bytes(8, "big"))[0]
 
-def _ranked(numbers: DataFrame, bracket: dict, totals: dict, probability: float) -> dict[int, float]:
-    below = numbers.agg(*[F.count_if(F.col(f"c{i}") < lo).alias(f"l{i}") for i, (lo, _) in bracket.items()]).first()
-    entries = F.array(
-        *[
-            F.when(F.col(f"c{i}").between(lo, hi), F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("v")))
-            for i, (lo, hi) in bracket.items()
-        ]
-    )
-    counts = (
-        numbers.select(F.explode(F.array_compact(entries)).alias("e")).groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    place = {i: (totals[i] - 1) * probability for i in bracket}
-    wanted = F.lit(False)
-    for i in bracket:
-        start, low, high = below[f"l{i}"], math.floor(place[i]), math.ceil(place[i])
-        for rank in {low, high}:
-            inside = (F.col("upto") + start > rank) & (F.col("upto") - F.col("n") + start <= rank)
-            wanted = wanted | ((F.col("i") == i) & inside)
-    hits: dict[int, list] = {}
-    for row in counts.withColumn("upto", upto).where(wanted).collect():
-        hits.setdefault(row["i"], []).append((row["upto"] - row["n"] + below[f"l{row['i']}"], row["upto"] + below[f"l{row['i']}"], row["v"]))
-    out = {}
-    for i, ranges in hits.items():
-        at = lambda rank: next((v for a, b, v in ranges if a <= rank < b), None)  # noqa: B023,E731
-        low, high = at(math.floor(place[i])), at(math.ceil(place[i]))
-        if low is not None and high is not None:
-            out[i] = low + (high - low) * (place[i] - math.floor(place[i]))
+
+def exact_quantiles(df: DataFrame, columns, probability: float) -> dict[str, float | None]:
+    """Linear-interpolated quantile of each column, NULLs and NaNs left out; None for a column without values."""
+    columns = list(columns)
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), order_key(c).alias("key")) for i, c in enumerate(columns)])
+    keys = df.select(F.explode(entries).alias("e")).select("e.*").where("key is not null")
+    # (column, rank) -> digits found so far, and the rank among the keys that share them.
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    places: dict[int, float] = {}
+    for number in range(PASSES):
+        shift = 64 - DIGIT * (number + 1)
+        digit = F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("digit")
+        if number == 0:
+            counts = keys.select("i", F.lit(0).cast("bigint").alias("head"), digit)
+        else:
+            heads = [sorted({head for (j, _), (head, _) in found.items() if j == i}) for i in range(len(columns))]
+            known = F.array(*[F.array(*[F.lit(_signed(h)) for h in own]).cast("array<bigint>") for own in heads])
+            head = F.shiftrightunsigned("key", shift + DIGIT).alias("head")
+            counts = keys.select("i", head, digit).where(F.array_contains(F.get(known, F.col("i")), F.col("head")))
+        counts = counts.groupBy("i", "head", "digit").agg(F.count(F.lit(1)).alias("n"))
+        ahead = Window.partitionBy("i", "head").orderBy("digit")
+        counts = counts.withColumn("upto", F.sum("n").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+        if number == 0:
+            # The first pass counts all values, so it also gives the ranks; its counters are bounded.
+            counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("i")))
+            wanted = F.lit(False)
+            place = (F.col("total") - 1) * F.lit(probability)
+            for rank in (F.floor(place), F.ceil(place)):
+                wanted |= (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+        else:
+            wanted = F.lit(False)
+            for (i, _), (head, rank) in found.items():
+                wanted |= (F.col("i") == i) & (F.col("head") == _signed(head)) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+        hits = counts.where(wanted).collect()
+        if number == 0:
+            places = {r["i"]: (r["total"] - 1) * probability for r in hits}
+            found = {(i, rank): (0, rank) for i, place in places.items() for rank in {math.floor(place), math.ceil(place)}}
+        found = {
+            key: next(((head << DIGIT | r["digit"], rank - (r["upto"] - r["n"])) for r in hits if r["i"] == key[0] and r["head"] == _signed(head) and r["upto"] - r["n"] <= rank < r["upto"]))
+            for key, (head, rank) in found.items()
+        }
+    out: dict[str, float | None] = dict.fromkeys(columns)
+    for i, place in places.items():
+        low, high = (number_of(found[(i, rank)][0]) for rank in (math.floor(place), math.ceil(place)))
+        out[columns[i]] = low if low == high else low + (high - low) * (place - math.floor(place))
     return out
+
+
+def _signed(head: int) -> int:
+    return head - (1 << 64) if head >> 63 else head

@@ -20,7 +20,7 @@ def test_exact_quantiles(spark, p):
     rng = random.Random(5)
     data = [(rng.choice([None, rng.gauss(0, 1)]), float(rng.randint(0, 3)), None) for _ in range(3000)]
     df = spark.createDataFrame(data, "a double, b double, c double")
-    got = quantiles.exact_quantiles(df, ["a", "b", "c"], p, accuracy=50)
+    got = quantiles.exact_quantiles(df, ["a", "b", "c"], p)
     for i, c in enumerate("ab"):
         assert got[c] == pytest.approx(np.percentile([r[i] for r in data if r[i] is not None], 100 * p), abs=1e-12)
     assert got["c"] is None
