@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from callscope.functions.columns import bind
+
 # Heading syntax, paragraph break, line breaks, white space, default sizes.
 HEADING = r"(?U)^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
 PARAGRAPH = r"(?U)\n\s*\n"
@@ -53,45 +55,63 @@ def sections(text: Column) -> Column:
 
 
 def pieces(paragraph: Column, max_chars: int) -> Column:
-    """The paragraph in parts that fit: cut at the last space of the later half, else hard."""
-    rounds = F.sequence(F.lit(0), F.floor(F.length(paragraph) / (max_chars // 2)).cast("int"))
-    start = F.struct(paragraph.alias("rest"), F.array().cast("array<string>").alias("out"))
+    """The paragraph in parts that fit: cut at the last space of the later half, else hard.
+
+    A long paragraph is read in blocks, and what is not yet cut goes on into the next, so the work grows
+    with its length and no more than a block is copied at a cut.
+    """
+    none = F.array().cast("array<string>")
+    half = max_chars // 2
+
+    def cut(state: Column, _: Column) -> Column:
+        def at(x: Column) -> Column:
+            first = F.substring(x["rest"], F.lit(1), x["end"])
+            return F.struct(_lstrip(F.substring(x["rest"], x["end"] + 1, F.length(x["rest"]))).alias("rest"), F.array_append(x["out"], _strip(first)).alias("out"))
+
+        def place(x: Column) -> Column:
+            space = F.length(x["window"]) - F.instr(F.reverse(x["window"]), " ")
+            found = (F.instr(x["window"], " ") > 0) & (space >= half)
+            return F.struct(x["rest"].alias("rest"), x["out"].alias("out"), F.when(found, space).otherwise(max_chars).alias("end"))
 
-    def step(state: Column, _: Column) -> Column:
-        rest = state["rest"]
-        window = F.substring(rest, 1, max_chars + 1)
-        space = F.length(window) - F.instr(F.reverse(window), " ")
-        cut = F.when((F.instr(window, " ") > 0) & (space >= max_chars // 2), space).otherwise(F.lit(max_chars))
-        fits = F.length(rest) <= max_chars
-        piece = F.when(fits, rest).otherwise(_strip(F.substring(rest, F.lit(1), cut)))
-        left = F.when(fits, F.lit("")).otherwise(_lstrip(F.substring(rest, cut + 1, F.length(rest))))
-        done = F.when(rest == "", state["out"]).otherwise(F.array_append(state["out"], piece))
-        return F.struct(left.alias("rest"), done.alias("out"))
+        window = F.struct(state["rest"].alias("rest"), state["out"].alias("out"), F.substring(state["rest"], 1, max_chars + 1).alias("window"))
+        return F.when(F.length(state["rest"]) <= max_chars, state).otherwise(bind(bind(window, place), at))
 
-    return F.aggregate(rounds, start, step, lambda state: state["out"])
+    def block(state: Column, text: Column) -> Column:
+        joined = F.struct(_lstrip(F.concat(state["rest"], text)).alias("rest"), state["out"].alias("out"))
+        rounds = lambda x: F.sequence(F.lit(0), F.floor(F.length(x["rest"]) / half).cast("int"))
+        return bind(joined, lambda x: F.aggregate(rounds(x), x, cut))
+
+    start = F.struct(F.lit("").alias("rest"), none.alias("out"))
+    finish = lambda state: F.when(state["rest"] == "", state["out"]).otherwise(F.array_append(state["out"], state["rest"]))
+    blocks = F.regexp_extract_all(paragraph, F.lit(f"(?s).{{1,{8 * max_chars}}}"), F.lit(0))
+    return F.when(F.length(paragraph) <= max_chars, F.array(paragraph)).otherwise(F.aggregate(blocks, start, block, finish))
 
 
 def packed(parts: Column, max_chars: int, overlap: int) -> Column:
     """Parts joined while they fit; a new chunk begins with the end of the one before it.
 
-    The chunk being filled is the last of the array, so a part either extends that one or opens
-    the next. Of the overlap only as much is taken as leaves room for the part itself.
+    The chunk being filled is kept apart from those that are done. Of the overlap only as much is taken as
+    leaves room for the part itself.
     """
+    none = F.array().cast("array<string>")
 
-    def add(chunks: Column, part: Column) -> Column:
-        last = F.element_at(chunks, -1)
-        longer = F.concat(last, F.lit("\n\n"), part)
+    def add(state: Column, part: Column) -> Column:
+        last = state["last"]
         room = F.greatest(F.lit(0), max_chars - 2 - F.length(part))
-        end = _strip(F.right(last, F.lit(overlap)))
-        shared = F.when(F.length(end) > room, _lstrip(F.right(end, room))).otherwise(end)
-        opened = F.when(shared == "", part).otherwise(F.concat(shared, F.lit("\n\n"), part))
-        return (
-            F.when(F.size(chunks) == 0, F.array(part))
-            .when(F.length(longer) <= max_chars, F.concat(F.slice(chunks, 1, F.size(chunks) - 1), F.array(longer)))
-            .otherwise(F.array_append(chunks, opened))
-        )
 
-    return F.aggregate(parts, F.array().cast("array<string>"), add)
+        def opened(end: Column) -> Column:
+            shared = F.when(F.length(end) > room, _lstrip(F.right(end, room))).otherwise(end)
+            return bind(shared, lambda x: F.when(x == "", part).otherwise(F.concat(x, F.lit("\n\n"), part)))
+
+        fits = F.length(last) + 2 + F.length(part) <= max_chars
+        longer = F.struct(state["done"].alias("done"), F.concat(last, F.lit("\n\n"), part).alias("last"))
+        next_ = F.struct(F.array_append(state["done"], last).alias("done"), bind(_strip(F.right(last, F.lit(overlap))), opened).alias("last"))
+        first = F.struct(state["done"].alias("done"), part.alias("last"))
+        return F.when(last.isNull(), first).when(fits, longer).otherwise(next_)
+
+    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("last"))
+    finish = lambda state: F.when(state["last"].isNull(), state["done"]).otherwise(F.array_append(state["done"], state["last"]))
+    return F.aggregate(parts, start, add, finish)
 
 
 def chunks(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:

@@ -60,7 +60,8 @@ def chunk_documents(
 ) -> DataFrame:
     """One row per chunk: ``keys``, chunk_index, section, content. No shuffle."""
     cut = chunking.chunks(F.coalesce(F.col(content), F.lit("")), max_chars, overlap)
-    placed = documents.select(*keys, F.posexplode(cut).alias("chunk_index", "_chunk"))
+    # The outer form: for the plain one the optimizer adds a filter that computes all chunks again.
+    placed = documents.select(*keys, F.posexplode_outer(cut).alias("chunk_index", "_chunk")).where("_chunk is not null")
     return placed.select(*keys, "chunk_index", "_chunk.section", "_chunk.content")
 
 

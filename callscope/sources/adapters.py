@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out once, for work that is heavy per row; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def logs_from_events(events: DataFrame, compress: int = 600, carry: tuple[str, ...] = ()) -> DataFrame:
     """Request logs derived from the event table; time runs ``compress`` times faster.
 
@@ -154,7 +160,7 @@ def rate_limit_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ingest input: tenant by document id, source id unique per document."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id",
         F.concat(F.lit("tenant-"), (F.col("doc_id") % 2).cast("string")).alias("tenant_id"),
         F.lit("document").alias("source_type"),
