@@ -281,34 +281,24 @@ def _in_order(rows: DataFrame, *, seeded: bool = False) -> DataFrame:
 def bucket_segments(requests: DataFrame) -> DataFrame:
     """Number the stretches of each bucket that start full: ``gap * refill >= capacity``.
 
-    Neighbours are looked up inside (bucket, minute) and across minutes through one row
-    per minute, so a hot bucket is never sorted as a whole.
+    Stretches that begin inside a (bucket, minute) are counted there; how a minute begins and what it counts from follow from
+    one row per minute, so a hot bucket is never sorted as a whole. The log is read once and dealt out by minute.
     """
-    gap_keys = [*KEYS, "_minute"]
+    slices = [*KEYS, "_minute"]
     rows = requests.withColumn("_minute", F.date_trunc("minute", "created_at"))
+    inside = Window.partitionBy(*slices).orderBy("created_at", "id")
+    full = lambda last, at, refill, capacity: (F.unix_micros(at) - F.unix_micros(last)) * refill >= capacity * _MICRO
+    rows = rows.withColumn("_last", F.lag("created_at").over(inside))
+    inner = full(F.col("_last"), F.col("created_at"), F.col("refill_rate"), F.col("bucket_capacity"))
+    rows = rows.withColumn("_starts", F.coalesce(inner, F.lit(False)).cast("bigint"))
+    rows = rows.withColumn("_nth", F.sum("_starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = materialise(rows.drop("_last", "_starts"), "bucket-minutes")
+    head = F.min_by(F.struct("created_at", "refill_rate", "bucket_capacity"), F.struct("created_at", "id")).alias("_head")
+    minutes = rows.groupBy(*slices).agg(F.max("_nth").alias("_n"), head, F.max("created_at").alias("_end"))
     per_bucket = Window.partitionBy(*KEYS).orderBy("_minute")
-    inside = Window.partitionBy(*gap_keys).orderBy("created_at", "id")
-    last = rows.groupBy(*gap_keys).agg(F.max("created_at").alias("_last"))
-    before = last.withColumn("_before", F.lag("_last").over(per_bucket)).drop("_last")
-    micros = lambda c: F.unix_micros(c)
-    previous = F.coalesce(F.lag("created_at").over(inside), F.col("_before"))
-    flagged = (
-        rows.join(before, gap_keys)
-        .withColumn("_previous", previous)
-        .withColumn(
-            "_starts",
-            (
-                F.col("_previous").isNull()
-                | ((micros(F.col("created_at")) - micros(F.col("_previous"))) * F.col("refill_rate") >= F.col("bucket_capacity") * _MICRO)
-            ).cast("bigint"),
-        )
-    )
-    per_minute = flagged.groupBy(*gap_keys).agg(F.sum("_starts").alias("_n"))
-    base = per_minute.select(
-        *gap_keys,
-        (F.sum("_n").over(per_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_base"),
-    )
-    number = F.col("_base") + F.sum("_starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return flagged.join(base, gap_keys).withColumn("segment", number).drop(
-        "_minute", "_before", "_previous", "_starts", "_base"
-    )
+    before = F.lag("_end").over(per_bucket)
+    opens = F.coalesce(full(before, F.col("_head.created_at"), F.col("_head.refill_rate"), F.col("_head.bucket_capacity")), F.lit(True))
+    minutes = minutes.withColumn("_opens", opens.cast("bigint"))
+    ahead = F.sum(F.col("_n") + F.col("_opens")).over(per_bucket.rowsBetween(Window.unboundedPreceding, -1))
+    base = minutes.select(*slices, (F.coalesce(ahead, F.lit(0)) + F.col("_opens") - 1).alias("_base"))
+    return rows.join(base, slices).withColumn("segment", F.col("_base") + F.col("_nth")).select(*requests.columns, "segment")

@@ -15,6 +15,7 @@ from callscope.operators.iforest import ForestModel
 from callscope.operators.lof import LofModel
 from callscope.operators.matrix import Scaler
 from callscope.operators.series import INPUTS
+from callscope.sources.versions import Commit, VersionedTable
 from callscope.schemas import FEATURE_SCHEMA_VERSION, FORECAST_SCHEMA_VERSION, MODEL_FEATURES
 
 METADATA = T.StructType(
@@ -184,6 +185,19 @@ def promote(registry: DataFrame, version: str, *, replace: bool = False) -> Data
     return registry.withColumn("status", status)
 
 
+def promote_committed(table: VersionedTable, version: str, *, replace: bool = False) -> Commit:
+    """Promote in the versioned registry ``table``: the candidate is loaded and verified first, and of two
+    promotions from one version the second is refused."""
+    base = table.latest()
+    rows = table.read(base)
+    row = rows.where((F.col("model_version") == version) & (F.col("status") == "candidate")).first()
+    if row is None:
+        raise ValueError(f"no candidate named {version}")
+    load_detector(table.spark, row["path"])
+    changed = promote(rows, version, replace=replace)
+    return table.rewrite(lambda _: changed, base=base)
+
+
 def active_detector(spark: SparkSession, registry: DataFrame) -> Detector | None:
     """The active detector, or None; callers then report the model as unavailable."""
     row = registry.where(F.col("status") == "active").first()

@@ -305,6 +305,8 @@ def overview(
         "tenant_id",
         sentence.alias("summary"),
         F.coalesce("observed", F.array().cast("array<string>")).alias("observed"),
+        # No forecaster serves the overview, so its list is empty.
+        F.array().cast("array<string>").alias("forecast"),
         "top_client",
         "most_used_route",
         "blocked_requests",

@@ -144,6 +144,23 @@ for fn in (token_bucket_replay, token_bucket_replay_hot):
     ORACLES[fn.__name__] = REPLAY_SQL
 
 
+def token_bucket_replay_shared(spark, sf_dir):
+    return _replay_out(bucket.replay(_metered(spark, sf_dir), variant="shared"))
+
+
+QUERIES["token_bucket_replay_shared"] = token_bucket_replay_shared
+ORACLES["token_bucket_replay_shared"] = _recursive(
+    *BASE,
+    POLICY_SQL.format(keys="request_logs"),
+    METERED_SQL,
+    FOLD_SQL,
+    """SELECT f.id, f.tenant_id, f.client_id, f.route_id, f.allowed, round(f.tokens / 1000000000000, 9) AS remaining,
+  CAST(CASE WHEN f.allowed THEN 0 WHEN n.rate = 0 THEN 1000000000
+    ELSE (1000000000000 - f.tokens + n.rate * 1000000 - 1) // (n.rate * 1000000) * 1000000000 END AS BIGINT) AS retry_after_ns
+FROM fold f JOIN numbered n ON n.id = f.id""",
+)
+
+
 def bucket_segments(spark, sf_dir):
     out = bucket.bucket_segments(_metered(spark, sf_dir))
     return out.select("id", "tenant_id", "client_id", "route_id", "segment")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callscope.functions.columns import iso_minute, time_text
-from callscope.operators import datasets, detect, features, forecast, iforest, lof, matrix, series
+from callscope.operators import datasets, detect, features, forecast, iforest, lof, matrix, registry, series, traffic
 from callscope.plans.features import FEATURE_SQL
+from callscope.plans.traffic import ORACLES as TRAFFIC_ORACLES
 from callscope.schemas import MODEL_FEATURES
-from callscope.session import materialise
+from callscope.session import materialise, scratch_dir
 from callscope.sources import adapters as A
+from callscope.sources import tables
+from callscope.sources.versions import VersionedTable
 
 QUERIES, ORACLES = {}, {}
 
@@ -396,3 +402,116 @@ ORACLES["forecast_status"] = A.with_ctes(
     """SELECT DISTINCT tenant_id, 'UNAVAILABLE' AS status, CAST(NULL AS VARCHAR) AS model_version,
   'The forecasting model is trained and evaluated offline; no live forecast artifact is activated.' AS note FROM request_logs""",
 )
+
+
+def overview_with_model(spark, sf_dir):
+    """The overview with the anomalous windows of its hour."""
+    logs = A.request_logs(spark, sf_dir)
+    found = detect.anomalies(detect.score(traffic_detector(spark, sf_dir), features.minute_features(logs)))
+    newest = logs.agg((F.max("created_at") - F.expr("interval 1 hour")).alias("_from"))
+    hour = found.join(newest, F.col("window_start") > F.col("_from"))
+    out = traffic.overview(A.tenants(spark, sf_dir), logs, hour)
+    return out.withColumns({c: F.array_join(c, "|") for c in ("observed", "forecast")})
+
+
+QUERIES["overview_with_model"] = overview_with_model
+ORACLES["overview_with_model"] = f"""SELECT o.* REPLACE (coalesce(a.n, 0) AS anomaly_count, 'available' AS model_status) FROM ({TRAFFIC_ORACLES['overview_without_model']}) o
+LEFT JOIN (SELECT tenant_id, count(*) AS n FROM ({A.with_ctes(A.sql_logs(), FEATURE_SQL, _trained_sql(), "SELECT tenant_id FROM judged WHERE score > 0 AND window_start > (SELECT max(created_at) FROM request_logs) - INTERVAL 1 HOUR")}) GROUP BY 1) a USING (tenant_id)"""
+
+
+def model_promotion(spark, sf_dir):
+    """Two forests saved, registered and promoted one after the other in a versioned registry; a damaged candidate is refused."""
+    training = materialise(matrix.training_rows(_labelled(spark, sf_dir)), "normal")
+    folder = scratch_dir(spark, "models")
+    for version in ("one", "two", "damaged"):
+        detector = detect.train_detector(training, version=version, trees=10)
+        registry.save_detector(detector, f"{folder}/{version}")
+        rows = detector.training_rows
+    spark.read.parquet(f"{folder}/one/model").write.mode("overwrite").parquet(f"{folder}/damaged/model")
+    spark.createDataFrame([(99, [-1, -1], [0.0, 0.0], [0.0, 0.0])], iforest.TREE_SCHEMA).write.mode("append").parquet(f"{folder}/damaged/model")
+    listed = [(v, "isolation_forest", f"{folder}/{v}", "candidate") for v in ("one", "two", "damaged")]
+    table = VersionedTable.create(spark.createDataFrame(listed, registry.STATUS), scratch_dir(spark, "registry"), ["model_version"], 1)
+    registry.promote_committed(table, "one")
+    registry.promote_committed(table, "two", replace=True)
+    try:
+        registry.promote_committed(table, "damaged", replace=True)
+        refused = False
+    except ValueError:
+        refused = True
+    active = registry.active_detector(spark, table.read())
+    states = [table.read(v).select(F.lit(v).alias("version"), "model_version", "status") for v in table.versions()]
+    out = reduce(lambda a, b: a.unionByName(b), states)
+    return out.select("*", F.lit(refused).alias("refused"), F.lit(active.version).alias("active"), F.lit(rows).cast("bigint").alias("training_rows"))
+
+
+QUERIES["model_promotion"] = model_promotion
+ORACLES["model_promotion"] = A.with_ctes(
+    A.sql_logs(),
+    FEATURE_SQL,
+    RULES_SQL,
+    """SELECT version, model_version, status, true AS refused, 'two' AS active, (SELECT count(*) FROM ruled WHERE split = 'train' AND scenario = 'NORMAL') AS training_rows
+FROM (VALUES (0, 'one', 'candidate'), (0, 'two', 'candidate'), (0, 'damaged', 'candidate'), (1, 'one', 'active'), (1, 'two', 'candidate'), (1, 'damaged', 'candidate'),
+  (2, 'one', 'backup'), (2, 'two', 'active'), (2, 'damaged', 'candidate')) v(version, model_version, status)""",
+)
+
+
+def training_round_trip(spark, sf_dir):
+    """The training dataset written in its order and read back, as Parquet and CSV."""
+    labelled, rows = _even_labelled(spark, sf_dir)
+    dataset = materialise(datasets.training_union(labelled, rows), "dataset")
+    out = []
+    for source in ("parquet", "csv"):
+        path = scratch_dir(spark, f"training-{source}")
+        tables.write_training(dataset, path, source)
+        back = tables.read_training(spark, path, source).withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()})
+        order = F.struct("split", "scenario", "window_start")
+        before = F.lag(order).over(Window.partitionBy("_file").orderBy("_row"))
+        marked = back.withColumn("_wrong", (before > order).cast("bigint"))
+        counts = marked.groupBy("split", "scenario").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_wrong"), F.lit(0)).alias("out_of_order"))
+        out.append(counts.withColumn("source", F.lit(source)))
+    return out[0].unionByName(out[1])
+
+
+QUERIES["training_round_trip"] = training_round_trip
+ORACLES["training_round_trip"] = A.with_ctes(
+    A.sql_logs(),
+    FEATURE_SQL,
+    LABELLED_SQL,
+    "SELECT source, split, scenario, count(*) AS n, 0::BIGINT AS out_of_order FROM labelled, (VALUES ('parquet'), ('csv')) v(source) GROUP BY 1, 2, 3",
+)
+
+
+def evaluation_report(spark, sf_dir):
+    """The report of a comparison, written as JSON and read back."""
+    metrics = detector_metrics(spark, sf_dir).withColumn("algorithm", F.concat(F.lit("part-"), F.col("part").cast("string"))).drop("part")
+    labelled, rows = _even_labelled(spark, sf_dir)
+    data = datasets.composition(datasets.training_union(labelled, rows), "split")
+    path = scratch_dir(spark, "report")
+    tables.write_report(metrics, detect.select_model(metrics), data, path)
+    report = spark.read.json(path)
+    names = [f.name for f in report.schema["models"].dataType.fields]
+    f1 = F.explode(F.array(*[F.struct(F.lit(n).alias("algorithm"), F.col(f"models.`{n}`.f1").alias("f1")) for n in names])).alias("m")
+    datasets_ = F.size("datasets").cast("bigint").alias("datasets")
+    return report.select("recommended_candidate", datasets_, f1).select("recommended_candidate", "datasets", "m.algorithm", "m.f1")
+
+
+QUERIES["evaluation_report"] = evaluation_report
+ORACLES["evaluation_report"] = A.with_ctes(A.sql_logs(), FEATURE_SQL, LABELLED_SQL, METRICS_SQL, """best AS (SELECT 'part-' || CAST(part AS VARCHAR) AS recommended_candidate FROM metrics ORDER BY f1 DESC, precision DESC, 1 LIMIT 1)
+SELECT recommended_candidate, (SELECT count(DISTINCT split) FROM labelled) AS datasets, 'part-' || CAST(part AS VARCHAR) AS algorithm, f1 FROM metrics, best""")
+
+
+def feature_sink(spark, sf_dir):
+    """Minute features written in order: rows, and rows before their predecessor inside or between files."""
+    path = scratch_dir(spark, "feature-sink")
+    tables.write_features(features.minute_features(A.request_logs(spark, sf_dir)), path)
+    key = F.struct(*features.WINDOW_KEYS)
+    back = spark.read.parquet(path).select(key.alias("key"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
+    inside = back.withColumn("before", F.lag("key").over(Window.partitionBy("file").orderBy("row")))
+    files = inside.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") > F.col("key")).alias("wrong"), F.min("key").alias("low"), F.max("key").alias("high"))
+    # One row per file; files must follow each other by their names.
+    files = files.withColumn("last", F.lag("high").over(Window.partitionBy(F.lit(1)).orderBy("file")))
+    return files.agg(F.sum("n").alias("row_count"), F.sum(F.col("wrong") + F.coalesce((F.col("last") > F.col("low")).cast("bigint"), F.lit(0))).alias("out_of_order"))
+
+
+QUERIES["feature_sink"] = feature_sink
+ORACLES["feature_sink"] = A.with_ctes(A.sql_logs(), FEATURE_SQL, "SELECT count(*) AS row_count, 0::BIGINT AS out_of_order FROM features")

@@ -272,14 +272,14 @@ def incident_findings(spark, sf_dir):
         SUMMARY_SQL,
         """newest AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, id DESC) AS position FROM request_logs)
 SELECT s.tenant_id, requests || ' requests observed in the last hour; ' || blocked_requests || ' blocked and ' || error_requests || ' returned 4xx/5xx.' AS summary,
-  (SELECT string_agg(id || ' ' || method || ' ' || status_code, '|' ORDER BY position) FROM newest n WHERE n.tenant_id = s.tenant_id AND position <= 10) AS observed,
+  (SELECT string_agg(id || ' ' || method || ' ' || status_code, '|' ORDER BY position) FROM newest n WHERE n.tenant_id = s.tenant_id AND position <= 10) AS observed, '' AS forecast,
   top_client, most_used_route, blocked_requests, CAST(NULL AS BIGINT) AS anomaly_count, 'unavailable' AS model_status
 FROM summary s""",
     )
 )
 def overview_without_model(spark, sf_dir):
     out = traffic.overview(A.tenants(spark, sf_dir), A.request_logs(spark, sf_dir))
-    return out.withColumn("observed", F.array_join("observed", "|"))
+    return out.withColumns({c: F.array_join(c, "|") for c in ("observed", "forecast")})
 
 
 RANGE = dict(start=datetime(2024, 1, 1, 0, 30, tzinfo=timezone.utc), end=datetime(2024, 1, 1, 0, 50, tzinfo=timezone.utc))

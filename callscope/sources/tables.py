@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from callscope.functions.columns import blank_to_null
 from callscope.operators.datasets import dataset_order
+from callscope.operators.features import WINDOW_KEYS
 from callscope.operators.upsert import append_logs
 from callscope.schemas import FORECAST_SERIES, TRAINING_DATASET, require_columns
 
@@ -118,6 +119,11 @@ def read_training(spark: SparkSession, path: str, source: str = "parquet") -> Da
     return read_table(spark, path, TRAINING_DATASET, source)
 
 
+def write_features(features: DataFrame, path: str) -> None:
+    """Minute features in order of tenant, client, route and window, over all files."""
+    features.orderBy(*WINDOW_KEYS).write.mode("errorifexists").parquet(path)
+
+
 def write_series(series: DataFrame, path: str, source: str = "parquet") -> None:
     names = [f.name for f in FORECAST_SERIES]
     require_columns(series, names)
