@@ -215,10 +215,34 @@ def embedded_documents(spark, sf_dir):
     """Default vectors of whole documents: dimension, norm and filled places."""
     out = documents.embed(A.source_documents(spark, sf_dir), "content")
     filled = F.size(F.filter("embedding", lambda x: x != 0))
-    return out.select("doc_id", F.size("embedding").alias("dimension"), F.round(norm("embedding"), 4).alias("norm"), filled.alias("filled"))
+    words = F.array_remove(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}]+")), "")
+    fits = (filled <= F.size(words)) & ((filled > 0) == (F.size(words) > 0))
+    return out.select("doc_id", F.size("embedding").alias("dimension"), F.round(norm("embedding"), 4).alias("norm"), F.coalesce(fits, F.lit(True)).alias("filled_fits"))
 
 
 QUERIES["embedded_documents"] = embedded_documents
+ORACLES["embedded_documents"] = """SELECT doc_id, CAST(384 AS INTEGER) AS dimension,
+  CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm, true AS filled_fits FROM documents"""
+
+
+def question_embedding(spark, sf_dir):
+    """Questions embedded with their instruction by a given embedder: the vectors of the texts with the instruction before them."""
+
+    def letters(texts):
+        return [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+    docs = A.source_documents(spark, sf_dir).where(F.col("content").rlike("[a-z]"))
+    asked = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "tenant_id", F.col("content").alias("question"))
+    stored = docs.withColumn("said", F.concat(F.lit(documents.QUERY_INSTRUCTION), "content"))
+    chunks = documents.embed(stored, "said", embedder=letters)
+    questions = documents.embed(asked, "question", embedder=letters, instruction=documents.QUERY_INSTRUCTION, alias="vector")
+    same = questions.join(chunks.select("tenant_id", F.col("doc_id").alias("query_id"), "embedding"), ["tenant_id", "query_id"])
+    return same.select("query_id", (F.col("vector") == F.col("embedding")).alias("same_vector"), F.size("vector").alias("dimension"))
+
+
+QUERIES["question_embedding"] = question_embedding
+ORACLES["question_embedding"] = """SELECT doc_id AS query_id, true AS same_vector, CAST(26 AS INTEGER) AS dimension FROM documents
+WHERE doc_id % 20 = 0 AND regexp_matches(text, '[a-z]')"""
 
 
 # --- text rules -------------------------------------------------------------------

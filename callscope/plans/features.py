@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callscope.functions.columns import time_text
-from callscope.operators import features
+from callscope.operators import features, sketches
+from callscope.session import materialise
 from callscope.sources import adapters as A
 from callscope.sources.tables import parse_lines
 
@@ -147,3 +148,32 @@ SELECT request_id, tenant_id, CASE WHEN i % 5 <> 0 THEN client_id END AS client_
   strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, '/api/' || route_id AS route_path FROM numbered WHERE i % 19 <> 0 AND i % 23 <> 0
 UNION ALL SELECT 'corrupt lines: ' || count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM numbered WHERE i % 23 = 0""",
 )
+
+
+def latency_rollup(spark, sf_dir):
+    """Hourly and daily quantiles per tenant from stored minute sketches: whether their true ranks are within the stated error."""
+    logs = A.request_logs(spark, sf_dir)
+    minutes = materialise(sketches.minute_sketches(logs), "sketches")
+    asked = {"p50": 0.5, "p95": 0.95}
+    out = None
+    hours = materialise(sketches.roll_up(minutes, "tenant_id", F.date_trunc("hour", "window_start").alias("window_start")), "hours")
+    for grain, held in (("hour", hours), ("day", sketches.roll_up(hours, "tenant_id", F.date_trunc("day", "window_start").alias("window_start")))):
+        estimates = sketches.quantiles(held, asked).withColumnRenamed("request_count", "sketched")
+        rows = logs.select("tenant_id", F.date_trunc(grain, "created_at").alias("window_start"), "latency_ms").join(estimates, ["tenant_id", "window_start"])
+        n = F.count(F.lit(1))
+        within = [
+            ((F.count_if(F.col("latency_ms") < F.col(c)) / n <= q + sketches.RANK_ERROR) & (F.count_if(F.col("latency_ms") <= F.col(c)) / n >= q - sketches.RANK_ERROR)).alias(f"{c}_within")
+            for c, q in asked.items()
+        ]
+        facts = rows.groupBy("tenant_id", "window_start").agg(n.alias("request_count"), F.min("sketched").alias("sketched"), *within)
+        facts = facts.withColumns({"grain": F.lit(grain), "window_start": time_text("window_start")})
+        out = facts if out is None else out.unionByName(facts)
+    return out
+
+
+QUERIES["latency_rollup"] = latency_rollup
+ORACLES["latency_rollup"] = A.with_ctes(
+    A.sql_logs(),
+    """SELECT tenant_id, strftime(date_trunc(grain, created_at), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS request_count, count(*) AS sketched,
+  true AS p50_within, true AS p95_within, grain FROM request_logs, (VALUES ('hour'), ('day')) v(grain) GROUP BY ALL""",
+)

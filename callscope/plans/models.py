@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from callscope.functions.columns import iso_minute, time_text
 from callscope.operators import datasets, detect, features, forecast, iforest, lof, matrix, registry, series, traffic
 from callscope.plans.features import FEATURE_SQL
+from callscope.plans.series import BASE as SERIES_BASE
+from callscope.plans.series import SPLIT_SQL, WINDOWS_SQL
 from callscope.plans.traffic import ORACLES as TRAFFIC_ORACLES
 from callscope.schemas import MODEL_FEATURES
 from callscope.session import materialise, scratch_dir
@@ -515,3 +517,48 @@ def feature_sink(spark, sf_dir):
 
 QUERIES["feature_sink"] = feature_sink
 ORACLES["feature_sink"] = A.with_ctes(A.sql_logs(), FEATURE_SQL, "SELECT count(*) AS row_count, 0::BIGINT AS out_of_order FROM features")
+
+
+def forecast_checked(spark, sf_dir):
+    """What must hold of the forests' errors: samples, exact persistence errors, MAE at most RMSE, and the comparison."""
+    errors = materialise(forecast_metrics(spark, sf_dir), "forecast-errors")
+    beats = series.beats_persistence(errors)
+    flags = errors.select(
+        "horizon_minutes", "sample_count", F.round("naive_mae", 6).alias("naive_mae"), F.round("naive_rmse", 6).alias("naive_rmse"),
+        ((F.col("mae") >= 0) & (F.col("mae") <= F.col("rmse") + 1e-9)).alias("mae_fits"), "mae",
+        F.min(F.col("mae") < F.col("naive_mae")).over(Window.partitionBy(F.lit(1))).alias("all_better"),
+    )
+    out = flags.join(beats, F.lit(True))
+    return out.select("horizon_minutes", "sample_count", "naive_mae", "naive_rmse", "mae_fits", (F.col("all_better") == F.col("model_beats_naive_all_horizons")).alias("comparison_fits"))
+
+
+def forecast_rows(spark, sf_dir):
+    """Forecast rows with what can be checked of them: times, counts at the origin, and bounds of what a forest can say."""
+    windows = materialise(_forecast_windows(spark, sf_dir), "forecast-windows")
+    model, _ = forecast.train_forecaster(windows, short="mark")
+    # A forest's answer is a mean of targets it has seen.
+    most = windows.agg(F.greatest(*[F.max(f"target_{h}m") for h in series.HORIZONS]).alias("most"))
+    out = forecast.forecast(model, windows).join(most, F.lit(True))
+    fits = F.col("predicted_requests").between(0, F.col("most")) & (F.col("naive_persistence_requests") == F.col("observed_at_origin"))
+    return out.select("tenant_id", "horizon_minutes", time_text("forecast_time").alias("forecast_time"), F.col("observed_at_origin").cast("double").alias("observed_at_origin"), fits.alias("fits"), "value_kind")
+
+
+QUERIES["forecast_checked"] = forecast_checked
+QUERIES["forecast_rows"] = forecast_rows
+_SPLITS = (*SERIES_BASE, WINDOWS_SQL, SPLIT_SQL)
+ORACLES["forecast_checked"] = A.with_ctes(
+    *_SPLITS,
+    "\nUNION ALL ".join(
+        f"""SELECT CAST({h} AS INTEGER) AS horizon_minutes, count(*) AS sample_count, round(avg(abs(target_{h}m - observed_count)), 6) AS naive_mae,
+  round(sqrt(avg(pow(target_{h}m - observed_count, 2))), 6) AS naive_rmse, true AS mae_fits, true AS comparison_fits FROM splits WHERE split = 'test'"""
+        for h in series.HORIZONS
+    ),
+)
+ORACLES["forecast_rows"] = A.with_ctes(
+    *SERIES_BASE,
+    WINDOWS_SQL,
+    f"""newest AS (SELECT * FROM complete QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY complete.origin_time DESC) = 1)
+SELECT tenant_id, CAST(h AS INTEGER) AS horizon_minutes, strftime(origin_time + h * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS forecast_time,
+  CAST(observed_count AS DOUBLE) AS observed_at_origin, true AS fits, 'model_prediction' AS value_kind
+FROM newest, (VALUES {", ".join(f"({h})" for h in series.HORIZONS)}) v(h)""",
+)
