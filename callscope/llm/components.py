@@ -1,10 +1,10 @@
 """Connected components of links, by contraction and pointer jumping.
 
-Links point from a node to a smaller one. They should come contracted task by task (``least_nodes``), if
-there are many. A round replaces each link's end by what that end points to, contracts the links of each task (every node of a connected part gets one link,
-to the part's least node), deals them out by their node, and contracts again. A round
-is one written table of at most one link per node and task. When a round changes
-nothing, every node points to the least node it reaches; chains halve each round.
+Links point from a node to a smaller one. They should come contracted task by task (``least_nodes``) if
+there are many. A round replaces each link's end by what that end points to, contracts the links of each
+task (every node of a connected part gets one link, to the part's least node), deals them out by
+their node, and contracts again. A round writes the least end of every node, and at most one link per node and
+task. When a round changes nothing, every node points to the least node it reaches; chains halve each round.
 
 No node gathers its neighbours: links are dealt out by their larger end, and a node
 with very many links arrives with one link per task. Ends that very many nodes

@@ -178,6 +178,39 @@ def test_digests_of_neighbours(docs, no_docs):
     assert digest.chained(no_docs).count() == 0
 
 
+def brute_digest(data):
+    """Length byte and quartiles of one text, byte by byte."""
+    counts = [0] * digest.BUCKETS
+    for spread, places in zip(digest._SPREAD, digest.TRIPLETS, strict=True):
+        for at in range(len(data) - places[-1]):
+            bucket = 0
+            for table, place in zip(spread, places, strict=True):
+                bucket ^= int(table[data[at + place]])
+            counts[bucket] += 1
+    order = sorted(counts)
+    cuts = [order[digest.BUCKETS * q // 4 - 1] for q in (1, 2, 3)]
+    length, size = 0, len(data) + 1
+    while 1.1 ** (length + 1) <= size * (1 + 1e-12) and length < 255:
+        length += 1
+    return [length, *(sum(c > cut for cut in cuts) for c in counts)]
+
+
+def test_digests_and_likeness_equal_brute_force():
+    texts = [b"", b"abc", "é".encode() * 40, prose(30, 200).encode(), prose(31, 50).encode(), b"x" * 3000]
+    made = digest.digests(texts)
+    want = [brute_digest(t) for t in texts]
+    assert made.tolist() == want
+    for i, a in enumerate(want):
+        for j, b in enumerate(want):
+            apart = sum({0: 0, 1: 1, 2: 2, 3: 6}[abs(x - y)] for x, y in zip(a[1:], b[1:], strict=True))
+            longer = min(abs(a[0] - b[0]), digest.LENGTH_STEPS)
+            like = 1 - (apart + longer) / (6 * digest.BUCKETS + digest.LENGTH_STEPS)
+            assert digest.likeness(made[i : i + 1], made[j : j + 1])[0] == pytest.approx(like, abs=1e-12)
+    for row, hexed in zip(want, digest.written(made), strict=True):
+        packed = bytes(row[1 + 4 * i] << 6 | row[2 + 4 * i] << 4 | row[3 + 4 * i] << 2 | row[4 + 4 * i] for i in range(digest.BUCKETS // 4))
+        assert hexed == (bytes([row[0]]) + packed).hex()
+
+
 def test_edited_half_is_nearer_than_another_text():
     a, b = prose(20, 400), prose(21, 400)
     one, half, other = (digest.digests([t.encode()]) for t in (a, a[: len(a) // 2] + b[: len(a) // 2], b))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import math
 import re
 import string
 from collections import Counter
@@ -94,13 +95,43 @@ def test_language_backs_off_and_learns(spark, sf_dir, docs, no_docs):
     model = language.fit(learn)
     got = model.predict([None, "", "123 !", "the", "xqzw"])
     assert [x[0] for x in zip(*got, strict=True)][:3] == ["und"] * 3 and got[0][3] in model.langs and got[0][4] in model.langs
-    assert all(0 <= s <= 1 for s in got[1]) and model.word("zzzz") is None or True
+    assert all(0 <= s <= 1 for s in got[1])
     nothing = language.fit(no_docs.select("text", "lang", F.lit(1).cast("long").alias("row_hash")))
     assert nothing.predict(["the"]) == (["und"], [0.0])
     assert language.predicted(docs.select("doc_id", "text"), model).count() == docs.count()
     assert language.predicted(no_docs.select("doc_id", "text"), model).count() == 0
 
 
+def test_language_scores_equal_brute_force():
+    """Known words by log frequency, others by the mean of their longest known grams, summed and normalised."""
+    totals = {"a": 50, "b": 20}
+    counts = {("a", 0, "sun"): 5, ("b", 0, "sun"): 1, ("b", 0, "moon"): 7, ("a", 4, "^abc"): 3, ("b", 3, "bcd"): 2, ("a", 3, "cd$"): 4, ("b", 2, "xy"): 6, ("a", 1, "q"): 2}
+    rows = [{"lang": lang, "order": order, "item": item, "n": n} for (lang, order, item), n in counts.items()]
+    rows += [{"lang": lang, "order": -1, "item": "", "n": n} for lang, n in totals.items()]
+    model = language.Model.of(["a", "b"], rows)
+    texts = ["Sun moon", "abcd sun", "xyz q!", "moon abcd xy qq 12 www", "www", "é"]
+
+    def log(lang, order, item):
+        return math.log((counts.get((lang, order, item), 0) + 0.5) / (totals[lang] + 1))
+
+    def word(lang, text):
+        if any((x, 0, text) in counts for x in totals):
+            return log(lang, 0, text)
+        padded = f"^{text}$"
+        for order in (4, 3, 2, 1):
+            grams = [padded[i : i + order] for i in range(len(padded) - order + 1)]
+            known = [log(lang, order, g) for g in grams if any((x, order, g) in counts for x in totals)]
+            if known:
+                return sum(known) / len(known)
+        return 0.0
+
+    for text, found, score in zip(texts, *model.predict(texts), strict=True):
+        sums = {lang: sum(word(lang, w) for w in re.findall(r"[^\W\d_]+", text.lower())) for lang in totals}
+        best = max(sorted(sums), key=sums.get)
+        assert found == best
+        assert score == pytest.approx(math.exp(sums[best]) / sum(map(math.exp, sums.values())), rel=1e-5)
+
+
 def test_unseen_word_uses_the_longest_known_gram():
     model = language.Model.of(
         ["a", "b"],
