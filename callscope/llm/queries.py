@@ -58,10 +58,14 @@ HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = [urls.host_rule(*r) for r in HOST_RULES] + [urls.token_rule(t, "block") for t in urls.BLOCKED_TOKENS]
+    listed = [urls.host_rule(*r) for r in HOST_RULES] + urls.common_rules()
     return urls.judged(_table(spark, sf_dir, "pages"), urls.rules(spark, listed))
 
 
+def _either(rules: tuple[str, ...]) -> str:
+    return "|".join(rule.replace(" ", "[^a-zA-Z0-9]") for rule in rules)
+
+
 OP8_SQL = f"""
 WITH parts AS (
   SELECT page_id,
@@ -76,8 +80,8 @@ best AS (
   FROM urls, rules
   WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, parts.host, parts.path, rule,
-       coalesce(action, CASE WHEN len(list_filter(regexp_split_to_array(parts.host, '[^a-z0-9]+'),
-         lambda t: t IN ({", ".join(f"'{t}'" for t in urls.BLOCKED_TOKENS)}))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(action, CASE WHEN regexp_matches(parts.host, '(^|[^a-zA-Z0-9])({_either(urls.BLOCKED_HOSTS)})([^a-zA-Z0-9]|$)')
+         OR regexp_matches(parts.path, '[^a-zA-Z0-9]({_either(urls.BLOCKED_PATHS)})([^a-zA-Z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path AND place = 1
 """
 

@@ -28,8 +28,15 @@ from callscope.llm.common import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = "rule string, host_rule boolean, pattern string, tokens array<string>, action string, weight long"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: What the method blocks by itself: hosts of adverts, trackers and the like, by a whole token.
-BLOCKED_TOKENS = ("ads", "ad", "adserver", "banner", "banners", "casino", "popup", "spam", "track", "tracker", "tracking")
+#: What the method blocks by itself, by words of the host (adverts, trackers, gambling, pharmacy, adult) ...
+BLOCKED_HOSTS = (
+    "ads", "ad", "adserver", "banner", "banners", "popup", "popunder", "spam", "track", "tracker", "tracking",
+    "casino", "casinos", "betting", "jackpot", "poker", "free bets", "free spins", "online slots", "sports bets", "bet bonus",
+    "viagra", "cialis", "cheap pills", "diet pills", "online pharmacy", "discount pharmacy", "buy pills", "no prescription",
+    "porn", "xxx", "escorts", "adult cams", "live cams", "hot singles", "payday loans", "click farm",
+)
+#: ... and by words of the path, one after another.
+BLOCKED_PATHS = ("ads click", "banner click", "affiliate click", "track click", "popunder", "adserver", "buy viagra", "casino bonus", "free spins", "cheap pills")
 
 
 def host_rule(rule: str, action: str) -> tuple:
@@ -45,9 +52,18 @@ def host_rule(rule: str, action: str) -> tuple:
     return rule, True, pattern, whole, action, len(rule)
 
 
-def token_rule(token: str, action: str, weight: int = 0) -> tuple:
-    """A pattern rule for hosts that hold a token between dots or hyphens."""
-    return f"host:{token}", False, rf"(?s)^[^/]*(?<![a-z0-9]){re.escape(token)}(?![a-z0-9])[^/]*(?:/.*)?$", [token], action, weight
+def words_rule(words: str, action: str, part: str = "host") -> tuple:
+    """A pattern rule for hosts, or paths, that hold some words one after another, each parted from the next by one sign."""
+    tokens = words.split()
+    inside = "[^A-Za-z0-9/]" if part == "host" else "[^A-Za-z0-9]"
+    run = r"(?<![A-Za-z0-9])" + inside.join(map(re.escape, tokens)) + r"(?![A-Za-z0-9])"
+    pattern = rf"(?s)^[^/]*{run}[^/]*(?:/.*)?$" if part == "host" else rf"(?s)^[^/]*/(?:.*[^A-Za-z0-9])?{run}.*$"
+    return f"{part}:{words}", False, pattern, tokens, action, len(tokens)
+
+
+def common_rules() -> list[tuple]:
+    """The general rule set."""
+    return [words_rule(w, "block") for w in BLOCKED_HOSTS] + [words_rule(w, "block", "path") for w in BLOCKED_PATHS]
 
 
 def rules(spark: SparkSession, listed: Iterable[tuple]) -> DataFrame:

@@ -180,10 +180,17 @@ def test_url_rules_edge_cases(spark):
         (7, "x://m.ads-track.example.com/de/1", "m.ads-track.example.com", "/de/1", "example.com/de/", "block"),
         (8, "x://m.ads-track.example.com/fr", "m.ads-track.example.com", "/fr", None, "block"),
         (9, "", "", "", None, "allow"),
+        (10, "http://www.free-bets.example.io/x", "www.free-bets.example.io", "/x", None, "block"),
+        (11, "http://CHEAP.pills.io", "cheap.pills.io", "", None, "block"),
+        (12, "http://free.example/bets", "free.example", "/bets", None, "allow"),
+        (13, "http://a.com/x/banner/click?u", "a.com", "/x/banner/click", None, "block"),
+        (14, "http://freebets.example.io/", "freebets.example.io", "/", None, "allow"),
+        (15, "http://a.com/banner/clicks", "a.com", "/banner/clicks", None, "allow"),
+        (16, "http://free-bets.example.net/en/", "free-bets.example.net", "/en/", "example.net/en/", "allow"),
         (None, "http://b.org/fr/a://c.net/", "b.org", "/fr/a://c.net/", "org/fr/", "allow"),
     ]
     pages = spark.createDataFrame([(c[0], c[1], "", "h", "r") for c in cases], PAGES)
-    listed = [urls.host_rule(*r) for r in queries.HOST_RULES] + [urls.token_rule(t, "block") for t in urls.BLOCKED_TOKENS]
+    listed = [urls.host_rule(*r) for r in queries.HOST_RULES] + urls.common_rules()
     got = urls.judged(pages, urls.rules(spark, listed)).collect()
     assert Counter(tuple(r) for r in got) == Counter((c[0], *c[2:]) for c in cases)
     assert urls.judged(pages.limit(0), urls.rules(spark, listed)).count() == 0
