@@ -156,14 +156,15 @@ def select_model(metrics: DataFrame, *, algorithm: str = "algorithm") -> DataFra
     return picked.agg(F.min(algorithm).alias("recommended_candidate"))
 
 
-def compare_detectors(dataset: DataFrame, *, version: str, id_column: str = "id", **options) -> tuple[DataFrame, dict]:
+def compare_detectors(dataset: DataFrame, *, version: str, id_column: str = "id", synthetic: bool = True, **options) -> tuple[DataFrame, dict]:
     """Fit both detectors on normal training rows and measure them on the same held-out rows.
 
-    Returns one metrics row per algorithm, and the detectors.
+    Returns one metrics row per algorithm, and the detectors. With labels that are rules on the same features
+    (``datasets.labelled_windows``) the metrics only say how well a detector finds what these rules find.
     """
-    training, held_out = matrix.training_rows(dataset), matrix.evaluation_rows(dataset)
+    training, held_out = matrix.training_rows(dataset, synthetic=synthetic), matrix.evaluation_rows(dataset, synthetic=synthetic)
     if training.isEmpty() or held_out.isEmpty():
-        raise ValueError("need synthetic NORMAL train rows and labelled synthetic test rows")
+        raise ValueError("need NORMAL train rows and labelled test rows of that kind")
     metrics, detectors = None, {}
     for name in ALGORITHMS:
         detector = train_detector(

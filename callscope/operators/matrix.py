@@ -76,13 +76,13 @@ def fit_scaler(training: DataFrame, features=MODEL_FEATURES) -> Scaler:
     return Scaler(medians, mean, std)
 
 
-def training_rows(dataset: DataFrame) -> DataFrame:
-    """Known-normal synthetic training rows."""
+def training_rows(dataset: DataFrame, *, synthetic: bool = True) -> DataFrame:
+    """Known-normal training rows, synthetic ones or real ones that were labelled."""
     require_columns(dataset, ("split", "scenario", "is_synthetic", "is_anomaly"))
-    return dataset.where((F.col("split") == "train") & (F.col("scenario") == "NORMAL") & F.col("is_synthetic"))
+    return dataset.where((F.col("split") == "train") & (F.col("scenario") == "NORMAL") & (F.col("is_synthetic") == synthetic))
 
 
-def evaluation_rows(dataset: DataFrame) -> DataFrame:
-    """Labelled synthetic held-out rows."""
+def evaluation_rows(dataset: DataFrame, *, synthetic: bool = True) -> DataFrame:
+    """Labelled held-out rows, synthetic or real."""
     require_columns(dataset, ("split", "scenario", "is_synthetic", "is_anomaly"))
-    return dataset.where((F.col("split") == "test") & F.col("is_synthetic") & F.col("is_anomaly").isNotNull())
+    return dataset.where((F.col("split") == "test") & (F.col("is_synthetic") == synthetic) & F.col("is_anomaly").isNotNull())

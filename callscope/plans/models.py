@@ -183,7 +183,7 @@ ORACLES["isolation_forest"] = A.with_ctes(
 
 def detector_comparison(spark, sf_dir):
     """Both detectors trained on normal windows and measured on the held-out ones."""
-    metrics, _ = detect.compare_detectors(_labelled(spark, sf_dir), version="traffic")
+    metrics, _ = detect.compare_detectors(_labelled(spark, sf_dir), version="traffic", synthetic=False)
     return metrics
 
 
@@ -210,7 +210,7 @@ FROM ruled, (VALUES {", ".join(f"('{a}')" for a in detect.ALGORITHMS)}) v(algori
 
 def traffic_detector(spark, sf_dir):
     """A forest trained on the normal windows of the log."""
-    return detect.train_detector(matrix.training_rows(_labelled(spark, sf_dir)), version="traffic-isolation_forest")
+    return detect.train_detector(matrix.training_rows(_labelled(spark, sf_dir), synthetic=False), version="traffic-isolation_forest")
 
 
 def shown_anomalies(found):
@@ -266,7 +266,7 @@ ORACLES["anomaly_status"] = A.with_ctes(
 def forest_confusion(spark, sf_dir):
     """Confusion cells of the forest on the held-out windows. The labels are thresholds on the features
     that the forest sees, so these figures say how well it finds such thresholds, no more."""
-    found = detect.score(traffic_detector(spark, sf_dir), matrix.evaluation_rows(_labelled(spark, sf_dir)))
+    found = detect.score(traffic_detector(spark, sf_dir), matrix.evaluation_rows(_labelled(spark, sf_dir), synthetic=False))
     return detect.confusion(found).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
@@ -423,7 +423,7 @@ LEFT JOIN (SELECT tenant_id, count(*) AS n FROM ({A.with_ctes(A.sql_logs(), FEAT
 
 def model_promotion(spark, sf_dir):
     """Two forests saved, registered and promoted one after the other in a versioned registry; a damaged candidate is refused."""
-    training = materialise(matrix.training_rows(_labelled(spark, sf_dir)), "normal")
+    training = materialise(matrix.training_rows(_labelled(spark, sf_dir), synthetic=False), "normal")
     folder = scratch_dir(spark, "models")
     for version in ("one", "two", "damaged"):
         detector = detect.train_detector(training, version=version, trees=10)

@@ -120,14 +120,14 @@ def test_scenarios_are_covered_and_repeatable(spark, sf_dir, labelled):
 
 def test_history_stays_unlabelled(spark, sf_dir, labelled):
     history = features.minute_features(A.request_logs(spark, sf_dir))
-    rows = datasets.training_union(labelled, history).where("not is_synthetic").limit(5).collect()
+    rows = datasets.training_union(labelled, history).where("is_anomaly is null").limit(5).collect()
     assert {(r["scenario"], r["split"], r["is_anomaly"]) for r in rows} == {("HISTORICAL_UNLABELED", "unlabeled", None)}
 
 
 def test_comparison_registry_and_promotion(spark, labelled, tmp_path):
-    metrics, detectors = detect.compare_detectors(labelled, version="v1", isolation_forest={"trees": 40})
+    metrics, detectors = detect.compare_detectors(labelled, version="v1", synthetic=False, isolation_forest={"trees": 40})
     rows = {r["algorithm"]: r for r in metrics.collect()}
-    held_out = matrix.evaluation_rows(labelled).count()
+    held_out = matrix.evaluation_rows(labelled, synthetic=False).count()
     for r in rows.values():
         assert r["tp"] + r["tn"] + r["fp"] + r["fn"] == r["sample_count"] == held_out
     assert detect.select_model(metrics).first()[0] in detect.ALGORITHMS
@@ -155,7 +155,7 @@ def test_comparison_registry_and_promotion(spark, labelled, tmp_path):
 
 
 def test_tampered_model_is_refused(spark, labelled, tmp_path):
-    detector = detect.train_detector(matrix.training_rows(labelled), version="v", trees=5)
+    detector = detect.train_detector(matrix.training_rows(labelled, synthetic=False), version="v", trees=5)
     path = registry.save_detector(detector, str(tmp_path / "m"))
     spark.read.parquet(f"{path}/model").limit(1).write.mode("append").parquet(f"{path}/model")
     with pytest.raises(ValueError, match="checksum"):
@@ -217,3 +217,58 @@ def test_log_append_sink(spark, sf_dir, tmp_path):
     back = spark.read.parquet(str(tmp_path / "log"))
     assert back.count() == 2 * rows.count() and back.where("client_id = ''").count() == 0
     assert back.where("client_id is null").count() == 2 * rows.where("client_id = ''").count()
+
+
+def test_committed_promotion_verifies_the_candidate(spark, labelled, tmp_path):
+    from callscope.sources.versions import ConflictError, VersionedTable
+
+    detector = detect.train_detector(matrix.training_rows(labelled, synthetic=False), version="good", trees=4)
+    registry.save_detector(detector, str(tmp_path / "good"))
+    listed = [("good", "isolation_forest", str(tmp_path / "good"), "candidate"), ("gone", "isolation_forest", str(tmp_path / "gone"), "candidate")]
+    table = VersionedTable.create(spark.createDataFrame(listed, registry.STATUS), str(tmp_path / "registry"), ["model_version"], 1)
+    with pytest.raises(Exception):  # noqa: B017
+        registry.promote_committed(table, "gone")
+    assert table.versions() == [0]
+    registry.promote_committed(table, "good")
+    assert registry.active_detector(spark, table.read()).version == "good"
+    assert {r["status"] for r in table.read(0).collect()} == {"candidate"}
+    with pytest.raises(ValueError):
+        registry.promote_committed(table, "good")
+    with pytest.raises(ConflictError):
+        table.rewrite(lambda rows: rows, base=0)
+
+
+def test_sketches_merge_within_their_error(spark):
+    from callscope.operators import sketches
+
+    rows = spark.range(20_000).selectExpr(
+        "'t' as tenant_id", "'c' as client_id", "'r' as route_id", "'GET' as method", "200 as status_code", "cast(pow(id, 2) % 9973 as bigint) as latency_ms",
+        "false as blocked", "timestamp_seconds(1704067200 + id) as created_at",
+    )
+    minutes = sketches.minute_sketches(rows)
+    whole = sketches.quantiles(sketches.roll_up(minutes, "tenant_id"), {"p50": 0.5, "p99": 0.99}).first()
+    values = sorted(r[0] for r in rows.select("latency_ms").collect())
+    assert whole["request_count"] == 20_000
+    for name, q in (("p50", 0.5), ("p99", 0.99)):
+        below, upto = np.searchsorted(values, whole[name], "left") / 20_000, np.searchsorted(values, whole[name], "right") / 20_000
+        assert below - sketches.RANK_ERROR <= q <= upto + sketches.RANK_ERROR
+
+
+def test_pivots_compare_few_pairs(spark):
+    """Clustered points: only a small share of all pairs is compared, and the answer is that of all pairs."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 6)) * 20
+    rows = centers[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 6))
+    points = neighbours.merge_equal(vectors(spark, rows))
+    asked = points.select(F.col("pid").alias("qid"), "v")
+    _, (_, visited) = neighbours.visits(points, asked, 5, exclude_self=True, bucket_rows=30, split_rows=1000)
+    compared = visited.agg(F.sum("points")).first()[0]
+    assert compared < 0.1 * 3000 * 3000
+    held = {r["pid"]: np.array(r["v"]) for r in points.collect()}
+    found = {}
+    for r in neighbours.nearest(points, asked, 5, exclude_self=True, bucket_rows=30, split_rows=1000).collect():
+        found.setdefault(r["qid"], []).append(r["d"])
+    ids, matrix_ = list(held), np.vstack(list(held.values()))
+    for q in ids[:200]:
+        d = np.sort(np.sqrt(((matrix_ - held[q]) ** 2).sum(axis=1)))[1:6]
+        assert sorted(found[q]) == pytest.approx(d.tolist(), abs=1e-7)

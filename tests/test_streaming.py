@@ -7,7 +7,7 @@ from callscope.operators import features
 from callscope.operators.bucket import replay
 from callscope.schemas import REQUEST_LOGS
 from callscope.sources import adapters as A
-from callscope.streaming import bucket, runs
+from callscope.streaming import bucket, ingest, runs
 from callscope.streaming import features as streaming
 
 
@@ -68,3 +68,31 @@ def test_late_rows_are_reported(spark, sf_dir, parts, tmp_path):
         part.coalesce(1).write.mode("append").parquet(path)
     _, query = runs.drain(streaming.stream_rate_change(streaming.stream_minute_features(stream(spark, path))), "t")
     assert runs.late_rows(query) > 0
+
+
+def test_end_mark_closes_all_windows(spark, sf_dir, parts, tmp_path):
+    marks = str(tmp_path / "marks")
+    logs = runs.closable(stream(spark, parts), marks)
+    out, _ = runs.drain(streaming.stream_minute_features(logs), "t", close=lambda: runs.write_end(spark, marks, logs.schema))
+    want = features.minute_features(A.request_logs(spark, sf_dir))
+    assert out.count() == want.count() and out.where("tenant_id = 'end'").count() == 0
+
+
+@pytest.mark.parametrize("variant", ["local", "shared"])
+def test_sliced_replay_of_a_stream_equals_the_batch(spark, sf_dir, parts, variant, tmp_path):
+    limits = {"bucket_capacity": F.lit(2.0), "refill_rate": F.lit(0.01)}
+    bucket.replay_stream(stream(spark, parts).withColumns(limits), str(tmp_path / "b"), str(tmp_path / "c"), variant=variant, buckets=4).awaitTermination()
+    got = {r["id"]: (r["allowed"], r["remaining"], r["retry_after_ns"]) for r in spark.read.parquet(str(tmp_path / "b/decisions")).collect()}
+    want = replay(A.request_logs(spark, sf_dir).withColumns(limits), variant=variant, chunk_seconds=300)
+    assert got == {r["id"]: (r["allowed"], r["remaining"], r["retry_after_ns"]) for r in want.collect()}
+
+
+def test_late_rows_are_kept_apart(spark, parts, tmp_path):
+    path = str(tmp_path / "in")
+    rows = spark.read.parquet(parts)
+    old = rows.orderBy("created_at").limit(10)
+    for part in (rows.orderBy(F.col("created_at").desc()).limit(50), old.union(rows.limit(1).withColumn("created_at", F.lit(None).cast("timestamp")))):
+        part.coalesce(1).write.mode("append").parquet(path)
+    ingest.split_late(stream(spark, path), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    on_time, late = (spark.read.parquet(f"{tmp_path}/out/{kind}") for kind in ("on_time", "late"))
+    assert on_time.count() == 51 and late.count() == 10 and on_time.where("created_at is null").count() == 1
