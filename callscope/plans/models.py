@@ -33,7 +33,7 @@ def _windows(spark, sf_dir, holes: bool = False):
         rows = rows.withColumns(
             {c: F.when(F.col("request_count") % n != 0, F.col(f"`{c}`").cast("double")) for c, n in HOLES.items()}
         )
-    return materialise(matrix.model_matrix(rows, KEYS), "windows")
+    return A.spread(materialise(matrix.model_matrix(rows, KEYS), "windows"))
 
 
 def _holes_sql(holes: bool) -> str:
