@@ -226,7 +226,9 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: floa
     """One row per document: id, base spans and all spans as ``kind:start:end`` in order, counts."""
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = stored(_scanned(slim, "text").drop("text"), "secrets")
-    counts = [F.size(F.filter("_base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(3)]
+    # Of one parameter: Spark takes a second one for the place in the array.
+    of = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter("_base", of(i))).cast("long").alias(f"n_{KINDS[i]}") for i in range(3)]
     return _decided(found, rate).select("doc_id", *counts, _written("_base").alias("base"), _written("_spans").alias("spans"))
 
 

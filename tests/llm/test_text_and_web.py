@@ -39,6 +39,13 @@ def test_base_spans_equal_brute_force(spark, docs, no_docs):
     assert secrets.secrets(no_docs).count() == 0
 
 
+def test_base_spans_are_counted_by_kind(spark):
+    rows = [*SECRETS, (4, "f" * 32 + " token=abcdefgh " + "0" * 40 + " AKIAAKIAAKIAAKIA", "en"), (5, None, "en")]
+    got = secrets.secrets(documents(spark, rows)).select("doc_id", *(f"n_{k}" for k in secrets.KINDS[:3])).collect()
+    kinds = lambda t: Counter(s.split(":")[0] for s in base_spans(t).split(","))
+    assert {tuple(r) for r in got} == {(i, *(kinds(t)[k] for k in secrets.KINDS[:3])) for i, t, _ in rows}
+
+
 def test_battery_tells_random_strings(spark):
     rng = random.Random(4)
     draws = {
