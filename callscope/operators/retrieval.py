@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -11,33 +12,136 @@ from pyspark.sql import functions as F
 
 from callscope.functions import columns as C
 
-#: A task compares at most this many queries with as many chunks, and scores TILE chunks at a time.
+#: Queries and chunks that are scored at a time, and the most chunks of such a tile whatever the block.
 BLOCK_QUERIES, BLOCK_CHUNKS, TILE = 1024, 50_000, 4096
+#: Queries that a task holds while chunks stream past them, and the most streams that the chunks of a group are dealt out to.
+HELD_QUERIES, STREAMS = 16_384, 4
 _HITS = "query_id string, id bigint, similarity double"
 _DIGITS = 12
 
 
-def _best(query_ids, queries: np.ndarray, ids: np.ndarray, chunks, k: int, metric: str) -> list[tuple]:
-    """The k best (query, id, score) per query, from tiles of chunks so that few scores exist at once."""
-    top, at = np.empty((len(queries), 0)), np.empty((len(queries), 0), np.int64)
-    for start in range(0, len(ids), TILE):
-        tile = ids[start : start + TILE]
-        top = np.hstack([top, _scores(queries, _matrix(chunks[start : start + TILE]), metric)])
-        at = np.hstack([at, np.broadcast_to(tile, (len(queries), len(tile)))])
-        order = np.lexsort((at, -top), axis=1)[:, :k]
-        top, at = np.take_along_axis(top, order, 1), np.take_along_axis(at, order, 1)
-    return [(q, int(i), float(x)) for q, row, line in zip(query_ids, at, top) for i, x in zip(row, line)]
-
-
-def _scores(queries: np.ndarray, chunks: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        chunks = chunks / np.linalg.norm(chunks, axis=1, keepdims=True)
-    return np.round(queries @ chunks.T, _DIGITS) + 0.0
+class _Best:
+    """The k best chunks of each of a block of queries, from tiles of chunks so that few scores exist at once.
 
+    With buckets, a pair meets in each table in which it shares a bucket, and each table has k best of its own.
+    """
 
-def _matrix(column) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in column])
+    def __init__(self, queries: np.ndarray, buckets: np.ndarray | None, k: int) -> None:
+        self.queries, self.buckets, self.k = queries, buckets, k
+        self.tables = 1 if buckets is None else buckets.shape[1]
+        self.slot, self.at, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.bound = np.full((len(queries), self.tables), -np.inf)
+
+    def add(self, ids: np.ndarray, chunks: np.ndarray, buckets: np.ndarray | None) -> None:
+        raw = self.queries @ chunks.T
+        if np.isnan(raw.sum()):
+            compared = np.where(np.isnan(raw), -np.inf, raw)  # what is no number comes last
+        else:
+            compared = raw
+        flat = np.flatnonzero(compared >= self.bound.min(axis=1)[:, None])
+        row, column = np.divmod(flat, len(chunks))
+        if buckets is None:
+            slot = row
+        else:
+            given, slots, columns = compared.reshape(-1)[flat], [], []
+            for table in range(self.tables):
+                good = (given >= self.bound[row, table]) & (self.buckets[row, table] == buckets[column, table])
+                slots.append(row[good] * self.tables + table)
+                columns.append(column[good])
+            slot, column = np.concatenate(slots), np.concatenate(columns)
+        if not len(slot):
+            return
+        score = np.round(raw[slot // self.tables, column], _DIGITS) + 0.0
+        slot, at, score = np.r_[self.slot, slot], np.r_[self.at, ids[column]], np.r_[self.score, score]
+        order = np.lexsort((at, -score, slot))
+        slot, at, score = slot[order], at[order], score[order]
+        place = np.arange(len(slot)) - np.searchsorted(slot, slot)
+        first = place < self.k
+        self.slot, self.at, self.score = slot[first], at[first], score[first]
+        worst = place == self.k - 1
+        least = np.where(np.isnan(score[worst]), -np.inf, score[worst])
+        # Scores are compared before they are rounded; equal ones must come through.
+        slack = np.where(np.isfinite(least), 1e-11 * (1 + np.abs(least)), 0.0)
+        self.bound.reshape(-1)[slot[worst]] = least - slack
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score): k per query; what several tables found counts once."""
+        row, at, score = self.slot // self.tables, self.at, self.score
+        if self.tables > 1:
+            order = np.lexsort((at, -score, row))
+            row, at, score = row[order], at[order], score[order]
+            same = (row[1:] == row[:-1]) & (at[1:] == at[:-1]) & (score[1:] == score[:-1])
+            new = np.r_[True, ~same] if len(row) else np.empty(0, bool)
+            row, at, score = row[new], at[new], score[new]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+            row, at, score = row[first], at[first], score[first]
+        return row, at, score
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The rows of a column of equally long arrays as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _met(keys: list[str], k: int, metric: str, block_queries: int, block_chunks: int):
+    """Hits of a partition that is sorted by cell, the queries of a cell before its chunks."""
+    # Chunks without an id come first among equals, as Spark sorts them.
+    none = np.iinfo(np.int64).min
+    most = max(1, min(block_chunks, TILE))
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        return v / np.linalg.norm(v, axis=1, keepdims=True) if metric == "cosine" else v
+
+    def found(blocks: list[_Best], names: list[pa.Array]):
+        if blocks:
+            every = pa.concat_arrays(names)
+            for n, block in enumerate(blocks):
+                row, at, score = block.hits()
+                hits = [every.take(pa.array(row + n * block_queries)), pa.array(at, mask=at == none), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(hits, ["query_id", "id", "similarity"])
+
+    def run(batches):
+        last, names, asked, blocks, seen = None, [], [], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            changes = [pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, batch.num_rows - 1)) for c in [*keys, "side"]]
+            edge = np.zeros(batch.num_rows - 1, bool)
+            for change in changes:
+                edge |= change.to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(edge) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(start, end - start)
+                cell = tuple(part.column(c)[0].as_py() for c in keys)
+                if cell != last:
+                    yield from found(blocks, names)
+                    last, names, asked, blocks, seen = cell, [], [], [], 0
+                vectors = unit(_numbers(part.column("v")))
+                buckets = _numbers(part.column("buckets")) if "buckets" in part.schema.names else None
+                if part.column("side")[0].as_py() == 0:
+                    names.append(part.column("query_id"))
+                    asked.append((vectors, buckets))
+                    continue
+                if not names:
+                    continue
+                if not blocks:
+                    queries = np.vstack([v for v, _ in asked])
+                    own = None if buckets is None else np.vstack([b for _, b in asked])
+                    cuts = range(0, len(queries), block_queries)
+                    blocks = [_Best(queries[i : i + block_queries], None if own is None else own[i : i + block_queries], k) for i in cuts]
+                    asked = []
+                ids = pc.fill_null(part.column("chunk_id"), none).to_numpy()
+                at = 0
+                while at < len(ids):
+                    # Small tiles first: once k chunks are known, few others come through.
+                    tile = slice(at, at + min(most, max(16, 3 * seen)))
+                    for block in blocks:
+                        block.add(ids[tile], vectors[tile], None if buckets is None else buckets[tile])
+                    seen += len(ids[tile])
+                    at = tile.stop
+        yield from found(blocks, names)
+
+    return run
 
 
 def _prepared(df: DataFrame, id_column: str, vector: str, metric: str, dimension: int) -> DataFrame:
@@ -63,8 +167,8 @@ def top_k(
 ) -> DataFrame:
     """Exact top k: (query_id, id, similarity, rank), each query within its own tenant.
 
-    Blocks of queries meet blocks of chunks of the same tenant; every meeting keeps its k best
-    per query, so pairs are never emitted.
+    Blocks of queries meet blocks of chunks of the same tenant, at most ``block_queries`` and
+    ``block_chunks`` at a time; only the k best per query go on, so pairs are never emitted.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError("metric must be 'cosine' or 'dot'")
@@ -80,35 +184,36 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _blocked(held: DataFrame, asked: DataFrame, group: list[str], k: int, metric: str, block_queries: int, block_chunks: int) -> DataFrame:
-    """The k best of each query in each block of chunks that has the same values in ``group``."""
-    # Counts per group size the blocks, so a group with most of the rows is spread out.
-    sizes = (
-        held.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_chunks).alias("chunk_blocks"))
-        .join(asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_queries).alias("query_blocks")), group)
+    """The k best of each query among the chunks that have the same values in ``group``.
+
+    A task holds a bounded part of a group's queries and lets one of a few streams of its chunks pass, so a query is
+    sent as often as there are streams, and a chunk once for each part. Rows may have ``_buckets``: see ``_Best``.
+    """
+    # Counts per group size the parts, so a group with most of the rows is spread out.
+    part = lambda df, rows, name: df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
+    sizes = part(held, TILE, "streams").withColumn("streams", F.least("streams", F.lit(STREAMS).cast("bigint"))).join(
+        part(asked, HELD_QUERIES, "parts"), group
     )
     zero = F.lit(0).cast("bigint")
+    more = [F.col("_buckets").alias("buckets")] if "_buckets" in held.columns else []
     left = (
-        asked.select(F.col("_id").alias("query_id"), F.col("_v").alias("query_v"), *group)
+        asked.select(F.lit(0).alias("side"), F.col("_id").alias("query_id"), F.lit(None).cast("bigint").alias("chunk_id"), F.col("_v").alias("v"), *more, *group)
         .join(sizes, group)
-        .withColumn("qb", F.pmod(F.xxhash64("query_id"), "query_blocks"))
-        .withColumn("cb", F.explode(F.sequence(zero, F.col("chunk_blocks") - 1)))
-        .select("query_id", "query_v", *group, "qb", "cb")
+        .withColumn("qb", F.pmod(F.xxhash64("query_id"), "parts"))
+        .withColumn("cb", F.explode(F.sequence(zero, F.col("streams") - 1)))
     )
     right = (
-        held.join(sizes, group)
-        .withColumn("cb", F.pmod(F.xxhash64("_id"), "chunk_blocks"))
-        .withColumn("qb", F.explode(F.sequence(zero, F.col("query_blocks") - 1)))
-        .select(F.col("_id").alias("chunk_id"), F.col("_v").alias("chunk_v"), *[F.col(g).alias(g) for g in group], "qb", "cb")
+        held.select(F.lit(1).alias("side"), F.lit(None).cast("string").alias("query_id"), F.col("_id").cast("bigint").alias("chunk_id"), F.col("_v").alias("v"), *more, *group)
+        .join(sizes, group)
+        .withColumn("cb", F.pmod(F.xxhash64("chunk_id"), "streams"))
+        .withColumn("qb", F.explode(F.sequence(zero, F.col("parts") - 1)))
     )
-
-    def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(ours) and len(theirs):
-            rows = _best(ours["query_id"], _matrix(ours["query_v"]), theirs["chunk_id"].to_numpy(), theirs["chunk_v"], k, metric)
-        return pd.DataFrame(rows, columns=["query_id", "id", "similarity"])
-
     keys = [*group, "qb", "cb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, _HITS)
+    # Cells are heavy for their size, so they are dealt out to more tasks than there are cores.
+    spark = held.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    rows = left.unionByName(right).drop("streams", "parts").repartition(tasks, *keys).sortWithinPartitions(*keys, "side")
+    return rows.mapInArrow(_met(keys, k, metric, max(1, int(block_queries)), max(1, int(block_chunks))), _HITS)
 
 
 def approximate_top_k(
@@ -127,8 +232,9 @@ def approximate_top_k(
     """Top k among the chunks that share a random-projection bucket with the query.
 
     Vectors are brought to unit length and hashed in the JVM. Queries meet only the chunks of
-    their tenant's buckets, by an equi-join on (tenant, table, bucket) in blocks, so a hot
-    bucket is spread out; scores are exact cosines.
+    their tenant's buckets, by (tenant, table, bucket) in blocks, so a hot bucket is spread out; if
+    the buckets of all tables hold more pairs than the tenants, tenants are searched and buckets
+    compared pair by pair. Scores are exact cosines.
     """
     unit = lambda df: df.withColumn("_u", array_to_vector(F.transform("_v", lambda x: x / C.norm("_v"))))
     held = unit(_prepared(chunks, "id", vector, "cosine", dimension))
@@ -136,14 +242,25 @@ def approximate_top_k(
     model = BucketedRandomProjectionLSH(
         inputCol="_u", outputCol="_hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed
     ).fit(held.limit(1))  # fitting only reads the dimension
-    bucketed = lambda df: model.transform(df).select(
-        "_id", "tenant_id", "_v", F.posexplode(F.transform("_hashes", vector_to_long)).alias("_table", "_bucket")
-    )
+    hashed = lambda df: model.transform(df).select("_id", "tenant_id", "_v", F.transform("_hashes", vector_to_long).alias("_buckets"))
+    bucketed = lambda df: df.select("_id", "tenant_id", "_v", F.posexplode("_buckets").alias("_table", "_bucket"))
+    held, asked = hashed(held), hashed(asked)
     group = ["tenant_id", "_table", "_bucket"]
-    hits = _blocked(bucketed(held), bucketed(asked), group, max(1, int(k)), "cosine", block_queries, block_chunks)
+    if _meetings(bucketed(held), bucketed(asked), group) < _meetings(held, asked, ["tenant_id"]):
+        hits = _blocked(bucketed(held), bucketed(asked), group, max(1, int(k)), "cosine", block_queries, block_chunks)
+    else:
+        # Buckets this wide hold the same pairs in many tables: every pair is scored once, and counts in the tables it shares a bucket in.
+        hits = _blocked(held, asked, ["tenant_id"], max(1, int(k)), "cosine", block_queries, block_chunks)
     return _ranked(hits.distinct(), k)
 
 
+def _meetings(held: DataFrame, asked: DataFrame, group: list[str]) -> float:
+    """How many pairs have the same values in ``group``."""
+    count = lambda df, name: df.groupBy(*group).agg(F.count(F.lit(1)).cast("double").alias(name))
+    both = count(held, "chunks").join(count(asked, "queries"), group)
+    return both.agg(F.coalesce(F.sum(F.col("chunks") * F.col("queries")), F.lit(0.0))).first()[0]
+
+
 def vector_to_long(h: Column) -> Column:
     from pyspark.ml.functions import vector_to_array
 

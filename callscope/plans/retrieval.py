@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.columns import vector_problem
 from callscope.operators import retrieval as R
+from callscope.session import materialise
 from callscope.sources import adapters as A
 
 QUERIES, ORACLES = {}, {}
@@ -91,7 +92,7 @@ QUERIES["lsh_topk"] = lsh_topk
 
 def lsh_recall(spark, sf_dir):
     """Approximate against exact search: wrong scores, wrong order, too many hits, recall of 0.9."""
-    near, exact = lsh_topk(spark, sf_dir), vector_topk(spark, sf_dir)
+    near, exact = lsh_topk(spark, sf_dir), materialise(vector_topk(spark, sf_dir), "exact-hits")
     both = near.join(exact.select("query_id", "id", F.col("similarity").alias("exact")), ["query_id", "id"], "left")
     order = F.lag("similarity").over(Window.partitionBy("query_id").orderBy("rank"))
     facts = both.withColumn("before", order).agg(

@@ -113,6 +113,58 @@ def test_hot_tenant_top_k_equals_numpy(spark):
     assert len(found) == len(want) and len(found & want) > 0.95 * len(want)
 
 
+def test_small_blocks_do_not_send_rows_more_often(spark, monkeypatch):
+    import pyarrow as pa
+
+    def sent(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("chunk_id"), pa.nulls(len(b), pa.float64())], ["query_id", "id", "similarity"])
+
+        return run
+
+    monkeypatch.setattr(retrieval, "_met", sent)
+    rows = spark.range(60).selectExpr("id AS _id", "'t' AS tenant_id", "array(1D, double(id)) AS _v")
+    hits = retrieval._blocked(rows, rows.withColumn("_id", F.col("_id").cast("string")), ["tenant_id"], 2, "dot", 1, 1)
+    assert hits.count() <= 60 * retrieval.STREAMS + 60
+
+
+@pytest.mark.parametrize("tables", [0, 3])
+def test_best_of_tiles_equals_sorting_all(tables):
+    import numpy as np
+
+    rng = np.random.default_rng(tables)
+    q, c = rng.integers(-2, 3, (9, 3)).astype(float), rng.integers(-2, 3, (400, 3)).astype(float)
+    c[5] = np.nan
+    ids = rng.permutation(400)
+    of_q, of_c = (rng.integers(0, 3, (n, tables)) if tables else None for n in (9, 400))
+    best = retrieval._Best(q, of_q, 4)
+    for at in range(0, 400, 37):
+        best.add(ids[at : at + 37], c[at : at + 37], of_c[at : at + 37] if tables else None)
+    got = {i: [] for i in range(9)}
+    for row, at, _ in zip(*best.hits(), strict=True):
+        got[row].append(at)
+    for i in range(9):
+        met = [j for j in range(400) if not tables or (of_q[i] == of_c[j]).any()]
+        order = sorted(met, key=lambda j: (-float(q[i] @ c[j]) if j != 5 else np.inf, ids[j]))
+        assert got[i] == [ids[j] for j in order[:4]]
+
+
+def test_wide_and_narrow_buckets_give_the_same_hits(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "t", v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))]
+    c = spark.createDataFrame(rows, "id bigint, tenant_id string, embedding array<double>")
+    q = c.limit(20).select(F.col("id").cast("string").alias("query_id"), "tenant_id", "embedding")
+    found = []
+    for meetings in (lambda h, a, g: 1 / len(g), lambda h, a, g: len(g)):
+        monkeypatch.setattr(retrieval, "_meetings", meetings)
+        got = retrieval.approximate_top_k(c, q, 3, dimension=6, tables=4).collect()
+        found.append(sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in got))
+    assert found[0] == found[1] and len(found[0]) == 60
+
+
 def test_lsh_recall(spark, sf_dir):
     from callscope.plans.retrieval import _hits, lsh_topk
 
