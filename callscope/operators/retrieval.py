@@ -242,15 +242,16 @@ def approximate_top_k(
     model = BucketedRandomProjectionLSH(
         inputCol="_u", outputCol="_hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed
     ).fit(held.limit(1))  # fitting only reads the dimension
-    hashed = lambda df: model.transform(df).select("_id", "tenant_id", "_v", F.transform("_hashes", vector_to_long).alias("_buckets"))
-    bucketed = lambda df: df.select("_id", "tenant_id", "_v", F.posexplode("_buckets").alias("_table", "_bucket"))
-    held, asked = hashed(held), hashed(asked)
+    numbers = F.transform("_hashes", vector_to_long)
+    hashed = lambda df: model.transform(df).select("_id", "tenant_id", "_v", numbers.alias("_buckets"))
+    # Not from the column of hashes: Spark would filter by it before it has left out vectors that cannot be hashed.
+    bucketed = lambda df: model.transform(df).select("_id", "tenant_id", "_v", F.posexplode(numbers).alias("_table", "_bucket"))
     group = ["tenant_id", "_table", "_bucket"]
     if _meetings(bucketed(held), bucketed(asked), group) < _meetings(held, asked, ["tenant_id"]):
         hits = _blocked(bucketed(held), bucketed(asked), group, max(1, int(k)), "cosine", block_queries, block_chunks)
     else:
         # Buckets this wide hold the same pairs in many tables: every pair is scored once, and counts in the tables it shares a bucket in.
-        hits = _blocked(held, asked, ["tenant_id"], max(1, int(k)), "cosine", block_queries, block_chunks)
+        hits = _blocked(hashed(held), hashed(asked), ["tenant_id"], max(1, int(k)), "cosine", block_queries, block_chunks)
     return _ranked(hits.distinct(), k)
 
 

@@ -42,7 +42,8 @@ def route_listing(spark, sf_dir):
 
 def _apart(left, right):
     """Rows that only one of two tables has, by counts of whole rows."""
-    one = lambda df, sign: df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_n", F.col("_n") * sign)
+    # Rows of both sides are counted in one aggregation, so a task holds one table of them.
+    one = lambda df, sign: df.withColumn("_n", F.lit(sign).cast("bigint"))
     both = one(left, 1).unionByName(one(right, -1)).groupBy(*left.columns).agg(F.sum("_n").alias("_n"))
     return both.agg(F.coalesce(F.sum(F.abs("_n")), F.lit(0)).alias("different"))
 
@@ -97,7 +98,8 @@ def corpus_source(spark, sf_dir):
     """Every document as a file of its own, read back as a corpus."""
     path = scratch_dir(spark, "corpus")
     rows = A.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    rows.write.partitionBy("doc_id").text(path)
+    # Tasks move their files themselves; otherwise the driver would move the folders one by one.
+    rows.write.partitionBy("doc_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     found = tables.markdown_corpus(spark, path, "tenant-0", pattern="*.txt")
     number = F.regexp_extract("source_id", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id")
     return found.select(number, "source_type", F.sha2("content", 256).alias("content_hash"))

@@ -151,11 +151,12 @@ def stream_bucket_slices(spark, sf_dir):
     parts, path = scratch_dir(spark, "deliveries"), scratch_dir(spark, "bucket-states")
     logs = A.request_logs(spark, sf_dir).join(_limits(spark, sf_dir), ["tenant_id", "client_id", "route_id"])
     part = F.least(F.floor((F.unix_micros("created_at") - A.BASE_MICROS) / (24 * 60 * 10**6)), F.lit(2))
-    for number in range(3):
-        logs.where(part == number).coalesce(1).write.mode("append").parquet(parts)
     runs.use_rocksdb(spark)
-    stream = runs.read_stream(spark, parts, logs.schema, files_per_trigger=1)
-    bucket.replay_stream(stream, path, scratch_dir(spark, "bucket-checkpoint")).awaitTermination()
+    checkpoint = scratch_dir(spark, "bucket-checkpoint")
+    for number in range(3):
+        # Written by many tasks; a run takes all files of a delivery as one micro-batch.
+        logs.where(part == number).write.mode("append").parquet(parts)
+        bucket.replay_stream(runs.read_stream(spark, parts, logs.schema), path, checkpoint).awaitTermination()
     out = spark.read.parquet(f"{path}/decisions")
     return out.select("id", "tenant_id", "client_id", "route_id", "allowed", F.round("remaining", 9).alias("remaining"), "retry_after_ns")
 

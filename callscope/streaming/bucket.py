@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,23 @@ DECISIONS = T.StructType(
 )
 
 
+#: Requests of a bucket that are Python objects at once; the others of a micro-batch wait as Arrow columns.
+SLICE_ROWS = 10_000
+
+
+def _in_time(frames: Iterator[pd.DataFrame]) -> tuple[pa.Table, list[tuple]]:
+    """The requests (id, us, number of limits) of one bucket in order of time, and its distinct limits."""
+    numbers: dict[tuple, int] = {}
+    parts = []
+    for frame in frames:
+        own = zip(frame["capacity"], frame["refill"], frame["initial"])
+        limits = [numbers.setdefault((int(c), int(r), None if pd.isna(i) else int(i)), len(numbers)) for c, r, i in own]
+        columns = [pa.array(frame["id"], pa.large_string()), pa.array(frame["us"], pa.int64()), pa.array(limits, pa.int32())]
+        parts.append(pa.table(columns, ["id", "us", "limit"]))
+    whole = pa.concat_tables(parts)
+    return whole.take(pc.sort_indices(whole, [("us", "ascending"), ("id", "ascending")])), list(numbers)
+
+
 class _Bucket(StatefulProcessor):
     def __init__(self, shared: bool, expire: bool) -> None:
         self.shared, self.expire = shared, expire
@@ -43,25 +62,26 @@ class _Bucket(StatefulProcessor):
         self.state = handle.getValueState("bucket", _STATE, B.DAY_US // 1000 if self.expire else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["us", "id"])
+        ordered, limits = _in_time(rows)
         held = tuple(self.state.get()) if self.state.exists() else None
-        out = []
-        for row_id, us, cap, rate, first in zip(frame["id"], frame["us"], frame["capacity"], frame["refill"], frame["initial"]):
-            us, cap, rate = int(us), int(cap), int(rate)
-            if held is None:
-                start = cap if pd.isna(first) else min(max(int(first), 0), cap)
-                held = (start, us, cap, rate)
-            tokens, seen, capacity, refill = map(int, held)
-            if self.shared:
-                capacity, refill = cap, rate
-            tokens = tokens + B.gain(us - seen, refill, self.shared)
-            tokens, ok, left, wait = B.take(tokens, capacity, refill, self.shared)
-            # A request from before the newest one seen gains nothing and is decided all the same.
-            held = (tokens, max(us, seen), capacity, refill)
-            out.append((*key, row_id, us, "allowed" if ok else "refused", ok, left, wait))
+        for at in range(0, len(ordered), SLICE_ROWS):
+            out = []
+            for row_id, us, limit in zip(*(c.to_pylist() for c in ordered.slice(at, SLICE_ROWS).itercolumns())):
+                cap, rate, first = limits[limit]
+                if held is None:
+                    start = cap if first is None else min(max(first, 0), cap)
+                    held = (start, us, cap, rate)
+                tokens, seen, capacity, refill = map(int, held)
+                if self.shared:
+                    capacity, refill = cap, rate
+                tokens = tokens + B.gain(us - seen, refill, self.shared)
+                tokens, ok, left, wait = B.take(tokens, capacity, refill, self.shared)
+                # A request from before the newest one seen gains nothing and is decided all the same.
+                held = (tokens, max(us, seen), capacity, refill)
+                out.append((*key, row_id, us, "allowed" if ok else "refused", ok, left, wait))
+            yield pd.DataFrame(out, columns=[f.name for f in DECISIONS])
         tokens, seen, capacity, refill = held
         self.state.update((Decimal(tokens), seen, Decimal(capacity), Decimal(refill)))
-        yield pd.DataFrame(out, columns=[f.name for f in DECISIONS])
 
     def close(self) -> None:
         pass
