@@ -97,10 +97,14 @@ def op9_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy of a 400-byte string goes, the first one too."""
-    found = suffixes.cut(_table(spark, sf_dir, "documents"), keep_first=False)
+    """Every copy of a 400-byte string goes, the first one too; repeated passages from ``PASSAGE`` bytes on are told, and stay."""
+    found = suffixes.cut(_table(spark, sf_dir, "documents"), keep_first=False, passage=suffixes.PASSAGE)
     spans = F.size("spans").cast("long").alias("n_spans")
-    return found.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+    told = F.aggregate("passages", F.lit(0).cast("long"), lambda size, span: size + span[1] - span[0])
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"), told.alias("n_passage_bytes"),
+    )
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,10 @@ settings) is split by its strings instead: their hashes are counted with map-sid
 Equal segments are told by 64-bit hashes, strings in groups by their bytes. No step collects
 places of strings per document but as runs; a task holds one slice of documents, or one document if longer.
 
+``passage``, a shorter length, also reports the spans of strings of that length that start elsewhere; they stay in
+place. It is searched first, in all documents. All parts of a repeated string of ``length`` bytes are repeated too, so documents with
+fewer repeated starts than such a string has parts of ``passage`` bytes hold none, and the rest are searched for ``length``.
+
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than
 ``length`` stay whole; rows with equal id and text are one document (they are removed from
 as repeats of each other unless ``keep_first``); an empty table gives an empty one; other columns
@@ -38,6 +42,8 @@ from callscope.llm.common import raw, ready, slices, stored
 from callscope.llm.windows import hashes, segments
 
 LENGTH = 400
+#: Bytes of a passage that is worth telling though it stays: some fifty short words.
+PASSAGE = 200
 #: Bytes that must be equal around which segments are built, as a share of the length.
 ANCHOR_SHARE = 0.64
 #: Distinct units around one anchor that are put in order together.
@@ -81,6 +87,13 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [press.decompress(x) if x else b"" for x in column.to_pylist()]
 
 
+def _opened(batches):
+    """(doc_id, row, text) from packed texts."""
+    for batch in slices(batches, "packed", HASH_BYTES):
+        texts = pa.array(_unpacked(batch.column("packed")), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), texts], ["doc_id", "row", "text"])
+
+
 def _unit_bytes(length: int):
     """The bytes of the units that are asked for: (anchor, doc_id, row, at, n, ahead, group, many, bytes)."""
 
@@ -213,61 +226,52 @@ def _windows(length: int):
     return run
 
 
-def _cut(length: int, as_text: bool):
-    """Sizes, removed spans and what is left, from packed texts and runs of window starts."""
+def _spans(runs: list[dict] | None, length: int) -> list[list[int]]:
+    """The maximal spans that runs of window starts cover."""
+    merged: list[list[int]] = []
+    for start, n in sorted((r["at"], r["n"]) for r in runs or ()):
+        end = start + n - 1 + length
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    return merged
+
+
+def _cut(length: int, as_text: bool, passage: int | None):
+    """Sizes, removed spans and what is left, from packed texts and runs of window starts; spans of passages."""
 
     def run(batches):
         for batch in slices(batches, "packed"):
             sizes, removed, spans, kept = [], [], [], []
             for text, runs in zip(_unpacked(batch.column("packed")), batch.column("runs").to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for start, n in sorted((r["at"], r["n"]) for r in runs or ()):
-                    end = start + n - 1 + length
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([start, end])
+                merged = _spans(runs, length)
                 edges = [0, *(x for span in merged for x in span), len(text)]
                 left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 sizes.append(len(text))
                 removed.append(len(text) - len(left))
                 spans.append(merged)
                 kept.append(left)
-            others = [n for n in batch.schema.names if n not in ("packed", "runs")]
+            others = [n for n in batch.schema.names if n not in ("packed", "runs", "passages")]
             if as_text:
                 left_over = pa.array([x.decode(errors="ignore") for x in kept], pa.string())
             else:
                 left_over = pa.array(kept, pa.binary())
             made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())]
             made += [pa.array(spans, pa.list_(pa.list_(pa.int64()))), left_over]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in others), *made], [*others, "n_bytes", "n_removed", "spans", "kept"]
-            )
+            names = [*others, "n_bytes", "n_removed", "spans", "kept"]
+            if passage is not None:
+                found = [_spans(runs, passage) for runs in batch.column("passages").to_pylist()]
+                made.append(pa.array(found, pa.list_(pa.list_(pa.int64()))))
+                names.append("passages")
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), *made], names)
 
     return run
 
 
-def cut(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    length: int = LENGTH,
-    anchor: int | None = None,
-    group: int = GROUP,
-    keep_first: bool = True,
-    carry: bool = False,
-    as_text: bool = False,
-) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, spans (removed), kept (bytes, or text).
-
-    ``keep_first`` leaves the first copy of a passage in place; otherwise every copy goes.
-    ``carry`` adds all columns of the input in a struct ``rest``, without the text. As text, bytes of characters that a cut
-    splits are dropped.
-    """
-    ready(docs.sparkSession)
+def _repeats(rows: DataFrame, texts: DataFrame, length: int, anchor: int | None, group: int, keep_first: bool) -> DataFrame:
+    """Runs (row, at, n) of starts of repeated strings in ``rows`` (doc_id, row, text); ``texts`` has them packed."""
     anchor = int(length * ANCHOR_SHARE) if anchor is None else anchor
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), whole).alias("row"), whole.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, row long, at long, n int, ahead int, anchor long, unit long"
     found = stored(rows.mapInArrow(_segments(length, anchor), shape), "found")
@@ -283,12 +287,6 @@ def cut(
     varied = stored(units.groupBy("anchor").agg(F.count("*").alias("group")).where("group > 1"), "varied")
     part = F.struct("first.at", "n", "ahead", "anchor", "group", (F.col("copies") > 1).alias("many"))
     asked = units.join(varied, "anchor").select("first.row", part.alias("part")).groupBy("row").agg(F.collect_list("part").alias("asked"))
-    if carry:
-        rest = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("rest")
-        rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), whole).alias("row"), rest, whole.alias("text"))
-    columns = StructType([f for f in rows.schema.fields if f.name != "text"])
-    # The filter is also what the inner join below asks for, so that both joins read one exchange.
-    texts = rows.mapInArrow(_packed, StructType([*columns.fields]).add("packed", "binary")).where("row is not null")
     shape = f"anchor long, at long, n int, ahead int, group long, many boolean, doc_id {kind}, row long, bytes binary"
     cut_out = stored(texts.join(asked, "row").mapInArrow(_unit_bytes(length), shape), "units")
     small = cut_out.where(F.col("group") <= group).repartition("anchor").sortWithinPartitions("anchor")
@@ -305,10 +303,58 @@ def cut(
         later = F.lit(True)
     copied = units.where("copies > 1").select("unit", "first")
     copies = shown.join(copied, "unit").where(later).select("row", "at", "n")
-    runs = ordered.union(parts).union(copies).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    return ordered.union(parts).union(copies)
+
+
+def cut(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    anchor: int | None = None,
+    group: int = GROUP,
+    keep_first: bool = True,
+    carry: bool = False,
+    as_text: bool = False,
+    passage: int | None = None,
+    passage_anchor: int | None = None,
+) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, spans (removed), kept (bytes, or text).
+
+    ``keep_first`` leaves the first copy of a passage in place; otherwise every copy goes.
+    ``carry`` adds all columns of the input in a struct ``rest``, without the text. As text, bytes of characters that a cut
+    splits are dropped. ``passage``, at most ``length``, adds ``passages``: the spans of strings of that many bytes that start
+    elsewhere, the first copy's too.
+    """
+    ready(docs.sparkSession)
+    if passage is not None and passage > length:
+        raise ValueError("a passage is at most as long as what is cut")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), whole).alias("row"), whole.alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    full = rows
+    if carry:
+        rest = F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("rest")
+        full = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), whole).alias("row"), rest, whole.alias("text"))
+    columns = StructType([f for f in full.schema.fields if f.name != "text"])
+    # The filter is also what the inner joins ask for, so that all joins read one exchange.
+    texts = full.mapInArrow(_packed, StructType([*columns.fields]).add("packed", "binary")).where("row is not null")
     schema = StructType([*columns.fields]).add("n_bytes", "long").add("n_removed", "long")
     schema = schema.add("spans", ArrayType(ArrayType(LongType()))).add("kept", "string" if as_text else "binary")
-    return texts.join(runs, "row", "left").select(*texts.columns, "runs").mapInArrow(_cut(length, as_text), schema).drop("row")
+    listed = F.collect_list(F.struct("at", "n"))
+    if passage is None:
+        runs = _repeats(rows, texts, length, anchor, group, keep_first).groupBy("row").agg(listed.alias("runs"))
+        joined = texts.join(runs, "row", "left")
+    else:
+        found = _repeats(rows, texts, passage, passage_anchor, group, keep_first=False)
+        found = stored(found.groupBy("row").agg(listed.alias("passages"), F.sum("n").alias("starts")), "passages")
+        enough = found.where(F.col("starts") > length - passage).select("row")
+        picked = stored(texts.select("doc_id", "row", "packed").join(enough, "row"), "picked")
+        opened = picked.mapInArrow(_opened, f"doc_id {kind}, row long, text string")
+        runs = _repeats(opened, picked, length, anchor, group, keep_first).groupBy("row").agg(listed.alias("runs"))
+        joined = texts.join(runs, "row", "left").join(found.drop("starts"), "row", "left")
+        schema = schema.add("passages", ArrayType(ArrayType(LongType())))
+    return joined.select(*texts.columns, *joined.columns[len(texts.columns) :]).mapInArrow(_cut(length, as_text, passage), schema).drop("row")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from fixtures import awkward_texts, documents, prose
 from pyspark.sql import functions as F
 
-from callscope.llm import components, digest, simhash, suffixes, windows
+from callscope.llm import components, digest, queries, simhash, suffixes, windows
 
 
 def fingerprint(text):
@@ -101,6 +101,33 @@ def test_cut_equals_brute_force(spark, length, anchor, group, keep_first):
     assert got == Counter(removed(ROWS, length, keep_first))
 
 
+@pytest.mark.parametrize(("length", "passage", "group"), [(400, 200, 4096), (60, 30, 1), (60, 60, 4096)])
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_passages_are_told_and_stay(spark, length, passage, group, keep_first):
+    """Shorter passages are reported, first copies too; what is cut is what would be cut without them."""
+    shared = prose(41, 60)[:300]
+    rows = [*ROWS, (901, f"{prose(42, 80)} {shared} {prose(43, 90)}", "en"), (902, f"{prose(44, 70)} {shared} {prose(45, 20)}", "en")]
+    got = suffixes.cut(documents(spark, rows).repartition(4), length=length, group=group, keep_first=keep_first, passage=passage).collect()
+    cut_out = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got)
+    assert cut_out == Counter(removed(rows, length, keep_first))
+    told = Counter((r["doc_id"], r["n_bytes"], sum(b - a for a, b in r["passages"])) for r in got)
+    assert told == Counter((i, n, gone) for i, n, gone, _ in removed(rows, passage, False))
+    (spans,) = (r["passages"] for r in got if r["doc_id"] == 901)
+    text = rows[-2][1].encode()
+    assert any(shared.encode() in text[a:b] for a, b in spans)
+
+
+def test_query_tells_passages_under_its_length(spark, tmp_path):
+    shared = prose(41, 60)[:300]
+    rows = [(1, f"{prose(42, 80)} {shared} {prose(43, 90)}", "en"), (2, f"{prose(44, 70)} {shared}", "en"), (3, prose(46, 200), "en"), (4, None, "en")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {i: (r["n_removed"], r["n_spans"]) for i, r in got.items()} == {i: (0, 0) for i in (1, 2, 3, 4)}
+    assert all(got[i]["kept_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t, _ in rows)
+    assert {i: r["n_passages"] for i, r in got.items()} == {1: 1, 2: 1, 3: 0, 4: 0}
+    assert got[1]["n_passage_bytes"] >= 300 and got[2]["n_passage_bytes"] >= 300 and got[3]["n_passage_bytes"] == 0
+
+
 def brute_starts(texts, n, groups, rank, length, keep_first):
     """Which strings of units occur in another unit of the group (before it, by rank)."""
     out = set()
