@@ -98,7 +98,8 @@ def op9_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a 400-byte string goes, the first one too; repeated passages from ``PASSAGE`` bytes on are told, and stay."""
-    found = suffixes.cut(_table(spark, sf_dir, "documents"), keep_first=False, passage=suffixes.PASSAGE)
+    docs = _table(spark, sf_dir, "documents")
+    found = suffixes.cut(docs, keep_first=False, passage=suffixes.PASSAGE, passage_anchor=suffixes.PASSAGE_ANCHOR)
     spans = F.size("spans").cast("long").alias("n_spans")
     told = F.aggregate("passages", F.lit(0).cast("long"), lambda size, span: size + span[1] - span[0])
     return found.select(

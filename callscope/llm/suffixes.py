@@ -44,6 +44,8 @@ from callscope.llm.windows import hashes, segments
 LENGTH = 400
 #: Bytes of a passage that is worth telling though it stays: some fifty short words.
 PASSAGE = 200
+#: Bytes that must be equal around segments for it; a shorter anchor makes fewer and longer segments.
+PASSAGE_ANCHOR = 64
 #: Bytes that must be equal around which segments are built, as a share of the length.
 ANCHOR_SHARE = 0.64
 #: Distinct units around one anchor that are put in order together.
