@@ -98,10 +98,10 @@ def corpus_source(spark, sf_dir):
     """Every document as a file of its own, read back as a corpus."""
     path = scratch_dir(spark, "corpus")
     rows = A.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    # Tasks move their files themselves; otherwise the driver would move the folders one by one.
-    rows.write.partitionBy("doc_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    tables.write_corpus(rows, path, "doc_id", "value")
     found = tables.markdown_corpus(spark, path, "tenant-0", pattern="*.txt")
-    number = F.regexp_extract("source_id", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id")
+    # The id names a file or, where Spark writes, its folder.
+    number = F.nullif(F.regexp_extract("source_id", r"doc_id=(-?\d+)[./]", 1), F.lit("")).cast("bigint").alias("doc_id")
     return found.select(number, "source_type", F.sha2("content", 256).alias("content_hash"))
 
 

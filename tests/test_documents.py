@@ -1,7 +1,11 @@
+import gzip
+import hashlib
 import json
 import math
+import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,6 +13,7 @@ from callscope.functions import text
 from callscope.functions.chunking import check_sizes, chunks as chunk_array
 from callscope.functions.columns import cosine
 from callscope.operators import assistant, documents, retrieval
+from callscope.plans import stores
 from callscope.schemas import KNOWLEDGE_CHUNKS
 from callscope.sources import tables
 
@@ -258,6 +263,71 @@ def test_markdown_corpus(spark, tmp_path):
     assert [(r["source_id"], r["source_name"], r["content"]) for r in out] == [("a.md", "a.md", "# A\ntext"), ("sub/b.md", "b.md", "B")]
 
 
+ODD_FILES = {"a b.md": b"1", "sub/c%20d.md": b"2", "sub/e+[f]#?.md": b"\xff\xfe\n", "sub/\u65e5 \u2001.md": b"4", "k=1/z.md": b"5", "_a=b.md": b"6", "_metadata/m.md": b"7",
+             "deep/a/b/n.md": b"8\r\n", "empty.md": b"", "_h.md": b"-", "_metadata.md": b"-", ".x.md": b"-", "y.md._COPYING_": b"-", "_part-1/z.md": b"-", ".d/z.md": b"-", "n.txt": b"9"}
+
+
+@pytest.mark.parametrize("pattern, n", [("*.md", 8), ("[a-k]*.md", 3), ("?.md", 3), ("*.txt", 1)])
+def test_corpus_files_are_found_by_tasks(spark, tmp_path, pattern, n):
+    for name, text in ODD_FILES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    (tmp_path / "gone.md").symlink_to(tmp_path / "nowhere")
+    rows = lambda df: sorted(map(tuple, df.select("source_id", "source_name", F.hex("content")).collect()))
+    out = tables.markdown_corpus(spark, str(tmp_path), "t", pattern=pattern)
+    # The driver holds no list of files; ids, names and bytes are those of Spark's file source.
+    assert out.inputFiles() == [] and len(rows(out)) == n
+    assert rows(out) == rows(tables._read_by_spark(spark, str(tmp_path), pattern))
+
+
+def test_compressed_files_and_missing_folders_are_left_to_spark(spark, tmp_path):
+    (tmp_path / "a.md.gz").write_bytes(gzip.compress(b"text"))
+    assert [r["content"] for r in tables.markdown_corpus(spark, str(tmp_path), "t", pattern="*.gz").collect()] == ["text"]
+    assert [r["content"] for r in tables.markdown_corpus(spark, str(tmp_path), "t", pattern="a*").collect()] == ["text"]
+    assert tables.markdown_corpus(spark, str(tmp_path), "t").count() == 0
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        tables.markdown_corpus(spark, str(tmp_path / "no"), "t").collect()
+
+
+def _documents(spark, folder):
+    rows = [(0, "a"), (1, None), (2, ""), (3, "two\nlines\r\n"), (-4, "minus"), (None, "no id"), (5, "twice"), (5, "twice"), *[(n, f"text {n}") for n in range(10, 300)]]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = [(key, "document", digest((text or "") + "\n")) for key, text in rows if key != 5] + [(5, "document", digest("twice\ntwice\n"))]
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_corpus_source_writes_one_file_per_document(spark, tmp_path, monkeypatch, mounted):
+    want, made = _documents(spark, tmp_path), []
+    monkeypatch.setattr(stores, "scratch_dir", lambda _, name: made.append(str(tmp_path / name)) or made[0])
+    if not mounted:
+        monkeypatch.setattr(tables, "_mounted", lambda *_: None)
+    out = stores.corpus_source(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=str) == want
+    files = [f for _, _, names in os.walk(made[0]) for f in names if f.endswith(".txt")]
+    assert len(files) == len(want)
+    if mounted:
+        # A folder for each task, not for each document, and nothing beside the files.
+        assert len(os.listdir(made[0])) == 1 and sum(len(names) for _, _, names in os.walk(made[0])) == len(want)
+
+
+def test_corpus_of_no_documents(spark, tmp_path):
+    rows = spark.createDataFrame([], "doc_id long, text string")
+    tables.write_corpus(rows, str(tmp_path / "none"), "doc_id", "text")
+    assert tables.markdown_corpus(spark, str(tmp_path / "none"), "t", pattern="*.txt").count() == 0
+    with pytest.raises(FileExistsError):
+        tables.write_corpus(rows, str(tmp_path / "none"), "doc_id", "text")
+
+
+def test_a_second_attempt_leaves_the_files_of_the_first(tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / f"_{name}").mkdir()
+        (tmp_path / f"_{name}" / "doc_id=1.txt").write_text(name)
+        tables._named(os.fsencode(tmp_path / f"_{name}"), os.fsencode(tmp_path / "part-00000"))
+    assert os.listdir(tmp_path) == ["part-00000"] and (tmp_path / "part-00000" / "doc_id=1.txt").read_text() == "one"
+
+
 def test_log_lines(spark, tmp_path):
     line = {"time": "2026-01-01T00:00:01Z", "level": "INFO", "msg": "gateway_request", "request_id": "r1", "tenant_id": "t", "client_id": "", "route": "/a",
             "method": "GET", "response_status": 429, "latency_ms": 3, "rate_limited": True}
